@@ -6,11 +6,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.leaks import leaks
+from corpusmill.llm.overlap import overlaps
 from corpusmill.llm.same_form import same_looking_pairs, with_canonical
 from corpusmill.llm.tokens import encode
 from corpusmill.session import table
 
 
+def _split_overlaps(spark: SparkSession, root: str) -> DataFrame:
+    return overlaps(table(spark, root, "manifest"), "id", "text", F.col("split") != "train")
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of a train clip and another one with the same or nearly the same text."""
+    pairs = _split_overlaps(spark, root)
+    return pairs.select(F.least("key_a", "key_b").alias("id_a"), F.greatest("key_a", "key_b").alias("id_b")).distinct()
+
+
+def p1_report(spark: SparkSession, root: str) -> DataFrame:
+    """Held-out clips that also stand in train, per split and source: clips, exact ones, and their mean overlap."""
+    best = _split_overlaps(spark, root).groupBy(F.col("key_a").alias("id")).agg(F.min("edits").alias("edits"), F.max("overlap_a").alias("overlap"))
+    clips = table(spark, root, "manifest").where(F.col("split") != "train").select("id", "split", "source_mp3", "day").distinct()
+    leaked, n = F.col("edits").isNotNull(), F.countDistinct
+    return (
+        clips.join(best, "id", "left")
+        .groupBy("split", "source_mp3", "day")
+        .agg(n("id").alias("clips"), n(F.when(leaked, F.col("id"))).alias("leaked"), n(F.when(F.col("edits") == 0, F.col("id"))).alias("exact"), F.avg("overlap").alias("mean_overlap"))
+    )
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     """Segments that look the same but are coded differently."""
     return same_looking_pairs(table(spark, root, "site_segment"), "seg_id", "yiddish")
@@ -33,5 +56,5 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return leaks(table(spark, root, "documents"), table(spark, root, "eval_item")).select("doc_id", "item_id")
 
 
-QUERIES = {"p6_found": p6_found, "p6_forms": p6_forms, "p8_ids": p8_ids, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p6_found": p6_found, "p6_forms": p6_forms, "p8_ids": p8_ids, "p9_found": p9_found}
 SQL: dict[str, str] = {}
