@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.functions.dates import calendar_date
+from corpusmill.llm.grouped_splits import assigned, torn
 from corpusmill.llm.leaks import leaks
 from corpusmill.llm.overlap import overlaps
+from corpusmill.llm.pieces import cut_oversized
 from corpusmill.llm.same_form import same_looking_pairs, with_canonical
 from corpusmill.llm.tokens import encode
 from corpusmill.session import table
@@ -34,6 +37,21 @@ def p1_report(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def _clip_links() -> dict:
+    return {"day": F.concat(F.col("year").cast("string"), F.lit("/"), F.col("day")), "date": calendar_date(F.col("source_date")).cast("string")}
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    """Publication days whose group of clips has more than one split."""
+    return torn(table(spark, root, "manifest"), _clip_links(), "id", "split", ["year", "day"])
+
+
+def p5_assigned(spark: SparkSession, root: str) -> DataFrame:
+    """A new split for every clip, in the shares of the quota, with groups whole."""
+    quota = {r["split"]: r["share"] for r in table(spark, root, "split_quota").collect()}
+    return assigned(table(spark, root, "manifest"), _clip_links(), "id", quota)
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     """Segments that look the same but are coded differently."""
     return same_looking_pairs(table(spark, root, "site_segment"), "seg_id", "yiddish")
@@ -46,6 +64,21 @@ def p6_forms(spark: SparkSession, root: str) -> DataFrame:
     return with_canonical(clips.unionByName(segments), "raw", "form").drop("raw").distinct()
 
 
+def _pieces(spark: SparkSession, root: str) -> DataFrame:
+    limit = table(spark, root, "piece_limit").where("item = 'yiddish'").first()
+    return cut_oversized(table(spark, root, "site_segment"), "seg_id", "yiddish", "start", "end", limit["max_chars"], limit["max_seconds"], limit["overlap_words"])
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    """Segments that had to be cut."""
+    return _pieces(spark, root).select("seg_id").distinct()
+
+
+def p7_pieces(spark: SparkSession, root: str) -> DataFrame:
+    """The pieces of segments beyond the limits."""
+    return _pieces(spark, root)
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     """Token ids of every document."""
     return encode(table(spark, root, "documents"), "doc_id", "text")
@@ -56,5 +89,8 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return leaks(table(spark, root, "documents"), table(spark, root, "eval_item")).select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p6_found": p6_found, "p6_forms": p6_forms, "p8_ids": p8_ids, "p9_found": p9_found}
-SQL: dict[str, str] = {}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p5_found": p5_found, "p5_assigned": p5_assigned, "p6_found": p6_found, "p6_forms": p6_forms, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_found": p9_found}
+SQL: dict[str, str] = {
+    "p7_found": """SELECT DISTINCT seg_id FROM site_segment, piece_limit WHERE item = 'yiddish'
+  AND (coalesce(length(yiddish), 0) > max_chars OR CAST(round("end" * 1000) AS BIGINT) - CAST(round(start * 1000) AS BIGINT) > CAST(round(max_seconds * 1000) AS BIGINT))"""
+}
