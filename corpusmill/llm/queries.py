@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from corpusmill.functions.dates import calendar_date
 from corpusmill.llm.grouped_splits import assigned, torn
 from corpusmill.llm.leaks import leaks
+from corpusmill.llm.near_texts import similar_groups, similar_pairs
 from corpusmill.llm.overlap import overlaps
 from corpusmill.llm.pieces import cut_oversized
+from corpusmill.llm.reading import reading_levels
 from corpusmill.llm.same_form import same_looking_pairs, with_canonical
 from corpusmill.llm.tokens import encode
 from corpusmill.session import table
@@ -37,6 +39,16 @@ def p1_report(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of scanned bodies that share at least 0.6 of their distinct words."""
+    return similar_pairs(table(spark, root, "pdf_day"), "pdf_id", "body").select("pdf_id_a", "pdf_id_b")
+
+
+def p4_groups(spark: SparkSession, root: str) -> DataFrame:
+    """Each scanned body's class of equal sets of words, and its links to other classes."""
+    return similar_groups(table(spark, root, "pdf_day"), "pdf_id", "body")
+
+
 def _clip_links() -> dict:
     return {"day": F.concat(F.col("year").cast("string"), F.lit("/"), F.col("day")), "date": calendar_date(F.col("source_date")).cast("string")}
 
@@ -89,8 +101,17 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return leaks(table(spark, root, "documents"), table(spark, root, "eval_item")).select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p5_found": p5_found, "p5_assigned": p5_assigned, "p6_found": p6_found, "p6_forms": p6_forms, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_found": p9_found}
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    """The reading level of every document of at least forty words."""
+    return reading_levels(table(spark, root, "documents"), table(spark, root, "reading_label"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_assigned": p5_assigned, "p6_found": p6_found, "p6_forms": p6_forms, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 SQL: dict[str, str] = {
+    "p4_found": """WITH w AS (SELECT pdf_id, unnest(list_distinct(regexp_extract_all(body, '[\\x{05D0}-\\x{05EA}]+'))) AS word FROM pdf_day),
+  n AS (SELECT pdf_id, count(*) AS n FROM w GROUP BY 1),
+  p AS (SELECT a.pdf_id AS x, b.pdf_id AS y, count(*) AS shared FROM w a JOIN w b ON a.word = b.word AND a.pdf_id < b.pdf_id GROUP BY 1, 2)
+SELECT x AS pdf_id_a, y AS pdf_id_b FROM p JOIN n a ON a.pdf_id = x JOIN n b ON b.pdf_id = y WHERE 10 * shared >= 6 * (a.n + b.n - shared)""",
     "p7_found": """SELECT DISTINCT seg_id FROM site_segment, piece_limit WHERE item = 'yiddish'
   AND (coalesce(length(yiddish), 0) > max_chars OR CAST(round("end" * 1000) AS BIGINT) - CAST(round(start * 1000) AS BIGINT) > CAST(round(max_seconds * 1000) AS BIGINT))"""
 }

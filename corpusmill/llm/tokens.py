@@ -12,14 +12,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.session import cut
+from corpusmill.llm.blocks import with_entries, word_blocks, words_in
 
-#: Characters of text in a block; a longer text is a block of its own.
-BLOCK_CHARS = 2_000_000
 DEFAULT_TOKENIZER = "byte_bpe_50k"
 TOKENIZER_FOLDER = "/opt/tokenizers"
 
@@ -29,14 +26,6 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _FAST = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
-class _Words(dict):
-    """Numbers of distinct words, in order of first use."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = number = len(self)
-        return number
-
-
 class PreTokens:
     """Pre-tokens of a text; the slower pattern library only where the classes of the two differ."""
 
@@ -58,35 +47,6 @@ class PreTokens:
         return (_FAST if fast else self.exact).findall(text)
 
 
-def _blocks(batches):
-    """Rows (block, documents, counts, codes, words): codes are the numbers of each document's words in the block."""
-    part, number, cutter = TaskContext.get().partitionId(), 0, PreTokens()
-    keys: list[int] = []
-    runs: list[np.ndarray] = []
-    words, held = _Words(), 0
-
-    def block():
-        codes = np.concatenate(runs) if runs else np.empty(0, np.int32)
-        counts = np.array([len(r) for r in runs], np.int32)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([(part << 33) | number], pa.int64()), pa.array([np.array(keys, np.int64).tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary()), pa.array([list(words)], pa.list_(pa.string()))],
-            names=["block", "documents", "counts", "codes", "words"],
-        )
-
-    for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            text = text or ""
-            if runs and held + len(text) > BLOCK_CHARS:
-                yield block()
-                number, held, keys, runs, words = number + 1, 0, [], [], _Words()
-            found = cutter(text)
-            keys.append(key)
-            runs.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
-            held += len(text)
-    if runs:
-        yield block()
-
-
 def _encode(path: str):
     """Adds the ids of each word, as the bytes of 32-bit integers."""
 
@@ -110,7 +70,7 @@ def _assemble(batches):
         for row in batch.to_pylist():
             keys, counts = np.frombuffer(row["documents"], np.int64), np.frombuffer(row["counts"], np.int32)
             codes = np.frombuffer(row["codes"], np.int32)
-            entries = sorted((e["number"], e["ids"]) for e in row["entries"] or [])
+            entries = sorted((e["number"], e["value"]) for e in row["entries"] or [])
             sizes = np.array([len(ids) // 4 for _, ids in entries], np.int64)
             flat = np.frombuffer(b"".join(ids for _, ids in entries), np.int32)
             begins = np.concatenate([[0], np.cumsum(sizes)])[:-1] if len(sizes) else np.empty(0, np.int64)
@@ -134,12 +94,9 @@ def encode(df: DataFrame, key: str, text: str, tokenizer: str = DEFAULT_TOKENIZE
     a row; an empty table gives none; other columns are ignored. The rank file ``folder/tokenizer.tiktoken`` must be
     there on every executor.
     """
-    rows = df.select(F.col(f"`{key}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text"))
-    blocks = cut(rows.mapInArrow(_blocks, "block bigint, documents binary, counts binary, codes binary, words array<string>"))
-    used = blocks.select("block", F.posexplode("words").alias("number", "word"))
-    coded = used.select("word").distinct().mapInArrow(_encode(f"{folder}/{tokenizer}.tiktoken"), "word string, ids binary")
-    entries = used.join(coded, "word").groupBy("block").agg(F.collect_list(F.struct("number", "ids")).alias("entries"))
-    whole = blocks.drop("words").join(entries, "block", "left")
+    blocks = word_blocks(df, key, text, PreTokens)
+    coded = words_in(blocks).select("word").distinct().mapInArrow(_encode(f"{folder}/{tokenizer}.tiktoken"), "word string, ids binary")
+    whole = with_entries(blocks, coded, F.col("ids"))
     return whole.mapInArrow(_assemble, "doc bigint, ids array<int>").withColumnRenamed("doc", key)
 
 
