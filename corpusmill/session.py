@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +55,23 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` materialised in the shared checkpoint folder, with its lineage cut: a lost executor loses nothing of it."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written as a compressed table in the shared checkpoint folder and read back, for rows that are read often.
+
+    The table is removed when the session's Python ends.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path, compression="zstd")
+
+    def remove() -> None:
+        try:
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        except Exception:  # noqa: BLE001 - the session has gone, and its folder is the cluster's to clean
+            pass
+
+    atexit.register(remove)
+    return spark.read.schema(df.schema).parquet(path)
