@@ -13,6 +13,7 @@ from corpusmill.llm.overlap import overlaps
 from corpusmill.llm.pieces import cut_oversized
 from corpusmill.llm.reading import reading_levels
 from corpusmill.llm.same_form import same_looking_pairs, with_canonical
+from corpusmill.llm.scans import paragraphs, scan_findings
 from corpusmill.llm.tokens import encode
 from corpusmill.session import table
 
@@ -39,6 +40,22 @@ def p1_report(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def _scans(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Words of documents, clips and segments are taken as read rightly."""
+    clean = table(spark, root, "documents").select("text").unionByName(table(spark, root, "manifest").select("text")).unionByName(table(spark, root, "site_segment").select(F.col("yiddish").alias("text")))
+    return scan_findings(table(spark, root, "pdf_day"), clean)
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    """Furniture, broken words and misread words of scanned bodies, by line."""
+    return _scans(spark, root)[0]
+
+
+def p2_paragraphs(spark: SparkSession, root: str) -> DataFrame:
+    """The repaired paragraphs of scanned bodies."""
+    return paragraphs(table(spark, root, "pdf_day"), *_scans(spark, root))
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of scanned bodies that share at least 0.6 of their distinct words."""
     return similar_pairs(table(spark, root, "pdf_day"), "pdf_id", "body").select("pdf_id_a", "pdf_id_b")
@@ -106,7 +123,7 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return reading_levels(table(spark, root, "documents"), table(spark, root, "reading_label"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_assigned": p5_assigned, "p6_found": p6_found, "p6_forms": p6_forms, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_assigned": p5_assigned, "p6_found": p6_found, "p6_forms": p6_forms, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 SQL: dict[str, str] = {
     "p4_found": """WITH w AS (SELECT pdf_id, unnest(list_distinct(regexp_extract_all(body, '[\\x{05D0}-\\x{05EA}]+'))) AS word FROM pdf_day),
   n AS (SELECT pdf_id, count(*) AS n FROM w GROUP BY 1),
