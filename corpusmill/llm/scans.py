@@ -27,18 +27,21 @@ TRAIN_WORDS = 6_000
 PASSES = 5
 #: Occurrences a word needs to be what another one is a misreading of.
 SUPPORT = 3
+#: Share of a word's occurrences that may be misread in one and the same way; what is seen oftener is a word itself.
+SAME_MISREADING = 0.05
 #: Marks of a broken word; the first three are used for nothing else.
 BREAKS = "¬‐­-־"
 SURE_BREAKS = "¬‐­"
 
 _LETTERS = "א-ת"
+#: Punctuation around words.
+_TRIM = ".,;:!?\"()״׳“”„…"
 #: A number of a page: digits, or Hebrew letters with geresh or gershayim.
-_NUMBER = rf"(?:\d{{1,4}}|[{_LETTERS}]{{1,3}}[׳'](?![{_LETTERS}])|[{_LETTERS}]{{1,4}}[״\"][{_LETTERS}])"
+_NUMBER = rf"(?:\d{{1,4}}|[א-ת]׳(?![{_LETTERS}])|ת?ת?[ק-ת]?[י-צ]?״?[א-ט](?<=״.)|ת?ת?[ק-ת]?״?[י-צ](?<=״.)|ת?ת?״?[ק-ת](?<=״.)|[קרש]?ט״[וז])"
+_NUMERAL = re.compile(rf"[(\"]?{_NUMBER}[{re.escape(_TRIM)}]*")
 _ALONE = re.compile(rf"(?:[\[(—–\-|•]\s*)*(?:עמוד\s+|דף\s+|page\s+)?{_NUMBER}(?:\s*[\])—–\-|•.])*", re.IGNORECASE)
 _FIRST = re.compile(rf"^\s*{_NUMBER}\s+")
 _LAST = re.compile(rf"\s+{_NUMBER}\s*$")
-#: A word with the characters that may stand in it by misreading.
-_TRIM = ".,;:!?\"()״׳“”„…"
 _PREFIXED = re.compile(rf"[{_LETTERS}]?\d+")
 
 
@@ -84,10 +87,10 @@ class Perceptron:
 
 
 def line_shape(line: str) -> tuple[str, int, int]:
-    """The line without what furniture adds to it, and its marks: 1 number alone, 2 bullet, 4 bars, 8 wide gaps, 16 number at an end."""
+    """The line without what furniture adds to it, and its marks: 1 number alone, 2 bullet, 4 bars, 8 wide gaps, 16 number at an end, 32 digits alone."""
     text = line.strip()
     if _ALONE.fullmatch(text):
-        return "", 1, 0
+        return "", 1 + 32 * text.isdigit(), 0
     marks = 2 * ("•" in text) + 4 * (text.startswith("|") or text.endswith("|")) + 8 * bool(re.search(r"\S {2,}\S", text))
     core = re.sub(r"[|•]", " ", text)
     less = _LAST.sub("", _FIRST.sub("", core))
@@ -120,7 +123,7 @@ def _lines(batches):
 def _line_features() -> dict[str, Column]:
     """Yes-or-no features of a line, which stay in the JVM."""
     marks, out = F.col("marks"), {"bias": F.lit(True)}
-    for name, bit in (("number", 1), ("bullet", 2), ("bars", 4), ("gaps", 8), ("number at end", 16)):
+    for name, bit in (("number", 1), ("bullet", 2), ("bars", 4), ("gaps", 8), ("number at end", 16), ("digits", 32)):
         out[name] = marks.bitwiseAND(bit) > 0
     out |= {"one word": F.col("words") == 1, "few words": F.col("words").between(2, 6), "many words": F.col("words") > 6}
     out |= {"header of the year": F.col("near") == 0, "near header": F.col("near").between(1, 98), "no header": F.col("near") > 98}
@@ -143,12 +146,12 @@ def furniture(df: DataFrame, key: str, body: str, year: str) -> DataFrame:
     seen = lines.join(near, ["year", "core"], "left").withColumn("near", F.coalesce("near", F.lit(99)))
     features = _line_features()
     # Sure cases teach: a recurring header or number alone is furniture, a full line that is like no header is text.
-    sure = F.when((F.col("marks") == 1) & (F.col("blank_by") > 0) | strong & (F.col("near") < 99), 1).when((F.col("near") == 99) & ~strong & (F.col("marks") != 1) & (F.col("words") >= 1), 0)
+    sure = F.when((F.col("marks") == 1) | strong & (F.col("near") < 99), 1).when((F.col("near") == 99) & ~strong & (F.col("words") >= 1), 0)
     sample = seen.select(sure.alias("gold"), *(v.alias(k) for k, v in features.items()), F.xxhash64("doc", "line_no").alias("order")).where("gold is not null").orderBy("order").limit(TRAIN_LINES).drop("order").distinct().collect()
     examples = [([["keep"], [k for k in features if r[k]]], r["gold"]) for r in sample]
     model = Perceptron().fit(examples) if {g for _, g in examples} == {0, 1} else None
     if model is None:
-        return seen.where((F.col("marks") == 1) | strong).select("doc", "line_no")
+        return seen.where((F.col("marks").bitwiseAND(1) == 1) | strong).select("doc", "line_no")
     total = F.lit(-model.weights["keep"])
     for name, flag in features.items():
         total = total + F.when(flag, F.lit(model.weights[name])).otherwise(0.0)
@@ -159,6 +162,8 @@ def words_of_line(line: str) -> list[str]:
     """Words with what may be misread in them; outer punctuation, maqaf compounds and plain numbers are taken apart."""
     out = []
     for token in line.split():
+        if _NUMERAL.fullmatch(token):
+            continue
         for part in re.split("[־–—]", token):
             word = part.strip(_TRIM)
             if word and not (word.startswith("[") and word.endswith("]")):
@@ -256,13 +261,15 @@ def _candidate_features(word: str, count: float, seen: float, op: str, place: in
     return [*out, f"support {_bucket(math.log10(support + 1) * 1.5)} {known}", f"length {min(6, len(word))} {known}"]
 
 
-def _decided(batches, model, confusion):
+def _decided(batches, model, confusion, ratio):
     """Rows (word, op, fixed) of words whose best operation isn't keep."""
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
             word, count, seen = r["word"], r["expected"], r["seen"]
             options = sorted((c["op"], c["place"], c["fixed"], c["support"]) for c in r["options"] or [])
+            if not _odd(word) and seen >= SUPPORT:
+                options = [o for o in options if seen <= max(1.0, SAME_MISREADING * ratio * o[3])]
             lists = [["keep", f"keep {'odd' if _odd(word) else 'plain'}"], *(_candidate_features(word, count, seen, *o, confusion) for o in options)]
             best = model.best(lists)
             if best or _odd(word):
@@ -310,7 +317,7 @@ def scan_findings(df: DataFrame, clean: DataFrame, key: str = "pdf_id", body: st
     halves = joined.select("left").union(joined.select("right")).groupBy(F.col("left").alias("word")).agg(F.count("*").alias("halves"))
     rows = counts.join(halves, "word", "left").withColumn("seen", F.greatest(F.lit(0), F.col("seen") - F.coalesce("halves", F.lit(0)))).where("seen > 0")
     rows = cut(rows.join(lexicon, "word", "left").select("word", "seen", (F.coalesce("n", F.lit(0)) * F.lit(read / size)).alias("expected")))
-    doubtful = rows.where("expected < 0.34 * seen or seen <= 2 and expected < 0.5")
+    doubtful = rows.where("expected < 0.1 * seen")
     options = candidates(doubtful, lexicon)
     options = cut(options)
     # Confusions: what new words have in place of the letters of the words they are one letter from.
@@ -327,7 +334,7 @@ def scan_findings(df: DataFrame, clean: DataFrame, key: str = "pdf_id", body: st
     model = _trained(lexicon, table, confusion, read / size)
     grouped = rows.join(options.groupBy("word").agg(F.collect_list(F.struct("op", "place", "fixed", "support")).alias("options")), "word", "left")
     grouped = grouped.where("options is not null or word rlike '[^א-ת]'").select("word", "seen", "expected", "options")
-    decided = cut(grouped.mapInArrow(lambda batches: _decided(batches, model, confusion), "word string, op string, fixed string"))
+    decided = cut(grouped.mapInArrow(lambda batches: _decided(batches, model, confusion, read / size), "word string, op string, fixed string"))
     parts = joined.select("doc", "line_no", F.col("left").alias("word"))
     misread = words.select("doc", "line_no", "word").join(bounded(decided), "word").select("doc", "line_no", "word", "op", "fixed")
     # The two halves of a broken word aren't words; only their odd characters tell.
