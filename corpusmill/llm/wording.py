@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.forms import Plain
 
-#: Rows up to which a side of a join is broadcast; its size is counted first, and a larger side is shuffled.
-BROADCAST_ROWS = 500_000
+#: Rows, and characters of text in them, up to which a side of a join is broadcast; both are counted first, and a larger
+#: side is shuffled.
+BROADCAST_ROWS, BROADCAST_CHARS = 100_000, 8_000_000
 #: Mark-up that words are compared without: tags, character references, page marks in double brackets.
 MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9a-fA-F]+);|\[\[[^\[\]]*\]\]")
 
@@ -21,8 +22,10 @@ _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows (fixed-width ones, as is the caller's duty); else ``df``."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """``df`` marked for broadcast if it has at most ``rows`` rows and ``BROADCAST_CHARS`` characters of text; else ``df``."""
+    chars = sum((F.coalesce(F.length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"), F.lit(0).cast("bigint"))
+    n, size = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(chars), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and size <= BROADCAST_CHARS else df
 
 
 class Hashes(dict):
