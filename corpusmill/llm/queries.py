@@ -1,4 +1,4 @@
-"""Queries over the test tables, and the SQL of those that SQL can express."""
+"""Queries over the test tables; their SQL is in ``sql``."""
 
 from __future__ import annotations
 
@@ -14,9 +14,12 @@ from corpusmill.llm.pieces import cut_oversized
 from corpusmill.llm.reading import reading_levels
 from corpusmill.llm.same_form import same_looking_pairs, with_canonical
 from corpusmill.llm.scans import paragraphs, scan_findings
+from corpusmill.llm.sql import SQL
 from corpusmill.llm.tokens import encode
 from corpusmill.session import table
 
+__all__ = ["QUERIES", "SQL"]
+
 
 def _split_overlaps(spark: SparkSession, root: str) -> DataFrame:
     return overlaps(table(spark, root, "manifest"), "id", "text", F.col("split") != "train")
@@ -124,11 +127,3 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_assigned": p5_assigned, "p6_found": p6_found, "p6_forms": p6_forms, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
-SQL: dict[str, str] = {
-    "p4_found": """WITH w AS (SELECT pdf_id, unnest(list_distinct(regexp_extract_all(body, '[\\x{05D0}-\\x{05EA}]+'))) AS word FROM pdf_day),
-  n AS (SELECT pdf_id, count(*) AS n FROM w GROUP BY 1),
-  p AS (SELECT a.pdf_id AS x, b.pdf_id AS y, count(*) AS shared FROM w a JOIN w b ON a.word = b.word AND a.pdf_id < b.pdf_id GROUP BY 1, 2)
-SELECT x AS pdf_id_a, y AS pdf_id_b FROM p JOIN n a ON a.pdf_id = x JOIN n b ON b.pdf_id = y WHERE 10 * shared >= 6 * (a.n + b.n - shared)""",
-    "p7_found": """SELECT DISTINCT seg_id FROM site_segment, piece_limit WHERE item = 'yiddish'
-  AND (coalesce(length(yiddish), 0) > max_chars OR CAST(round("end" * 1000) AS BIGINT) - CAST(round(start * 1000) AS BIGINT) > CAST(round(max_seconds * 1000) AS BIGINT))"""
-}
