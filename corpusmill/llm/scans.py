@@ -335,9 +335,9 @@ def scan_findings(df: DataFrame, clean: DataFrame, key: str = "pdf_id", body: st
     grouped = rows.join(options.groupBy("word").agg(F.collect_list(F.struct("op", "place", "fixed", "support")).alias("options")), "word", "left")
     grouped = grouped.where("options is not null or word rlike '[^א-ת]'").select("word", "seen", "expected", "options")
     decided = cut(grouped.mapInArrow(lambda batches: _decided(batches, model, confusion, read / size), "word string, op string, fixed string"))
-    parts = joined.select("doc", "line_no", F.col("left").alias("word"))
-    misread = words.select("doc", "line_no", "word").join(bounded(decided), "word").select("doc", "line_no", "word", "op", "fixed")
     # The two halves of a broken word aren't words; only their odd characters tell.
+    parts = joined.where("not left rlike '[^א-ת]'").select("doc", "line_no", F.col("left").alias("word"))
+    misread = words.select("doc", "line_no", "word").join(bounded(decided), "word").select("doc", "line_no", "word", "op", "fixed")
     first = joined.select("doc", F.col("right").alias("word"))
     misread = misread.join(parts, ["doc", "line_no", "word"], "left_anti")
     halves_of = misread.join(first, ["doc", "word"], "left_semi").where("not word rlike '[^א-ת]'")
