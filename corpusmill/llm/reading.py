@@ -2,7 +2,8 @@
 
 Each word gets an acquisition grade: the mean grade of the graded texts it stands in, weighed by how often it stands
 there and by how much text there is of each grade. A document's level is read off the quantiles of the grades of its
-known words, calibrated on graded documents whose own words were taken out of the statistics first.
+known words, together with the share of unknown ones, calibrated on graded documents whose own words were taken out of
+the statistics first.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ GRADES = (1, 2, 3, 4)
 #: Words, separated by white space, that a document needs to get a level.
 LEAST_WORDS = 40
 #: Quantiles of a document's known-word grades.
-QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
+QUANTILES = (0.1, 0.25, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95)
 #: Occurrences, spread evenly over the grades, that each word's distribution starts with.
-PRIOR = 1.0
+PRIOR = 0.3
 #: Graded documents that the calibration is fitted on, at most: the first in the order of their ids' hashes.
 FIT_DOCUMENTS = 5000
 
@@ -60,14 +61,15 @@ def _counts(least: int):
 
 
 def _features(values: np.ndarray) -> np.ndarray:
-    """Quantiles and mean of the known grades among ``values``; the middle of the scale if there is none."""
+    """Quantiles and mean of the known grades among ``values``, and the share of unknown ones; the middle of the scale if none is known."""
     known = np.sort(values[~np.isnan(values)])
+    unknown = 1 - len(known) / max(1, len(values))
     if not len(known):
         known = np.array([(GRADES[0] + GRADES[-1]) / 2])
     at = np.array(QUANTILES) * (len(known) - 1)
     low = at.astype(np.int64)
     high = np.minimum(low + 1, len(known) - 1)
-    return np.append(known[low] + (known[high] - known[low]) * (at - low), known.mean())
+    return np.concatenate([known[low] + (known[high] - known[low]) * (at - low), [known.mean(), unknown]])
 
 
 def _acquisition(counts: list, totals: list):
