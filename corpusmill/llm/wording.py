@@ -87,14 +87,19 @@ def grams(flat: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
 
 
 def winnowed(hashes: np.ndarray, window: int) -> np.ndarray:
-    """Places that hold the least hash of some window of ``window`` places; all of equal ones."""
+    """Places that hold the least hash of some window of ``window`` places; of a run of equal hashes the first and last.
+
+    The longest match of two such runs is aligned at their first or last places, so the ones between add nothing.
+    """
     n = len(hashes)
     if not n:
         return np.empty(0, np.int64)
     padded = np.concatenate([np.full(window - 1, _TOP), hashes, np.full(window - 1, _TOP)])
     least = np.lib.stride_tricks.sliding_window_view(padded, window).min(axis=1)
     most = np.lib.stride_tricks.sliding_window_view(least, window).max(axis=1)
-    return np.nonzero((hashes == most) & (hashes != _TOP))[0]
+    inner = np.zeros(n, bool)
+    inner[1:-1] = (hashes[1:-1] == hashes[:-2]) & (hashes[1:-1] == hashes[2:])
+    return np.nonzero((hashes == most) & (hashes != _TOP) & ~inner)[0]
 
 
 def signed(x: np.ndarray) -> pa.Array:

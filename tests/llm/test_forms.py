@@ -49,3 +49,8 @@ def test_pairs(spark):
     assert got == want and got
     assert same_looking_pairs(spark.createDataFrame([], df.schema), "k", "_raw").count() == 0
     assert [r.form for r in with_canonical(df.where("k = 8"), "_raw", "form").collect()] == ["ג"]
+
+
+def test_very_long_text():
+    text = "\ufb2f\u05d1 " * 100_000
+    assert Canonical()(text) == canonical_plain(text)

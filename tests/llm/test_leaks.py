@@ -35,8 +35,9 @@ def test_against_brute_force(spark):
             at, n = r.randrange(len(passage)), r.randrange(8, 16)
             body[10:10] = passage[at : at + n]
         docs.append((d, " ".join(body)))
-    docs.append((99, " ".join(["x"] * 50)))
-    items.append((99, " ".join(["x"] * 30)))
+    # Runs of one word, at an edge and inside of other words.
+    docs += [(99, "x " * 50), (98, "a " + "x " * 20 + "b c d"), (97, "x " * 11), (96, "q r " + "x " * 9 + "s t")]
+    items += [(99, "x " * 30), (98, "e " + "x " * 15 + "b c"), (97, "r " + "x " * 9 + "s t u")]
     df = spark.createDataFrame([(d, t, 1, "p") for d, t in docs] + [(0, docs[0][1], 1, "p")], DOCS)
     got = leaks(df, spark.createDataFrame([(i, t, "q") for i, t in items], ITEMS)).collect()
     assert {(r.doc_id, r.item_id): r.words for r in got} == brute(docs, items)
@@ -56,3 +57,10 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], DOCS)
     assert leaks(empty, spark.createDataFrame([(1, "a " * 20, "")], ITEMS)).count() == 0
     assert leaks(spark.createDataFrame([(1, "a " * 20, 1, "")], DOCS), spark.createDataFrame([], ITEMS)).count() == 0
+
+
+def test_very_long_texts(spark):
+    passage = " ".join(f"p{i}" for i in range(14))
+    rows = [(1, "x " * 150_000 + passage + " y" * 1000, 0, ""), (2, " ".join(f"w{i}" for i in range(100_000)), 0, "")]
+    got = leaks(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(1, passage, ""), (2, "x " * 40, "")], ITEMS)).collect()
+    assert {(r.doc_id, r.item_id, r.words) for r in got} == {(1, 1, 14), (1, 2, 40)}
