@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.wording import bounded
+from corpusmill.llm.wording import bounded, sliced
 from corpusmill.session import cut, kept
 
 #: Rows that each perceptron is trained on, at most: the first in the order of their hashes.
@@ -101,7 +101,7 @@ def line_shape(line: str) -> tuple[str, int, int]:
 
 
 def _lines(batches):
-    for batch in batches:
+    for batch in sliced(batches):
         ids, years, bodies = (batch.column(i).to_pylist() for i in range(3))
         out: dict[str, list] = {k: [] for k in ("doc", "year", "line_no", "core", "marks", "words", "edge_of", "blank_by", "last")}
         for doc, year, body in zip(ids, years, bodies, strict=True):
@@ -185,7 +185,7 @@ def _plain(word: str) -> str:
 
 def _tokens(batches):
     """Rows (doc, line_no, word, left, right, mark): the words of text lines; for line ends also the parts of a join."""
-    for batch in batches:
+    for batch in sliced(batches):
         out: dict[str, list] = {k: [] for k in ("doc", "line_no", "word", "left", "right", "mark")}
 
         def put(*row):
@@ -263,7 +263,7 @@ def _candidate_features(word: str, count: float, seen: float, op: str, place: in
 
 def _decided(batches, model, confusion, ratio):
     """Rows (word, op, fixed) of words whose best operation isn't keep."""
-    for batch in batches:
+    for batch in sliced(batches):
         rows = []
         for r in batch.to_pylist():
             word, count, seen = r["word"], r["expected"], r["seen"]
@@ -395,7 +395,7 @@ def paragraphs(bodies: DataFrame, findings: DataFrame, fixes: DataFrame, key: st
 
 
 def _repaired(batches):
-    for batch in batches:
+    for batch in sliced(batches):
         out: dict[str, list] = {"doc": [], "paragraph": [], "text": []}
         for r in batch.to_pylist():
             skip, joins, fix = set(r["edges"] or ()), set(), defaultdict(dict)

@@ -28,6 +28,13 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if n <= rows and size <= BROADCAST_CHARS else df
 
 
+def sliced(batches, rows: int = 500):
+    """Batches of at most ``rows`` rows, so that what a batch becomes stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class Hashes(dict):
     """64-bit hashes of words, each computed once."""
 
