@@ -43,7 +43,7 @@ def row_tokens(glyphs: DataFrame, keys: Sequence[str], gap: float = TOKEN_GAP) -
 def decoded_tokens(tokens: DataFrame, font_map: DataFrame) -> DataFrame:
     """``tokens`` with ``text``: codes by the letters of their font (font, code, letter), others as they are."""
     maps = font_map.groupBy("font").agg(F.map_from_entries(F.collect_list(F.struct("code", "letter"))).alias("_map"))
-    joined = tokens.join(F.broadcast(maps), "font", "left")
+    joined = tokens.join(maps, "font", "left")
     letters = F.transform("codes", lambda c: F.coalesce(F.try_element_at("_map", c), c))
     return joined.withColumn("text", F.array_join(letters, "")).drop("_map")
 

@@ -199,7 +199,7 @@ def running_headers(spark: SparkSession, root: str) -> DataFrame:
     masked = rows.select("pdf_id", "year", F.explode(F.array_distinct(F.transform(ends, lambda x: F.regexp_replace(F.trim(x), r"\d+", "#")))).alias("line"))
     counts = masked.groupBy("year", "line").agg(F.count("*").alias("bodies"))
     totals = rows.groupBy("year").agg(F.count("*").alias("total"))
-    return counts.join(F.broadcast(totals), "year").where((F.col("bodies") >= 3) & (F.col("bodies") * 4 >= F.col("total"))).select("year", "line", "bodies")
+    return counts.join(totals, "year").where((F.col("bodies") >= 3) & (F.col("bodies") * 4 >= F.col("total"))).select("year", "line", "bodies")
 
 
 def run_pivot(spark: SparkSession, root: str) -> DataFrame:
