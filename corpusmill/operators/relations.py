@@ -49,5 +49,5 @@ def both_ways(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFra
 
 
 def share_of_total(df: DataFrame, value: str, out: str = "total") -> DataFrame:
-    """``df`` with ``out``, the sum of ``value`` over all rows, joined as one broadcast row."""
-    return df.crossJoin(F.broadcast(df.agg(F.sum(value).alias(out))))
+    """``df`` with ``out``, the sum of ``value`` over all rows, as a scalar subquery."""
+    return df.withColumn(out, df.agg(F.sum(value)).scalar())

@@ -138,8 +138,8 @@ def letter_distance(spark: SparkSession, root: str) -> DataFrame:
     """Sum of differences between the letter shares of train and of the rest."""
     rows = clips(spark, root).select((F.col("split") == "train").alias("train"), F.explode(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "[^א-ת]", ""), "")).alias("letter")).where("letter <> ''")
     counts = rows.groupBy("letter").agg(F.count_if("train").alias("a"), F.count_if(~F.col("train")).alias("b"))
-    totals = counts.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    return counts.crossJoin(F.broadcast(totals)).agg(F.round(F.sum(F.abs(F.col("a") / F.col("ta") - F.col("b") / F.col("tb"))), 9).alias("distance"))
+    one, two = (share_of_total(counts, c, f"all_{c}").select("letter", (F.col(c) / F.col(f"all_{c}")).alias(f"share_{c}")) for c in ("a", "b"))
+    return one.join(two, "letter").agg(F.round(F.sum(F.abs(F.col("share_a") - F.col("share_b"))), 9).alias("distance"))
 
 
 def quote_marks(spark: SparkSession, root: str) -> DataFrame:
