@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 #: First of the code points that stand for words; there are 20,000 up to the surrogates' neighbours.
 _FIRST = 0x4E00
@@ -19,7 +19,7 @@ def word_edits(ref: Column, hyp: Column) -> Column:
     """Least number of word insertions, deletions and replacements between arrays of words.
 
     Each distinct word of the pair becomes one character, and the built-in distance compares the two strings; pairs with
-    more than 20,000 distinct words are refused by the character range, so cut such texts first.
+    more than 20,000 distinct words are refused by the character range, so use ``long_edits`` for long texts.
     """
     both = F.array_distinct(F.concat(ref, hyp))
 
@@ -30,6 +30,36 @@ def word_edits(ref: Column, hyp: Column) -> Column:
     return F.levenshtein(packed(ref), packed(hyp)).cast("bigint")
 
 
+def least_edits(ref: list[str], hyp: list[str]) -> int:
+    """Least number of insertions, deletions and replacements between lists of any length and number of distinct words.
+
+    Columns of the distance table are held as bits of two integers, the places where it goes up and down by one.
+    """
+    n = len(ref)
+    if not n:
+        return len(hyp)
+    places: dict[str, int] = {}
+    for i, word in enumerate(ref):
+        places[word] = places.get(word, 0) | 1 << i
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    up, down, total = full, 0, n
+    for word in hyp:
+        equal = places.get(word, 0)
+        steps = (((equal & up) + up) ^ up) | equal | down
+        more, less = down | (full & ~(steps | up)), up & steps
+        total += bool(more & top) - bool(less & top)
+        more, less = (more << 1 | 1) & full, (less << 1) & full
+        across = equal | down
+        up, down = less | (full & ~(across | more)), more & across
+    return total
+
+
+@F.pandas_udf(LongType())
+def long_edits(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    """``word_edits`` of long texts."""
+    return pd.Series([least_edits(list(r), list(h)) for r, h in zip(ref, hyp, strict=True)], dtype="int64")
+
+
 def char_edits(ref: Column, hyp: Column, blanks: bool = True) -> Column:
     """Least number of character edits; without ``blanks`` they are dropped first."""
     if not blanks:

@@ -28,11 +28,11 @@ def day_wer(spark: SparkSession, root: str) -> DataFrame:
 
 
 def whole_day_wer(spark: SparkSession, root: str) -> DataFrame:
-    """Scoring of whole days: each day's references and hypotheses are joined in clip order first, up to 60 words a clip."""
-    rows = scored(spark, root).withColumn("part", F.struct("id", F.slice("ref_words", 1, 60).alias("r"), F.slice("hyp_words", 1, 60).alias("h")))
+    """Scoring of whole days: each day's references and hypotheses are joined in clip order first."""
+    rows = scored(spark, root).withColumn("part", F.struct("id", F.col("ref_words").alias("r"), F.col("hyp_words").alias("h")))
     joined = rows.groupBy("year", "day").agg(F.sort_array(F.collect_list("part")).alias("parts"))
     joined = joined.select("year", "day", F.flatten("parts.r").alias("r"), F.flatten("parts.h").alias("h"))
-    return joined.select("year", "day", F.size("r").cast("bigint").alias("ref_words"), F.size("h").cast("bigint").alias("hyp_words"), edits.word_edits(F.col("r"), F.col("h")).alias("edits"))
+    return joined.select("year", "day", F.size("r").cast("bigint").alias("ref_words"), F.size("h").cast("bigint").alias("hyp_words"), edits.long_edits(F.col("r"), F.col("h")).alias("edits"))
 
 
 def worst_clips(spark: SparkSession, root: str) -> DataFrame:

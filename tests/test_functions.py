@@ -1,5 +1,6 @@
 import datetime
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +65,12 @@ def test_numerals_and_digest(spark):
 def test_edits(spark):
     a, b = F.split(F.lit("a b c d"), " "), F.split(F.lit("a x c"), " ")
     assert one(spark, edits.word_edits(a, b), edits.word_edits(a, a), edits.word_edits(F.array().cast("array<string>"), a))[:] == (2, 0, 4)
+    r = random.Random(2)
+    for _ in range(300):
+        x, y = ([r.choice("abcd") for _ in range(r.randrange(0, 90))] for _ in range(2))
+        assert edits.least_edits(x, y) == sum(o != "equal" for o, _, _ in edits.align_words(x, y))
+    many = [str(i) for i in range(40_000)]
+    assert edits.least_edits(many, [*many[1:30_000], "x", *many[30_001:]]) == 2
     ops = edits.align_words("a b c d".split(), "a x c e".split())
     assert [o for o, _, _ in ops] == ["equal", "replace", "equal", "replace"]
     assert edits.align_words([], ["a"]) == [("insert", None, "a")]

@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from corpusmill.functions.edits import align_words
 from corpusmill.plans import clips, intervals, measures, records
 
 ROOT = "/root/testdata/sf0.001"
@@ -46,6 +47,16 @@ def test_query(spark, duck, module, name):
     assert sorted(tuple(plain(r[n]) for n in names) for r in rows) == sorted(tuple(plain(r[n]) for n in names) for r in other)
 
 
+def test_whole_days_have_every_word(spark, tmp_path):
+    long = [" ".join("אבגדהוז"[(i * k) % 7] * (1 + i % 9) for i in range(150)) for k in (1, 3)]
+    rows = [(f"1/d/{k:03}", 1, "d", "train", 1.0, t) for k, t in enumerate(long)]
+    spark.createDataFrame(rows, "id string, year int, day string, split string, duration double, text string").write.parquet(f"{tmp_path}/manifest.parquet")
+    got = measures.whole_day_wer(spark, str(tmp_path)).collect()
+    parts = clips.scored(spark, str(tmp_path)).orderBy("id").collect()
+    ref, hyp = ([w for p in parts for w in p[c]] for c in ("ref_words", "hyp_words"))
+    assert len(ref) == 300 and [(r.ref_words, r.hyp_words, r.edits) for r in got] == [(300, len(hyp), sum(x[0] != "equal" for x in align_words(ref, hyp)))]
+
+
 def test_names_are_distinct_and_described():
     seen = [n for _, n in NAMES]
     assert len(seen) == len(set(seen))
