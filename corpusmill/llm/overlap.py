@@ -1,30 +1,36 @@
 """Problem 1: the same or nearly the same record in different splits.
 
-Normalised texts are cut where a rolling hash of the last characters says so, which makes the same cuts around any edit.
-Digests of chunks are joined across the two sides, the lengths of shared chunks are summed up into the overlapping
-fraction of each record, and pairs that overlap are verified by their edit distance.
-
-A chunk that many records hold says little and would pair all of them. Chunks whose pairs exceed ``RARE`` are therefore
-lengthened by the chunks that follow, and only then joined; nothing is left out on account of its frequency.
+Every pair of a held-out and another text whose lengths allow the distance is compared, in bounded blocks: records lie in
+bands of length such that close texts are in the same or neighbouring bands, bands are cut into pieces by hash, and each
+pair of pieces is one group. In a group two necessary conditions of the edit distance thin the pairs, first on counts of
+letters, then on counts of letter pairs; what is left is verified. Neither condition loses a pair, however short the
+texts, however many the edits allowed and however frequent what they share.
+
+Overlapping fractions are those of content-defined chunks: normalised texts are cut where a rolling hash of the last
+characters says so, which makes the same cuts around any edit.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.wording import bounded, mixed, plain_of, signed
-from corpusmill.session import cut, kept
+from corpusmill.llm.wording import mixed, plain_of
+from corpusmill.session import cut
 
 #: Characters in the rolling window, and the mean length of a chunk.
 ROLL = 3
 MEAN = 8
-#: Chunks that a key spans: single ones, and what frequent ones are lengthened to.
-RUNS = (1, 3, 6)
-#: Pairs of records up to which a single chunk is joined as it is.
+#: Pairs up to which a chunk was once joined; nothing depends on a chunk's frequency any more, only a test sets it.
 RARE = 64
+#: Records of a piece of a band, of the held-out side and of the other.
+PIECES = (8192, 16384)
+#: Classes of letter pairs that are counted.
+BIGRAMS = 256
 #: Edits allowed per 100 characters of the longer text, and the least number of words of a text.
 EDITS = 15
 WORDS = 6
@@ -87,16 +93,6 @@ def _allowed(longer: Column, edits: int) -> Column:
     return F.floor(longer * edits / 100).cast("int")
 
 
-def _may_match(edits: int) -> Column:
-    """Whether two profiles leave it open that their texts are close: a necessary condition of the edit distance."""
-    more, less = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
-    for j in range(CLASSES):
-        x, y = (F.shiftright(F.col(f"{side}.half{j % 2}"), CLASS_BITS * (j // 2)).bitwiseAND((1 << CLASS_BITS) - 1) for side in ("x", "y"))
-        more, less = more + F.greatest(x - y, F.lit(0)), less + F.greatest(y - x, F.lit(0))
-    a, b = F.col("x.size"), F.col("y.size")
-    return F.greatest(more, less, F.abs(a - b)) <= _allowed(F.greatest(a, b), edits)
-
-
 def _records(batches):
     """Adds the normalised text in place of the text."""
     for batch in batches:
@@ -104,32 +100,55 @@ def _records(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], plain], names=["key", "side", "plain"])
 
 
-def _keys(batches):
-    """Rows (rec, key0, key1, ...) of the chunks of each record's text: digests of the runs that begin there."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            some = batch.slice(at, SLICE)
-            owner, digest, _ = chunks(some.column(1).to_pylist())
-            n, run, keys = len(owner), digest.copy(), []
-            with np.errstate(over="ignore"):
-                first = np.concatenate([[True], owner[1:] != owner[:-1]]) if n else np.empty(0, bool)
-                for j in range(1, RUNS[-1] + 1):
-                    if j in RUNS:
-                        # A run that its record cuts short is a common ending; only a whole short record has a key.
-                        whole = np.zeros(n, bool)
-                        whole[: max(0, n - j + 1)] = owner[j - 1 :] == owner[: max(0, n - j + 1)]
-                        keys.append(pa.array(run.view(np.int64), pa.int64(), mask=~(whole | first)))
-                    # Beyond a record's last chunk a run is shorter, and marked as such.
-                    follow = np.full(n, np.uint64(j), np.uint64)
-                    follow[: max(0, n - j)] = np.where(owner[j:] == owner[: max(0, n - j)], digest[j:], np.uint64(j))
-                    run = mixed(run + follow)
-            recs = some.column(0).take(pa.array(owner))
-            yield pa.RecordBatch.from_arrays([recs, *keys], names=["rec", *(f"key{i}" for i in range(len(RUNS)))])
-
-
-def _profiled(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, profiles(batch.column(1).to_pylist()))], names=["rec", "half0", "half1", "size"])
+def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths, counts of letters and counts of letter pairs by class, one row a text; counts stop at 255.
+
+    An edit changes one letter and two pairs on either side, so with k edits the counts of one text exceed those of the
+    other by k and 2k in all at most, which classes that fall together and counts that stop only lower.
+    """
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    letters, pairs = np.zeros((len(texts), CLASSES), np.uint8), np.zeros((len(texts), BIGRAMS), np.uint8)
+    for at in range(0, len(texts), SLICE):
+        some = sizes[at : at + SLICE]
+        codes = np.frombuffer("".join(texts[at : at + SLICE]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        owner = np.repeat(np.arange(len(some)), some)
+        inside = np.nonzero(owner[1:] == owner[:-1])[0]
+        both = mixed(codes[inside].astype(np.uint64) << np.uint64(32) | codes[inside + 1].astype(np.uint64)) % np.uint64(BIGRAMS)
+        for out, who, kind in ((letters, owner, codes % np.uint32(CLASSES)), (pairs, owner[inside], both.astype(np.int64))):
+            n = out.shape[1]
+            out[at : at + len(some)] = np.minimum(np.bincount(who * n + kind, minlength=len(some) * n), 255).reshape(-1, n)
+    return sizes, letters, pairs
+
+
+def _compared(edits: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """(a, b): pairs of two pieces that may be close."""
+        found = [[np.empty(0, np.int64)], [np.empty(0, np.int64)]]
+        if left.num_rows and right.num_rows:
+            ours, theirs = left.column("a").to_numpy(), right.column("b").to_numpy()
+            size, letters, pairs = counted(left.column("plain").to_pylist())
+            sizes, *others = counted(right.column("plain").to_pylist())
+            order = np.argsort(sizes, kind="stable")
+            theirs, sizes, all_pairs = theirs[order], sizes[order], others[1][order]
+            by_class = np.ascontiguousarray(others[0][order].T)
+            sums, pair_sums = by_class.sum(0, dtype=np.uint16), all_pairs.sum(1, dtype=np.int64)
+            # Beyond 20,000 edits the conditions on counts always hold.
+            most, mosts = (np.minimum(s * edits // 100, 20_000).astype(np.uint16) for s in (size, sizes))
+            begin = np.searchsorted(sizes, size - size * edits // 100)
+            end = np.searchsorted(sizes, size * 100 // (100 - edits), side="right")
+            for i in np.nonzero(begin < end)[0]:
+                span = slice(begin[i], end[i])
+                more = np.add.reduce(np.maximum(by_class[:, span], letters[i][:, None]), axis=0, dtype=np.uint16)
+                near = np.nonzero(more <= np.minimum(sums[span], letters[i].sum(dtype=np.uint16)) + np.maximum(mosts[span], most[i]))[0] + begin[i]
+                if len(near):
+                    more = np.maximum(all_pairs[near], pairs[i]).sum(1, dtype=np.uint16)
+                    allowed = np.maximum(mosts[near], most[i]).astype(np.int64) * 2
+                    near = near[more <= np.minimum(pair_sums[near], pairs[i].sum(dtype=np.int64)) + allowed]
+                    found[0].append(np.full(len(near), ours[i]))
+                    found[1].append(theirs[near])
+        return pa.table({"a": np.concatenate(found[0]), "b": np.concatenate(found[1])})
+
+    return run
 
 
 def _overlap(batches):
@@ -153,32 +172,28 @@ def _ours() -> Column:
     return F.col("rec").bitwiseAND(1) == 1
 
 
-def _shared(keys: DataFrame, key: str) -> DataFrame:
-    """Keys that both sides hold, with the number of pairs they make."""
-    ours = F.sum(F.col("rec").bitwiseAND(1))
-    return keys.where(F.col(key).isNotNull()).groupBy(key).agg((ours * (F.count("*") - ours)).alias("pairs")).where("pairs > 0")
-
-
-def _joined(keys: DataFrame, key: str) -> DataFrame:
-    """(a, b): records of the two sides with an equal key."""
-    one = keys.where(_ours()).select(key, F.col("rec").alias("a"))
-    two = keys.where(~_ours()).select(key, F.col("rec").alias("b"))
-    return one.join(two, key).select("a", "b")
-
-
-def _candidates(records: DataFrame) -> DataFrame:
-    """(a, b): records of the two sides that share a run of chunks rare enough, or the longest run."""
-    left = kept(records.mapInArrow(_keys, "rec bigint, " + ", ".join(f"key{i} bigint" for i in range(len(RUNS)))))
-    pairs = None
-    for i in range(len(RUNS)):
-        key, last = f"key{i}", i == len(RUNS) - 1
-        shared = cut(_shared(left, key))
-        rare = shared if last else shared.where(F.col("pairs") <= RARE)
-        joined = _joined(left.join(bounded(rare.select(key)), key, "left_semi").select("rec", key), key)
-        pairs = joined if pairs is None else pairs.unionByName(joined)
-        if not last:
-            left = left.join(bounded(shared.where(F.col("pairs") > RARE).select(key)), key, "left_semi")
-    return pairs.distinct()
+def _candidates(records: DataFrame, edits: int) -> DataFrame:
+    """(a, b): records of the two sides that may be close, each pair once."""
+    # A band is a little wider than the lengths of close texts are apart, so these are at most one band apart.
+    width = -1.001 * math.log(1 - max(edits, 1) / 100)
+    banded = records.withColumn("band", F.floor(F.log(F.greatest(F.length("plain"), F.lit(1))) / width).cast("int"))
+    sides = []
+    for ours, most in zip((True, False), PIECES, strict=True):
+        rows = banded.where(_ours() if ours else ~_ours())
+        # As many pieces as hold the records of a band; one row a band.
+        pieces = rows.groupBy("band").agg(F.ceil(F.count("*") / most).cast("int").alias("pieces"))
+        sides.append((rows.join(F.broadcast(pieces), "band").withColumn("piece", F.pmod(F.xxhash64("rec"), "pieces").cast("int")), cut(pieces)))
+    (one, held), (two, rest) = sides
+    near = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("other")
+    # Groups are (band and piece of the held-out side, band and piece of the other).
+    whole = held.select("band", "pieces", near).join(rest.select(F.col("band").alias("other"), F.col("pieces").alias("others")), "other")
+    key = ["band", "piece", "other", "part"]
+    one = one.join(F.broadcast(whole.select("band", "other", "others")), "band").select("band", "piece", "other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("part"), F.col("rec").alias("a"), "plain")
+    two = two.select(F.col("band").alias("other"), F.col("piece").alias("part"), F.col("rec").alias("b"), "plain")
+    two = two.join(F.broadcast(whole.select("band", "other", "pieces")), "other").select("band", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "other", "part", "b", "plain")
+    # Both sides come from one table; new names keep their columns apart.
+    one, two = one.toDF(*one.columns), two.toDF(*two.columns)
+    return one.groupBy(*key).cogroup(two.groupBy(*key)).applyInArrow(_compared(edits), "a bigint, b bigint")
 
 
 def overlaps(df: DataFrame, key: str, text: str, held_out: Column, words: int = WORDS, edits: int = EDITS) -> DataFrame:
@@ -190,15 +205,15 @@ def overlaps(df: DataFrame, key: str, text: str, held_out: Column, words: int =
     null key, a null text and one of fewer than ``words`` words. Copies of a text on one side are compared once and
     listed by key. Repeated rows give one pair; empty tables none; further columns are ignored, whatever their names.
     """
+    if not 0 <= edits < 100:
+        raise ValueError("edits per 100 characters must be from 0 to 99")
     rows = df.select(F.col(f"`{key}`").alias("key"), held_out.alias("side"), F.col(f"`{text}`").alias("text")).where("key is not null and side is not null and text is not null")
     kind = df.schema[key].dataType.simpleString()
     members = rows.mapInArrow(_records, f"key {kind}, side boolean, plain string").where(F.size(F.split("plain", " ")) >= words)
     # Equal texts of a side are one record. The lowest bit of a record's number tells its side.
     number = (F.shiftleft(F.monotonically_increasing_id(), 1) + F.col("side").cast("int")).alias("rec")
     records = cut(members.select("side", "plain").distinct().select(number, "plain"))
-    profiled = bounded(cut(records.mapInArrow(_profiled, "rec bigint, half0 bigint, half1 bigint, size bigint")))
-    pairs = _candidates(records).join(profiled.alias("x"), F.col("a") == F.col("x.rec")).join(profiled.alias("y"), F.col("b") == F.col("y.rec"))
-    pairs = cut(pairs.where(_may_match(edits)).select("a", "b"))
+    pairs = cut(_candidates(records, edits))
     one = records.where(_ours()).select(F.col("rec").alias("a"), F.col("plain").alias("plain_a"))
     two = records.where(~_ours()).select(F.col("rec").alias("b"), F.col("plain").alias("plain_b"))
     close = pairs.join(one, "a").join(two, "b").withColumn("_most", _allowed(F.greatest(F.length("plain_a"), F.length("plain_b")), edits))

@@ -79,3 +79,30 @@ def test_profiles_bound_the_distance():
     a, b = "abcabc", "abcab"
     first, second, sizes = profiles([a, b])
     assert sizes.tolist() == [6, 5] and (first[0], second[0]) != (first[1], second[1])
+
+
+def edited(r, text, n):
+    out = list(text)
+    for _ in range(n):
+        at = r.randrange(len(out))
+        out[at : at + 1] = r.choice([[], ["ק"], [out[at], "ר"]])
+    return "".join(out)
+
+
+def test_short_texts_with_as_many_edits_as_allowed(spark):
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("אבגדהוזחטיכלמנ") for _ in range(r.randrange(2, 6))) for _ in range(200)]
+    texts = [" ".join(r.choices(vocabulary, k=r.randrange(6, 10))) for _ in range(80)]
+    rows = [(f"t{i}", t, "train") for i, t in enumerate(texts)] + [(f"e{i}", edited(r, t, len(t) * 15 // 100), "dev") for i, t in enumerate(texts)]
+    want = brute(rows)
+    assert len(want) > 40 and found(spark, rows) == want
+
+
+def test_pairs_that_share_only_frequent_chunks(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "PIECES", (7, 11), raising=False)
+    r = random.Random(9)
+    words = ["אבגדה", "וזחטי", "כלמנס", "עפצקר", "שתאגה", "זטכמס"]
+    texts = [" ".join(r.choices(words, k=r.randrange(6, 16))) for _ in range(50)]
+    rows = [(f"t{i}", t, "train") for i, t in enumerate(texts)] + [(f"e{i}", edited(r, t, len(t) // 8), "test") for i, t in enumerate(texts)]
+    want = brute(rows)
+    assert len(want) > 40 and found(spark, rows) == want
