@@ -1,13 +1,18 @@
 """Problem 1: the same or nearly the same record in different splits.
 
-Every pair of a held-out and another text whose lengths allow the distance is compared, in bounded blocks: records lie in
-bands of length such that close texts are in the same or neighbouring bands, bands are cut into pieces by hash, and each
-pair of pieces is one group. In a group two necessary conditions of the edit distance thin the pairs, first on counts of
-letters, then on counts of letter pairs; what is left is verified. Neither condition loses a pair, however short the
-texts, however many the edits allowed and however frequent what they share.
-
-Overlapping fractions are those of content-defined chunks: normalised texts are cut where a rolling hash of the last
-characters says so, which makes the same cuts around any edit.
+Normalised records are cut into chunks, the digests of the chunks are joined across splits, and the lengths of shared
+chunks are summed up for each pair of records. Two cuts are used:
+
+* Candidates need a sum that no close pair falls short of. With 15 edits per 100 characters spread evenly, six characters
+  in a row are all that stays whole, so that chunks cut where a rolling hash says are lost; here every window of the rolling
+  hash is a chunk. An edit takes at most as many windows as a window has characters, so close records share all but that
+  many for each edit, however short they are and however frequent what they share.
+* The overlapping fractions that are reported are of content-defined chunks, cut where the rolling hash says.
+
+The held-out records are a stated query set against all others. Digests are joined inside blocks of both sides, so that a
+frequent digest is never the key of a shuffle: records lie in bands of length such that close texts are in the same or
+neighbouring bands, bands are cut into pieces by hash, and each pair of pieces is one block. What passes is compared by
+edit distance.
 """
 
 from __future__ import annotations
@@ -25,12 +30,11 @@ from corpusmill.session import cut
 #: Characters in the rolling window, and the mean length of a chunk.
 ROLL = 3
 MEAN = 8
-#: Pairs up to which a chunk was once joined; nothing depends on a chunk's frequency any more, only a test sets it.
-RARE = 64
 #: Records of a piece of a band, of the held-out side and of the other.
-PIECES = (8192, 16384)
-#: Classes of letter pairs that are counted.
+PIECES = (8192, 32768)
+#: Classes of digests of windows of two characters, which are counted, and of ``ROLL`` characters, which are bits.
 BIGRAMS = 256
+WINDOWS = 1024
 #: Edits allowed per 100 characters of the longer text, and the least number of words of a text.
 EDITS = 15
 WORDS = 6
@@ -72,21 +76,8 @@ def chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.searchsorted(ends, begin, side="right"), digest, stop - begin
 
 
-#: The profile of a text: for each of 24 classes of letters five bits, in two integers, and the length.
-CLASSES, CLASS_BITS = 24, 5
-
-
-def profiles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Both halves of the profiles and the lengths; counts too large for their bits are given as the largest value."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    halves = [np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)]
-    if sizes.sum():
-        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        counts = np.bincount(owner * CLASSES + codes % np.uint32(CLASSES), minlength=len(texts) * CLASSES).reshape(-1, CLASSES)
-        for j in range(CLASSES):
-            halves[j % 2] |= np.minimum(counts[:, j], (1 << CLASS_BITS) - 1) << (CLASS_BITS * (j // 2))
-    return halves[0], halves[1], sizes
+#: Classes of letters that are counted.
+CLASSES = 24
 
 
 def _allowed(longer: Column, edits: int) -> Column:
@@ -100,14 +91,15 @@ def _records(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], plain], names=["key", "side", "plain"])
 
 
-def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lengths, counts of letters and counts of letter pairs by class, one row a text; counts stop at 255.
+def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths, counts of letters and of pairs of letters by class, and the windows' classes as bits, one row a text; counts stop at 255.
 
-    An edit changes one letter and two pairs on either side, so with k edits the counts of one text exceed those of the
-    other by k and 2k in all at most, which classes that fall together and counts that stop only lower.
+    An edit changes one letter, two pairs and ``ROLL`` windows on either side, so with k edits one text has at most k letters,
+    2k pairs and ``ROLL * k`` windows that the other lacks. Classes that fall together and counts that stop only lower that.
     """
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     letters, pairs = np.zeros((len(texts), CLASSES), np.uint8), np.zeros((len(texts), BIGRAMS), np.uint8)
+    windows = np.zeros((len(texts), WINDOWS // 64), np.uint64)
     for at in range(0, len(texts), SLICE):
         some = sizes[at : at + SLICE]
         codes = np.frombuffer("".join(texts[at : at + SLICE]).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -117,19 +109,26 @@ def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for out, who, kind in ((letters, owner, codes % np.uint32(CLASSES)), (pairs, owner[inside], both.astype(np.int64))):
             n = out.shape[1]
             out[at : at + len(some)] = np.minimum(np.bincount(who * n + kind, minlength=len(some) * n), 255).reshape(-1, n)
-    return sizes, letters, pairs
+        whole = np.nonzero(owner[ROLL - 1 :] == owner[: len(owner) - ROLL + 1])[0]
+        with np.errstate(over="ignore"):
+            roll = np.zeros(len(whole), np.uint64)
+            for j in range(ROLL):
+                roll = mixed(roll + codes[whole + j].astype(np.uint64) + np.uint64(1))
+        bits = np.zeros((len(some), WINDOWS), bool)
+        bits[owner[whole], (roll % np.uint64(WINDOWS)).astype(np.int64)] = True
+        windows[at : at + len(some)] = np.packbits(bits, axis=1).view(np.uint64)
+    return sizes, letters, pairs, windows
 
 
 def _compared(edits: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        """(a, b): pairs of two pieces that may be close."""
+        """(a, b, plain_a, plain_b): pairs of two pieces whose shared windows let them be close."""
         found = [[np.empty(0, np.int64)], [np.empty(0, np.int64)]]
         if left.num_rows and right.num_rows:
-            ours, theirs = left.column("a").to_numpy(), right.column("b").to_numpy()
-            size, letters, pairs = counted(left.column("plain").to_pylist())
+            size, letters, pairs, windows = counted(left.column("plain").to_pylist())
             sizes, *others = counted(right.column("plain").to_pylist())
             order = np.argsort(sizes, kind="stable")
-            theirs, sizes, all_pairs = theirs[order], sizes[order], others[1][order]
+            sizes, all_pairs, all_windows = sizes[order], others[1][order], others[2][order]
             by_class = np.ascontiguousarray(others[0][order].T)
             sums, pair_sums = by_class.sum(0, dtype=np.uint16), all_pairs.sum(1, dtype=np.int64)
             # Beyond 20,000 edits the conditions on counts always hold.
@@ -142,30 +141,35 @@ def _compared(edits: int):
                 near = np.nonzero(more <= np.minimum(sums[span], letters[i].sum(dtype=np.uint16)) + np.maximum(mosts[span], most[i]))[0] + begin[i]
                 if len(near):
                     more = np.maximum(all_pairs[near], pairs[i]).sum(1, dtype=np.uint16)
-                    allowed = np.maximum(mosts[near], most[i]).astype(np.int64) * 2
-                    near = near[more <= np.minimum(pair_sums[near], pairs[i].sum(dtype=np.int64)) + allowed]
-                    found[0].append(np.full(len(near), ours[i]))
-                    found[1].append(theirs[near])
-        return pa.table({"a": np.concatenate(found[0]), "b": np.concatenate(found[1])})
+                    allowed = np.maximum(mosts[near], most[i]).astype(np.int64)
+                    fits = more <= np.minimum(pair_sums[near], pairs[i].sum(dtype=np.int64)) + allowed * 2
+                    near, allowed = near[fits], allowed[fits] * ROLL
+                    theirs = all_windows[near]
+                    fits = (np.bitwise_count(windows[i] & ~theirs).sum(1, dtype=np.int64) <= allowed) & (np.bitwise_count(theirs & ~windows[i]).sum(1, dtype=np.int64) <= allowed)
+                    near = near[fits]
+                    if len(near):
+                        found[0].append(np.full(len(near), i))
+                        found[1].append(order[near])
+        ours, theirs = left.take(pa.array(np.concatenate(found[0]))), right.take(pa.array(np.concatenate(found[1])))
+        return pa.table({"a": ours.column("a"), "b": theirs.column("b"), "plain_a": ours.column("plain"), "plain_b": theirs.column("plain")})
 
     return run
 
 
 def _overlap(batches):
-    """Adds the fractions of two texts that lie in chunks they share."""
+    """(a, b, edits) with the fractions of the two texts that lie in chunks they share."""
     for batch in batches:
-        names = ["plain_a", "plain_b"]
-        one, two = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names)
-        both = [chunks(texts) for texts in (one, two)]
-        out = [np.zeros(batch.num_rows), np.zeros(batch.num_rows)]
-        bounds = [np.searchsorted(owner, np.arange(batch.num_rows + 1)) for owner, _, _ in both]
-        for i in range(batch.num_rows):
-            parts = [slice(b[i], b[i + 1]) for b in bounds]
-            for k in (0, 1):
-                _, digest, length = both[k]
-                hit = np.isin(digest[parts[k]], both[1 - k][1][parts[1 - k]])
-                out[k][i] = length[parts[k]][hit].sum() / max(1, length[parts[k]].sum())
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out[0]), pa.array(out[1])], names=[*batch.schema.names, "overlap_a", "overlap_b"])
+        n = batch.num_rows
+        both = [chunks(batch.column(batch.schema.get_field_index(c)).to_pylist()) for c in ("plain_a", "plain_b")]
+        out = []
+        for one, two in (both, both[::-1]):
+            # A chunk is shared if the pair's other text has its digest too.
+            ids, place = np.unique(np.concatenate([one[1], two[1]]), return_inverse=True)
+            mine, theirs = one[0] * len(ids) + place[: len(one[0])], two[0] * len(ids) + place[len(one[0]) :]
+            shared = np.bincount(one[0], one[2] * np.isin(mine, theirs), minlength=n)
+            out.append(pa.array(shared / np.maximum(1, np.bincount(one[0], one[2], minlength=n))))
+        kept = [batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "edits")]
+        yield pa.RecordBatch.from_arrays([*kept, *out], names=["a", "b", "edits", "overlap_a", "overlap_b"])
 
 
 def _ours() -> Column:
@@ -173,7 +177,7 @@ def _ours() -> Column:
 
 
 def _candidates(records: DataFrame, edits: int) -> DataFrame:
-    """(a, b): records of the two sides that may be close, each pair once."""
+    """(a, b, plain_a, plain_b): records of the two sides that may be close, each pair once."""
     # A band is a little wider than the lengths of close texts are apart, so these are at most one band apart.
     width = -1.001 * math.log(1 - max(edits, 1) / 100)
     banded = records.withColumn("band", F.floor(F.log(F.greatest(F.length("plain"), F.lit(1))) / width).cast("int"))
@@ -193,17 +197,15 @@ def _candidates(records: DataFrame, edits: int) -> DataFrame:
     two = two.join(F.broadcast(whole.select("band", "other", "pieces")), "other").select("band", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "other", "part", "b", "plain")
     # Both sides come from one table; new names keep their columns apart.
     one, two = one.toDF(*one.columns), two.toDF(*two.columns)
-    return one.groupBy(*key).cogroup(two.groupBy(*key)).applyInArrow(_compared(edits), "a bigint, b bigint")
+    return one.groupBy(*key).cogroup(two.groupBy(*key)).applyInArrow(_compared(edits), "a bigint, b bigint, plain_a string, plain_b string")
 
 
-def overlaps(df: DataFrame, key: str, text: str, held_out: Column, words: int = WORDS, edits: int = EDITS) -> DataFrame:
-    """Pairs of texts, one held out and one not, that are equal or nearly so.
+def close_records(df: DataFrame, key: str, text: str, held_out: Column, words: int = WORDS, edits: int = EDITS) -> tuple[DataFrame, DataFrame]:
+    """(members, links) of held-out and other records that are equal or nearly so.
 
-    Returns ``key_a`` (of a held-out record), ``key_b``, ``edits``, ``overlap_a`` and ``overlap_b`` (fractions of each
-    text's characters in chunks that both have). A pair has at most ``edits`` edits per 100 characters of the longer
-    text, in comparison form. ``held_out`` tells the sides; where it is null the row takes no part, and neither do a
-    null key, a null text and one of fewer than ``words`` words. Copies of a text on one side are compared once and
-    listed by key. Repeated rows give one pair; empty tables none; further columns are ignored, whatever their names.
+    ``members`` (key, side, rec): the class of each record, its text in comparison form; copies on a side are one class.
+    ``links`` (a, b, edits, overlap_a, overlap_b): pairs of a held-out and another class, with the fractions of each
+    text's characters in chunks that both have. See :func:`overlaps` for the cases.
     """
     if not 0 <= edits < 100:
         raise ValueError("edits per 100 characters must be from 0 to 99")
@@ -213,12 +215,33 @@ def overlaps(df: DataFrame, key: str, text: str, held_out: Column, words: int =
     # Equal texts of a side are one record. The lowest bit of a record's number tells its side.
     number = (F.shiftleft(F.monotonically_increasing_id(), 1) + F.col("side").cast("int")).alias("rec")
     records = cut(members.select("side", "plain").distinct().select(number, "plain"))
-    pairs = cut(_candidates(records, edits))
-    one = records.where(_ours()).select(F.col("rec").alias("a"), F.col("plain").alias("plain_a"))
-    two = records.where(~_ours()).select(F.col("rec").alias("b"), F.col("plain").alias("plain_b"))
-    close = pairs.join(one, "a").join(two, "b").withColumn("_most", _allowed(F.greatest(F.length("plain_a"), F.length("plain_b")), edits))
-    close = close.withColumn("edits", F.expr("levenshtein(plain_a, plain_b, _most)")).where("edits >= 0").select("plain_a", "plain_b", "edits")
-    close = cut(close.mapInArrow(_overlap, "plain_a string, plain_b string, edits int, overlap_a double, overlap_b double"))
-    left = members.where("side").select(F.col("key").alias("key_a"), F.col("plain").alias("plain_a"))
-    right = members.where("not side").select(F.col("key").alias("key_b"), F.col("plain").alias("plain_b"))
-    return close.join(left, "plain_a").join(right, "plain_b").select("key_a", "key_b", "edits", "overlap_a", "overlap_b").distinct()
+    near = _candidates(records, edits).withColumn("_most", _allowed(F.greatest(F.length("plain_a"), F.length("plain_b")), edits))
+    close = near.withColumn("edits", F.expr("levenshtein(plain_a, plain_b, _most)"))
+    links = cut(close.where("edits >= 0").mapInArrow(_overlap, "a bigint, b bigint, edits int, overlap_a double, overlap_b double"))
+    named = members.join(records.select(_ours().alias("side"), "plain", "rec"), ["side", "plain"]).select("key", "side", "rec")
+    return named, links
+
+
+def overlaps(df: DataFrame, key: str, text: str, held_out: Column, words: int = WORDS, edits: int = EDITS) -> DataFrame:
+    """Pairs of texts, one held out and one not, that are equal or nearly so.
+
+    Returns ``key_a`` (of a held-out record), ``key_b``, ``edits``, ``overlap_a`` and ``overlap_b`` (fractions of each
+    text's characters in chunks that both have). A pair has at most ``edits`` edits per 100 characters of the longer
+    text, in comparison form. ``held_out`` tells the sides; where it is null the row takes no part, and neither do a
+    null key, a null text and one of fewer than ``words`` words. Copies of a text on one side are compared once and
+    listed by key. Repeated rows give one pair; empty tables none; further columns are ignored, whatever their names.
+    """
+    members, links = close_records(df, key, text, held_out, words, edits)
+    left = members.where("side").select(F.col("key").alias("key_a"), F.col("rec").alias("a"))
+    right = members.where("not side").select(F.col("key").alias("key_b"), F.col("rec").alias("b"))
+    return links.join(left, "a").join(right, "b").select("key_a", "key_b", "edits", "overlap_a", "overlap_b").distinct()
+
+
+def leaked(df: DataFrame, key: str, text: str, held_out: Column, words: int = WORDS, edits: int = EDITS) -> DataFrame:
+    """(``key``, edits, overlap): for each held-out record that also stands on the other side the least edits and the greatest overlap.
+
+    Links are reduced to a row a class before members are joined, so that copies are never paired. See :func:`overlaps`.
+    """
+    members, links = close_records(df, key, text, held_out, words, edits)
+    best = links.groupBy(F.col("a").alias("rec")).agg(F.min("edits").alias("edits"), F.max("overlap_a").alias("overlap"))
+    return members.where("side").join(best, "rec").groupBy(F.col("key").alias(key)).agg(F.min("edits").alias("edits"), F.max("overlap").alias("overlap"))

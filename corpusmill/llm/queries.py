@@ -9,7 +9,7 @@ from corpusmill.functions.dates import calendar_date
 from corpusmill.llm.grouped_splits import assigned, torn
 from corpusmill.llm.leaks import leaks
 from corpusmill.llm.near_texts import similar_groups, similar_pairs
-from corpusmill.llm.overlap import overlaps
+from corpusmill.llm.overlap import leaked, overlaps
 from corpusmill.llm.pieces import cut_oversized
 from corpusmill.llm.reading import reading_levels
 from corpusmill.llm.same_form import same_looking_pairs, with_canonical
@@ -21,25 +21,21 @@ from corpusmill.session import table
 __all__ = ["QUERIES", "SQL"]
 
 
-def _split_overlaps(spark: SparkSession, root: str) -> DataFrame:
-    return overlaps(table(spark, root, "manifest"), "id", "text", F.col("split") != "train")
-
-
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of a train clip and another one with the same or nearly the same text."""
-    pairs = _split_overlaps(spark, root)
+    pairs = overlaps(table(spark, root, "manifest"), "id", "text", F.col("split") != "train")
     return pairs.select(F.least("key_a", "key_b").alias("id_a"), F.greatest("key_a", "key_b").alias("id_b")).distinct()
 
 
 def p1_report(spark: SparkSession, root: str) -> DataFrame:
     """Held-out clips that also stand in train, per split and source: clips, exact ones, and their mean overlap."""
-    best = _split_overlaps(spark, root).groupBy(F.col("key_a").alias("id")).agg(F.min("edits").alias("edits"), F.max("overlap_a").alias("overlap"))
+    best = leaked(table(spark, root, "manifest"), "id", "text", F.col("split") != "train")
     clips = table(spark, root, "manifest").where(F.col("split") != "train").select("id", "split", "source_mp3", "day").distinct()
-    leaked, n = F.col("edits").isNotNull(), F.countDistinct
+    hit, n = F.col("edits").isNotNull(), F.countDistinct
     return (
         clips.join(best, "id", "left")
         .groupBy("split", "source_mp3", "day")
-        .agg(n("id").alias("clips"), n(F.when(leaked, F.col("id"))).alias("leaked"), n(F.when(F.col("edits") == 0, F.col("id"))).alias("exact"), F.avg("overlap").alias("mean_overlap"))
+        .agg(n("id").alias("clips"), n(F.when(hit, F.col("id"))).alias("leaked"), n(F.when(F.col("edits") == 0, F.col("id"))).alias("exact"), F.avg("overlap").alias("mean_overlap"))
     )
 
 

@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.llm import overlap
-from corpusmill.llm.overlap import chunks, overlaps, profiles
+from corpusmill.llm.overlap import chunks, counted, leaked, overlaps
 from corpusmill.llm.wording import plain_of
 
 SCHEMA = "id string, text string, split string, rec int, plain string"
@@ -33,9 +34,7 @@ def found(spark, rows):
     return {(r.key_a, r.key_b): r.edits for r in got}
 
 
-@pytest.mark.parametrize("rare", [64, 0])
-def test_against_brute_force(spark, monkeypatch, rare):
-    monkeypatch.setattr(overlap, "RARE", rare)
+def test_against_brute_force(spark):
     r = random.Random(4)
     vocabulary = ["".join(r.choice("אבגדהוזחטיכלמנ") for _ in range(r.randrange(2, 8))) for _ in range(300)]
     rows = []
@@ -52,10 +51,10 @@ def test_against_brute_force(spark, monkeypatch, rare):
     want = brute(rows)
     got = found(spark, rows)
     assert len(want) > 30
-    assert got.items() <= want.items()
-    # Copies are always found; with every chunk too frequent, an edited text only where it keeps a longest run.
-    assert {k for k, d in want.items() if not d} <= got.keys()
-    assert len(got) >= (0.97 if rare else 0.6) * len(want)
+    assert got == want
+    df = spark.createDataFrame([(*r, 1, "p") for r in rows], SCHEMA)
+    best = {k: min(d for (a, _), d in want.items() if a == k) for k, _ in want}
+    assert {x.id: x.edits for x in leaked(df, "id", "text", F.col("split") != "train").collect()} == best
 
 
 def test_cases(spark):
@@ -75,10 +74,17 @@ def test_chunks_resynchronise_and_cover():
     assert len(chunks([])[0]) == 0
 
 
-def test_profiles_bound_the_distance():
-    a, b = "abcabc", "abcab"
-    first, second, sizes = profiles([a, b])
-    assert sizes.tolist() == [6, 5] and (first[0], second[0]) != (first[1], second[1])
+def test_counts_bound_the_distance():
+    r = random.Random(3)
+    texts = ["".join(r.choice("abcd ") for _ in range(r.randrange(1, 60))) for _ in range(40)]
+    sizes, letters, pairs, windows = counted(texts)
+    assert sizes.tolist() == [len(t) for t in texts]
+    for i in range(40):
+        for j in range(40):
+            k = distance(texts[i], texts[j])
+            for counts, each in ((letters, 1), (pairs, 2)):
+                assert np.maximum(counts[i].astype(int) - counts[j], 0).sum() <= each * k
+            assert int(np.bitwise_count(windows[i] & ~windows[j]).sum()) <= overlap.ROLL * k
 
 
 def edited(r, text, n):
@@ -106,3 +112,19 @@ def test_pairs_that_share_only_frequent_chunks(spark, monkeypatch):
     rows = [(f"t{i}", t, "train") for i, t in enumerate(texts)] + [(f"e{i}", edited(r, t, len(t) // 8), "test") for i, t in enumerate(texts)]
     want = brute(rows)
     assert len(want) > 40 and found(spark, rows) == want
+
+
+@pytest.mark.parametrize("size", [200, 800])
+@pytest.mark.parametrize("percent", [5, 10, 15])
+def test_evenly_spread_edits_are_found_at_every_size(spark, size, percent):
+    """Few words, so that everything is frequent, and replacements as far apart as they can be: the hardest spread."""
+    r = random.Random(percent)
+    vocabulary = ["".join(r.choice("אבגדהוזחטיכלמנ") for _ in range(r.randrange(3, 7))) for _ in range(60)]
+    texts = [" ".join(r.choices(vocabulary, k=10)) for _ in range(size)]
+    rows = [(f"t{i}", t, "train") for i, t in enumerate(texts)]
+    for i, text in enumerate(texts):
+        n = len(text) * percent // 100
+        places = {int((k + 0.5) * len(text) / n) for k in range(n)}
+        rows.append((f"e{i}", "".join("ק" if k in places and c != " " else c for k, c in enumerate(text)), "dev"))
+    got = found(spark, rows)
+    assert all((f"e{i}", f"t{i}") in got for i in range(size))
