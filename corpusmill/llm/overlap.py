@@ -32,9 +32,13 @@ ROLL = 3
 MEAN = 8
 #: Records of a piece of a band, of the held-out side and of the other.
 PIECES = (8192, 32768)
+#: Characters of a piece, of either side, at most but for one text; a longer one is a piece of its own.
+PIECE_CHARS = 8_000_000
 #: Classes of digests of windows of two characters, which are counted, and of ``ROLL`` characters, which are bits.
 BIGRAMS = 256
 WINDOWS = 1024
+#: Characters of a window whose place is looked at too: an edit moves what follows it by one place at most.
+PLACED = 4
 #: Edits allowed per 100 characters of the longer text, and the least number of words of a text.
 EDITS = 15
 WORDS = 6
@@ -120,36 +124,75 @@ def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return sizes, letters, pairs, windows
 
 
+class Placed:
+    """Digests of the windows of ``PLACED`` characters of each text, sorted, with their places."""
+
+    #: Places are the low bits of a digest's key; of texts that are longer, places are taken as equal.
+    BITS = 24
+
+    def __init__(self, texts: list[str]) -> None:
+        self.texts, self.keys = texts, {}
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        found = self.keys.get(i)
+        if found is None:
+            codes = np.frombuffer(self.texts[i].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            n = max(0, len(codes) - PLACED + 1)
+            with np.errstate(over="ignore"):
+                digest = np.zeros(n, np.uint64)
+                for j in range(PLACED):
+                    digest = mixed(digest + codes[j : j + n] + np.uint64(1))
+            found = (digest >> np.uint64(self.BITS + 1) << np.uint64(self.BITS)) | np.arange(n, dtype=np.uint64) % np.uint64(1 << self.BITS)
+            self.keys[i] = found = np.sort(found.astype(np.int64))
+        return found
+
+
+def lacking(ours: np.ndarray, theirs: np.ndarray, reach: int) -> int:
+    """Windows of one text that the other doesn't have within ``reach`` places; both as :class:`Placed` gives them."""
+    if not len(theirs) or max(len(ours), len(theirs)) + reach >= 1 << Placed.BITS:
+        return 0 if len(theirs) else len(ours)
+    low, mask = (1 << Placed.BITS) - 1, ~((1 << Placed.BITS) - 1)
+    first = (ours & mask) + np.maximum((ours & low) - reach, 0)
+    at = np.minimum(np.searchsorted(theirs, first), len(theirs) - 1)
+    return int(np.count_nonzero((theirs[at] < first) | (theirs[at] > ours + reach)))
+
+
 def _compared(edits: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         """(a, b, plain_a, plain_b): pairs of two pieces whose shared windows let them be close."""
         found = [[np.empty(0, np.int64)], [np.empty(0, np.int64)]]
         if left.num_rows and right.num_rows:
-            size, letters, pairs, windows = counted(left.column("plain").to_pylist())
-            sizes, *others = counted(right.column("plain").to_pylist())
+            texts, others_texts = left.column("plain").to_pylist(), right.column("plain").to_pylist()
+            size, letters, pairs, windows = counted(texts)
+            sizes, *others = counted(others_texts)
             order = np.argsort(sizes, kind="stable")
             sizes, all_pairs, all_windows = sizes[order], others[1][order], others[2][order]
-            by_class = np.ascontiguousarray(others[0][order].T)
-            sums, pair_sums = by_class.sum(0, dtype=np.uint16), all_pairs.sum(1, dtype=np.int64)
+            # Sums over classes stay in the type of their terms, which is what makes a pair cost a few nanoseconds.
+            letters, by_class = letters.astype(np.uint16), np.ascontiguousarray(others[0][order].T.astype(np.uint16))
+            sum_of, sums, pair_sum_of, pair_sums = letters.sum(1, dtype=np.uint16), by_class.sum(0, dtype=np.uint16), pairs.sum(1, dtype=np.int64), all_pairs.sum(1, dtype=np.int64)
             # Beyond 20,000 edits the conditions on counts always hold.
             most, mosts = (np.minimum(s * edits // 100, 20_000).astype(np.uint16) for s in (size, sizes))
             begin = np.searchsorted(sizes, size - size * edits // 100)
             end = np.searchsorted(sizes, size * 100 // (100 - edits), side="right")
+            placed, all_placed = Placed(texts), Placed(others_texts)
             for i in np.nonzero(begin < end)[0]:
                 span = slice(begin[i], end[i])
-                more = np.add.reduce(np.maximum(by_class[:, span], letters[i][:, None]), axis=0, dtype=np.uint16)
-                near = np.nonzero(more <= np.minimum(sums[span], letters[i].sum(dtype=np.uint16)) + np.maximum(mosts[span], most[i]))[0] + begin[i]
-                if len(near):
-                    more = np.maximum(all_pairs[near], pairs[i]).sum(1, dtype=np.uint16)
-                    allowed = np.maximum(mosts[near], most[i]).astype(np.int64)
-                    fits = more <= np.minimum(pair_sums[near], pairs[i].sum(dtype=np.int64)) + allowed * 2
-                    near, allowed = near[fits], allowed[fits] * ROLL
-                    theirs = all_windows[near]
-                    fits = (np.bitwise_count(windows[i] & ~theirs).sum(1, dtype=np.int64) <= allowed) & (np.bitwise_count(theirs & ~windows[i]).sum(1, dtype=np.int64) <= allowed)
-                    near = near[fits]
-                    if len(near):
-                        found[0].append(np.full(len(near), i))
-                        found[1].append(order[near])
+                more = np.maximum(by_class[:, span], letters[i][:, None]).sum(0, dtype=np.uint16)
+                near = np.nonzero(more <= np.minimum(sums[span], sum_of[i]) + np.maximum(mosts[span], most[i]))[0] + begin[i]
+                if not len(near):
+                    continue
+                allowed = np.maximum(mosts[near], most[i]).astype(np.int64)
+                theirs = all_windows[near]
+                fits = np.bitwise_count(windows[i] & ~theirs).sum(1, dtype=np.int64) <= allowed * ROLL
+                fits &= np.bitwise_count(theirs & ~windows[i]).sum(1, dtype=np.int64) <= allowed * ROLL
+                near, allowed = near[fits], allowed[fits]
+                if not len(near):
+                    continue
+                fits = np.maximum(all_pairs[near], pairs[i]).sum(1, dtype=np.int64) <= np.minimum(pair_sums[near], pair_sum_of[i]) + allowed * 2
+                near = [j for j, k in zip(near[fits].tolist(), allowed[fits].tolist(), strict=True) if lacking(placed[i], all_placed[order[j]], k) <= PLACED * k]
+                if near:
+                    found[0].append(np.full(len(near), i))
+                    found[1].append(order[near])
         ours, theirs = left.take(pa.array(np.concatenate(found[0]))), right.take(pa.array(np.concatenate(found[1])))
         return pa.table({"a": ours.column("a"), "b": theirs.column("b"), "plain_a": ours.column("plain"), "plain_b": theirs.column("plain")})
 
@@ -185,7 +228,7 @@ def _candidates(records: DataFrame, edits: int) -> DataFrame:
     for ours, most in zip((True, False), PIECES, strict=True):
         rows = banded.where(_ours() if ours else ~_ours())
         # As many pieces as hold the records of a band; one row a band.
-        pieces = rows.groupBy("band").agg(F.ceil(F.count("*") / most).cast("int").alias("pieces"))
+        pieces = rows.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / most, F.sum(F.length("plain")) / PIECE_CHARS)).cast("int").alias("pieces"))
         sides.append((rows.join(F.broadcast(pieces), "band").withColumn("piece", F.pmod(F.xxhash64("rec"), "pieces").cast("int")), cut(pieces)))
     (one, held), (two, rest) = sides
     near = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("other")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.llm import overlap
-from corpusmill.llm.overlap import chunks, counted, leaked, overlaps
+from corpusmill.llm.overlap import Placed, chunks, counted, lacking, leaked, overlaps
 from corpusmill.llm.wording import plain_of
 
 SCHEMA = "id string, text string, split string, rec int, plain string"
@@ -85,6 +85,8 @@ def test_counts_bound_the_distance():
             for counts, each in ((letters, 1), (pairs, 2)):
                 assert np.maximum(counts[i].astype(int) - counts[j], 0).sum() <= each * k
             assert int(np.bitwise_count(windows[i] & ~windows[j]).sum()) <= overlap.ROLL * k
+            placed = Placed(texts)
+            assert lacking(placed[i], placed[j], k) <= overlap.PLACED * k
 
 
 def edited(r, text, n):
