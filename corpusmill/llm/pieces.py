@@ -1,28 +1,41 @@
-"""Problem 7: oversized items cut into pieces under the limits.
+"""Problem 7: oversized items cut into pieces under the limits, by byte ranges.
 
-A cut depends only on the text near a point of a fixed grid, so that workers find cuts in ranges of a text, with a halo
-on either side, and emit whole pieces by offset: no worker needs a whole text, however long, and the cuts don't depend
-on how a text is divided into ranges. Pieces are numbered by their place on the grid.
+An item is a run of UTF-8 bytes, the text of a row or a whole file, and no worker needs more of it than one range with a
+halo on either side:
+
+1. The bytes are read in ranges. Characters that begin in a range are counted there, and a prefix sum over the counts,
+   one row a range, gives each range its place in characters.
+2. Workers detect boundaries: for each point of a fixed grid of characters in their range the best place before it. Cuts
+   depend only on the text near a grid point, so they are the same however an item is divided into ranges.
+3. The boundary tables of all ranges are stitched: each cut is the start of a piece, the end of the one before and the
+   floor of the one after, which one aggregation by piece puts together.
+4. Pieces go back to the range they begin in, as a list of offsets, and are emitted out of its bytes.
 """
 
 from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators.intervals import to_ms
+from corpusmill.session import cut
 
-#: Code points of a text in a range.
+#: Bytes of a range.
 RANGE = 1 << 16
 #: The grid's step as a share of the limit, and the share of a step before a grid point where the cut is sought. A piece
 #: has at most (1 + SEEK) steps and what it repeats of the piece before; the rest of the limit is room for that.
 STEP, SEEK = 0.6, 0.25
+#: Characters of a halo, as a multiple of the limit; a character has four bytes at most.
+HALO, CHAR = 3, 4
 #: Where a cut is natural, best first; the cut is after the mark and the blanks that follow it.
 ENDS = (".!?׃…。", ";:", ",،")
 
+_RANGE_TABLE = "item bigint, nth bigint, base bigint, lo bigint, hi bigint, data binary, chars bigint"
+
 
 def _cut_in(text: str, low: int, high: int) -> int:
     """The best place p with low < p <= high to cut ``text`` before: after a line or sentence end, a pause, a word."""
@@ -46,10 +59,10 @@ def _cut_in(text: str, low: int, high: int) -> int:
         p -= 1
     if rank == 0:
         # No blank: at least don't part a mark from its letter.
-        p = high
-        while p > low + 1 and p < len(text) and unicodedata.combining(text[p]):
-            p -= 1
-        best = p if p > low and not (p < len(text) and unicodedata.combining(text[p])) else high
+        while best > low + 1 and best < len(text) and unicodedata.combining(text[best]):
+            best -= 1
+        if best < len(text) and unicodedata.combining(text[best]):
+            best = high
     return best
 
 
@@ -70,47 +83,160 @@ def _back(text: str, at: int, floor: int, words: int) -> tuple[int, int]:
     return best, got
 
 
-def _pieces(overlap: int):
+def _begins(data: bytes, at: int) -> int:
+    """The first place from ``at`` where a character begins."""
+    while at < len(data) and data[at] & 0xC0 == 0x80:
+        at += 1
+    return at
+
+
+def _chars(data: bytes) -> int:
+    """Characters that begin in ``data``."""
+    return int(np.count_nonzero(np.frombuffer(data, np.uint8) & 0xC0 != 0x80))
+
+
+def _of_range(data: bytes, base: int, lo: int, hi: int) -> tuple[str, int, int]:
+    """Text of a range with its halo, and the characters in it before and after the range's first one."""
+    first = _begins(data, 0)
+    inside = _begins(data, lo - base)
+    text = data[first:].decode("utf-8", "replace")
+    return text, _chars(data[first:inside]), _chars(data[inside : max(inside, hi - base)])
+
+
+def _text_ranges(size: int):
+    """Rows of the range table out of rows (item, text, limit): each range is a slice of the bytes."""
+
+    def run(batches):
+        for batch in batches:
+            for item, text, limit in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                data = text.encode("utf-8", "surrogatepass")
+                halo = HALO * CHAR * limit
+                rows = []
+                for nth, lo in enumerate(range(0, len(data), size)):
+                    hi, base = min(len(data), lo + size), max(0, lo - halo)
+                    rows.append((item, nth, base, lo, hi, data[base : hi + halo], _chars(data[lo:hi])))
+                    if len(rows) == 64 or hi == len(data):
+                        yield _range_rows(rows)
+                        rows = []
+
+    return run
+
+
+def _file_ranges(halo: int):
+    """Rows of the range table out of rows (item, path, nth, lo, hi): each worker opens the file and reads its range alone."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            for item, path, nth, lo, hi in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                system, name = fs.FileSystem.from_uri(path if "://" in path or not path.startswith("file:") else "file://" + path[5:])
+                base = max(0, lo - halo)
+                with system.open_input_file(name) as file:
+                    data = file.read_at(hi + halo - base, base)
+                yield _range_rows([(item, nth, base, lo, hi, data, _chars(data[lo - base : hi - base]))])
+
+    return run
+
+
+def _range_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [("item", pa.int64()), ("nth", pa.int64()), ("base", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("data", pa.binary()), ("chars", pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(kinds)], schema=pa.schema(kinds))
+
+
+def _grid(limit: int, size: int) -> tuple[int, int]:
+    """The step of the grid and the number of its points inside an item."""
+    step = max(1, int(limit * STEP))
+    return step, (size - 1) // step if size > limit else 0
+
+
+def _boundaries(batches):
+    """Rows (item, point, nth, at) of the cuts of grid points in a range; ``at`` is in characters of the item."""
+    for batch in batches:
+        out: dict[str, list] = {k: [] for k in ("item", "point", "nth", "at")}
+        for r in batch.to_pylist():
+            step, points = _grid(r["limit"], r["size"])
+            seek = int(step * SEEK)
+            text, before, inside = _of_range(r["data"], r["base"], r["lo"], r["hi"])
+            origin = r["offset"] - before
+            for point in range(max(1, -(-r["offset"] // step)), min(points, -(-(r["offset"] + inside) // step) - 1) + 1):
+                high = point * step - origin
+                at = _cut_in(text, high - seek - 1, high) if seek else high
+                for name, value in zip(out, (r["item"], point, r["nth"], origin + at), strict=True):
+                    out[name].append(value)
+        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(k, pa.int64()) for k in out]))
+
+
+def _emitted(overlap: int):
+    """Rows (item, number, begin, upto, text, shared) of the pieces that begin in a range."""
+
     def run(batches):
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("row", "number", "begin", "upto", "text", "shared")}
+            out: dict[str, list] = {k: [] for k in ("item", "number", "begin", "upto", "text", "shared")}
             for r in batch.to_pylist():
-                text, base, size, limit = r["part"] or "", r["offset"], r["size"], r["limit"]
-                step = max(1, int(limit * STEP))
-                seek = int(step * SEEK)
-                points = (size - 1) // step if size > limit else 0
-                made: dict[int, int] = {}
-
-                def place(i: int) -> int:
-                    """The i-th cut; 0 at the start and the size after the last grid point."""
-                    if i <= 0 or i > points:
-                        return 0 if i <= 0 else size
-                    if i not in made:
-                        high = i * step - base
-                        made[i] = base + _cut_in(text, high - seek - 1, high) if seek else base + high
-                    return made[i]
-
-                # A range owns the grid intervals that begin in it; its last interval ends in the halo.
-                first = -(-r["from"] // step)
-                last = min(points, -(-r["to"] // step) - 1)
-                for i in range(first, last + 1):
-                    begin, upto = place(i), place(i + 1)
-                    shared = 0
-                    if i:
-                        back, shared = _back(text, begin - base, max(0, upto - base - limit, place(i - 1) - base), overlap)
-                        begin = base + back
-                    for name, value in zip(out, (r["row"], i, begin, upto, text[begin - base : upto - base], shared), strict=True):
+                text, before, _ = _of_range(r["data"], r["base"], r["lo"], r["hi"])
+                origin = r["offset"] - before
+                for p in r["pieces"]:
+                    begin, upto, shared = p["at"] - origin, p["upto"] - origin, 0
+                    if p["number"]:
+                        begin, shared = _back(text, begin, max(0, upto - r["limit"], p["floor"] - origin), overlap)
+                    for name, value in zip(out, (r["item"], p["number"], origin + begin, p["upto"], text[begin:upto], shared), strict=True):
                         out[name].append(value)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("row", batch.schema.field("row").type), ("number", pa.int64()), ("begin", pa.int64()), ("upto", pa.int64()), ("text", pa.string()), ("shared", pa.int32())]))
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("item", pa.int64()), ("number", pa.int64()), ("begin", pa.int64()), ("upto", pa.int64()), ("text", pa.string()), ("shared", pa.int32())]))
 
     return run
 
 
+def _cut_ranges(ranges: DataFrame, limits: DataFrame | None, max_chars: int, overlap_words: int) -> DataFrame:
+    """(item, number, begin, upto, text, shared) of a materialised range table; ``limits`` (item, limit) where they differ."""
+    by_item = Window.partitionBy("item").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    lengths = ranges.select("item", "nth", "chars").withColumn("offset", F.coalesce(F.sum("chars").over(by_item), F.lit(0)))
+    sizes = ranges.groupBy("item").agg(F.sum("chars").alias("size"))
+    known = sizes.withColumn("limit", F.lit(max_chars).cast("bigint")) if limits is None else sizes.join(limits, "item")
+    known = known.toDF(*known.columns)
+    placed = lengths.select("item", "nth", "offset").join(known, "item")
+    parts = ranges.select("item", "nth", "base", "lo", "hi", "data").join(placed, ["item", "nth"])
+    table = cut(parts.mapInArrow(_boundaries, "item bigint, point bigint, nth bigint, at bigint"))
+    # The start of an item is a boundary too, and its end.
+    steps = F.greatest(F.lit(1), F.floor(F.col("limit") * STEP).cast("bigint"))
+    points = F.when(F.col("size") > F.col("limit"), F.floor((F.col("size") - 1) / steps)).otherwise(0).cast("bigint")
+    zero = F.lit(0).cast("bigint")
+    ends = known.select("item", F.explode(F.array(F.struct(zero.alias("point"), zero.alias("nth"), zero.alias("at")), F.struct((points + 1).alias("point"), F.lit(-1).cast("bigint").alias("nth"), F.col("size").alias("at")))).alias("e")).select("item", "e.*")
+    table = table.unionByName(ends)
+    at, point, none = F.col("at"), F.col("point"), F.lit(None).cast("bigint")
+    roles = F.array(
+        F.struct(point.alias("number"), F.col("nth"), at.alias("at"), none.alias("upto"), none.alias("floor")),
+        F.struct((point - 1).alias("number"), none.alias("nth"), none.alias("at"), at.alias("upto"), none.alias("floor")),
+        F.struct((point + 1).alias("number"), none.alias("nth"), none.alias("at"), none.alias("upto"), at.alias("floor")),
+    )
+    stitched = table.select("item", F.explode(roles).alias("r")).groupBy("item", "r.number").agg(*(F.max(f"r.{c}").alias(c) for c in ("nth", "at", "upto", "floor")))
+    stitched = stitched.where("at is not null and upto is not null")
+    # A range has a bounded number of pieces.
+    lists = stitched.groupBy("item", "nth").agg(F.sort_array(F.collect_list(F.struct("number", "at", "upto", F.coalesce("floor", F.lit(0)).alias("floor")))).alias("pieces"))
+    return parts.join(lists, ["item", "nth"]).mapInArrow(_emitted(overlap_words), "item bigint, number bigint, begin bigint, upto bigint, text string, shared int")
+
+
 def oversized(text: Column, start: Column, end: Column, max_chars: int, max_ms: int) -> Column:
     """Whether a text is too long, or its span: a null bound gives no span, and a reversed one none above the limit."""
     return (F.coalesce(F.length(text), F.lit(0)) > max_chars) | F.coalesce(to_ms(end) - to_ms(start) > max_ms, F.lit(False))
 
 
+def cut_files(spark: SparkSession, paths: str, max_chars: int, overlap_words: int, range_size: int = RANGE) -> DataFrame:
+    """(path, piece, begin, upto, text, shared_words): the pieces of UTF-8 text files, each read in ranges by many workers.
+
+    A file within the limit is one piece, an empty one gives none. Bytes that are no UTF-8 become replacement characters.
+    Only names and lengths are listed; contents are read by the workers, at most ``range_size`` bytes and the halos each.
+    """
+    files = spark.read.format("binaryFile").load(paths).select("path", "length").where("length > 0")
+    files = cut(files.withColumn("item", F.monotonically_increasing_id()))
+    nth = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("length") - 1) / range_size).cast("bigint")))
+    asked = files.select("item", "path", "length", nth.alias("nth"))
+    asked = asked.select("item", "path", "nth", (F.col("nth") * range_size).alias("lo"), F.least("length", (F.col("nth") + 1) * range_size).alias("hi")).repartition("item", "nth")
+    ranges = cut(asked.mapInArrow(_file_ranges(HALO * CHAR * max_chars), _RANGE_TABLE))
+    pieces = _cut_ranges(ranges, None, max_chars, overlap_words)
+    return pieces.join(files.select("item", "path"), "item").select("path", F.col("number").alias("piece"), "begin", "upto", "text", F.col("shared").alias("shared_words"))
+
+
 def cut_oversized(df: DataFrame, key: str, text: str, start: str, end: str, max_chars: int, max_seconds: float, overlap_words: int, range_size: int = RANGE) -> DataFrame:
     """The pieces of each item beyond a limit; items within the limits give no rows.
 
@@ -127,28 +253,21 @@ def cut_oversized(df: DataFrame, key: str, text: str, start: str, end: str, max_
     span = to_ms(F.col("end")) - to_ms(F.col("start"))
     rows = rows.withColumn("size", F.coalesce(F.length("text"), F.lit(0)).cast("bigint")).withColumn("ms", F.when(span > 0, span))
     by_time = F.when(F.col("ms") > max_ms, F.floor(F.col("size") * F.lit(max_ms) / F.col("ms"))).otherwise(F.lit(max_chars)).cast("bigint")
-    rows = rows.withColumn("limit", F.least(F.lit(max_chars).cast("bigint"), by_time))
-    row = F.struct("key", to_ms(F.col("start")).alias("from_ms"), "ms", "size").alias("row")
-    # Ranges with halos: a cut is sought before its grid point, and a piece reaches back and on by less than a limit.
+    rows = cut(rows.withColumn("limit", F.least(F.lit(max_chars).cast("bigint"), by_time)).withColumn("from_ms", to_ms(F.col("start"))).withColumn("item", F.monotonically_increasing_id()))
     long = rows.where("limit >= 1 and size > 0")
-    ranges = long.select(row, "text", "size", "limit", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("size") - 1) / range_size).cast("bigint"))).alias("nth"))
-    begin = F.col("nth") * range_size
-    offset = F.greatest(F.lit(0), begin - 3 * F.col("limit"))
-    upto = F.least(F.col("size"), begin + range_size + 3 * F.col("limit"))
-    parts = ranges.select("row", "size", "limit", begin.alias("from"), F.least(F.col("size"), begin + range_size).alias("to"), offset.alias("offset"), F.substring("text", (offset + 1).cast("int"), (upto - offset).cast("int")).alias("part"))
-    kind = parts.schema["row"].dataType.simpleString()
-    pieces = parts.mapInArrow(_pieces(overlap_words), f"row {kind}, number bigint, begin bigint, upto bigint, text string, shared int")
+    ranges = cut(long.select("item", "text", "limit").mapInArrow(_text_ranges(range_size), _RANGE_TABLE))
+    pieces = _cut_ranges(ranges, long.select("item", "limit"), max_chars, overlap_words).join(long.select("item", "key", "from_ms", "ms", "size"), "item")
 
     def at(place: Column) -> Column:
-        return F.col("row.from_ms") + F.round(F.col("row.ms") * place / F.col("row.size")).cast("bigint")
+        return F.col("from_ms") + F.round(F.col("ms") * place / F.col("size")).cast("bigint")
 
-    cut = pieces.select(F.col("row.key").alias(key), F.col("number").alias("piece"), "begin", "upto", "text", F.col("shared").alias("shared_words"), at(F.col("begin")).alias("start_ms"), at(F.col("upto")).alias("end_ms"))
+    found = pieces.select(F.col("key").alias(key), F.col("number").alias("piece"), "begin", "upto", "text", F.col("shared").alias("shared_words"), at(F.col("begin")).alias("start_ms"), at(F.col("upto")).alias("end_ms"))
     short = rows.where("limit < 1 or size = 0").withColumn("n", F.ceil(F.col("ms") / max_ms).cast("bigint"))
     short = short.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("piece"))
     first = F.col("piece") == 0
 
     def even(i: Column) -> Column:
-        return to_ms(F.col("start")) + F.floor(F.col("ms") * i / F.col("n")).cast("bigint")
+        return F.col("from_ms") + F.floor(F.col("ms") * i / F.col("n")).cast("bigint")
 
     plain = short.select(F.col("key").alias(key), "piece", F.when(first, 0).otherwise(F.col("size")).cast("bigint").alias("begin"), F.col("size").alias("upto"), F.when(first, F.coalesce("text", F.lit(""))).otherwise("").alias("text"), F.lit(0).alias("shared_words"), even(F.col("piece")).alias("start_ms"), even(F.col("piece") + 1).alias("end_ms"))
-    return cut.unionByName(plain)
+    return found.unionByName(plain)
