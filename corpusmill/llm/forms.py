@@ -3,6 +3,9 @@
 ``canonical`` gives NFC of the compatibility form, with invisible characters dropped, look-alike letters and quotes
 unified, and every run of white space one blank. Only unstable segments (found by the normalization quick-check
 properties) are normalised, each with its preceding starter as boundary context; the rest of a text is left as it is.
+
+Letters of Latin, Greek and Cyrillic that look alike are unified by the word: a word that has a letter found in Cyrillic
+(or Greek) alone is written in that script, any other in Latin letters. What a word becomes depends only on how it looks.
 """
 
 from __future__ import annotations
@@ -25,11 +28,39 @@ ALIKE = {
     "“": '"',
     "”": '"',
     "„": '"',
+    "‐": "-",  # hyphen
 }
+#: Cyrillic and Greek letters that look like Latin ones, out of Unicode's public table of confusable characters.
+CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮԌԚԜаеѕіјорсухһԁԛԝѵ", "ABESIJKMHOPCTYXYGQWaesijopcyxhdqwv", strict=True))
+GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹονϲϳ", "ABEZHIKMNOPTYXCovcj", strict=True))
+_LATIN = str.maketrans(CYRILLIC | GREEK)
+#: The way back takes the first of several letters.
+_BACK = {script: str.maketrans({latin: ch for ch, latin in reversed(table.items())}) for script, table in (("CYRILLIC", CYRILLIC), ("GREEK", GREEK))}
 #: Combining grapheme joiner, which is invisible but no format character.
 JOINERS = frozenset("͏")
 
 
+def _script(ch: str) -> str:
+    """CYRILLIC or GREEK; empty for all else."""
+    return next((s for s in _BACK if unicodedata.name(ch, "").startswith(s)), "")
+
+
+#: Blocks of both scripts, and words with a letter of them.
+_EITHER = "[\u0370-\u052f\u1c80-\u1c8f\u1d26-\u1d2b\u1f00-\u1fff\u2de0-\u2dff\ua640-\ua69f]"
+_TWO_SCRIPTS = re.compile(rf"(?:[^\W\d_]|[\u0300-\u036f])*{_EITHER}(?:[^\W\d_]|[\u0300-\u036f])*")
+
+
+def _one_script(match: re.Match[str]) -> str:
+    word = unicodedata.normalize("NFD", match.group(0)).translate(_LATIN)
+    scripts = {_script(c) for c in word} - {""}
+    return unicodedata.normalize("NFC", word.translate(_BACK[scripts.pop()]) if len(scripts) == 1 else word)
+
+
+def one_script(text: str) -> str:
+    """``text`` with the words of Cyrillic and Greek letters in one script each."""
+    return _TWO_SCRIPTS.sub(_one_script, text)
+
+
 def _gone(ch: str) -> bool:
     return unicodedata.category(ch) == "Cf" or ch in JOINERS
 
@@ -44,7 +75,7 @@ def _whole(text: str) -> str:
 
 def canonical_plain(text: str | None) -> str | None:
     """The same form computed over the whole text; what :class:`Canonical` is tested against."""
-    return None if text is None else " ".join(x for x in _whole(text).split(" ") if x)
+    return None if text is None else " ".join(x for x in one_script(_whole(text)).split(" ") if x)
 
 
 class Canonical:
@@ -55,12 +86,14 @@ class Canonical:
         self.unstable: set[str] = set()
         self.marks: set[str] = set()
         self.segment: re.Pattern[str] | None = None
+        self.scripts = False
 
     def _learn(self, chars: set[str]) -> None:
         new = chars - self.seen
         if not new:
             return
         self.seen |= new
+        self.scripts = self.scripts or any(_script(d) for c in new for d in unicodedata.normalize("NFKD", c))
         for c in new:
             if unicodedata.combining(c):
                 self.marks.add(c)
@@ -93,6 +126,8 @@ class Canonical:
         self._learn(set(text))
         if self.segment is not None and not (text.isascii() and not self.unstable):
             text = self.segment.sub(self._splice, text)
+        if self.scripts:
+            text = one_script(text)
         return " ".join(x for x in text.split(" ") if x)
 
 
@@ -108,17 +143,16 @@ def canonical_column(column: str, out: str):
     return run
 
 
-#: Hebrew points and accents, which comparisons of words leave out.
-_PLAIN: dict[int, str | None] = {}
-
-
 class Plain(dict):
-    """A translation table to comparison form: letters and digits in lower case, white space as blanks, nothing else."""
+    """A translation table to comparison form: letters and digits in lower case, white space as blanks, nothing else.
+
+    Lower-case letters that look like Latin ones become these, whatever the word.
+    """
 
     def __missing__(self, code: int) -> str:
         ch = chr(code)
         parts = "".join(ALIKE.get(c, c) for c in unicodedata.normalize("NFKD", ch))
-        out = "".join(c.lower() if c.isalnum() else " " if c.isspace() else "" for c in parts)
+        out = "".join(c.lower().translate(_LATIN) if c.isalnum() else " " if c.isspace() else "" for c in parts)
         # Lower case may bring marks back.
         out = "".join(c for c in unicodedata.normalize("NFKD", out) if c.isalnum() or c == " ")
         self[code] = out

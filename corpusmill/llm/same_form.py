@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from corpusmill.llm.forms import canonical_column
+from corpusmill.session import cut
 
 
 def with_canonical(df: DataFrame, text: str, out: str = "_canonical") -> DataFrame:
@@ -22,11 +23,18 @@ def same_looking_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """Pairs ``key_a`` < ``key_b`` whose non-empty texts look the same but aren't the same code points.
 
     Null keys and null or empty texts give no pair; texts of white space or invisible characters alone look empty and
-    give none; repeated rows count once; an empty table gives no rows. Only classes of several raw forms are joined.
+    give none; repeated rows count once; an empty table gives no rows. Different forms are paired, and their keys only then, so
+    that copies of one form never meet each other.
     """
     rows = df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_raw")).where("_key is not null and _raw <> ''")
     rows = with_canonical(rows, "_raw").where("_canonical <> ''")
-    varied = rows.groupBy("_canonical").agg(F.min("_raw").alias("_least"), F.max("_raw").alias("_most")).where("_least <> _most").select("_canonical")
-    members = rows.join(varied, "_canonical", "left_semi").distinct()
-    pair = [F.col("a._canonical") == F.col("b._canonical"), F.col("a._key") < F.col("b._key"), F.col("a._raw") != F.col("b._raw")]
-    return members.alias("a").join(members.alias("b"), pair).select(F.col("a._key").alias(f"{key}_a"), F.col("b._key").alias(f"{key}_b")).distinct()
+    # A key's raw forms are one row each; only forms that have another of the same look are paired, and then their keys.
+    forms = rows.select("_canonical", "_raw").distinct()
+    varied = forms.groupBy("_canonical").agg(F.count("*").alias("_n")).where("_n > 1").select("_canonical")
+    forms = cut(forms.join(varied, "_canonical", "left_semi").withColumn("_form", F.monotonically_increasing_id()))
+    members = rows.join(forms, ["_canonical", "_raw"]).select("_key", "_form").distinct()
+    one, two = (forms.select("_canonical", F.col("_form").alias(n)) for n in ("_one", "_two"))
+    apart = one.join(two, "_canonical").where("_one < _two").select("_one", "_two")
+    left, right = members.select(F.col("_key").alias("_a"), F.col("_form").alias("_one")), members.select(F.col("_key").alias("_b"), F.col("_form").alias("_two"))
+    pairs = apart.join(left, "_one").join(right, "_two").where("_a <> _b")
+    return pairs.select(F.least("_a", "_b").alias(f"{key}_a"), F.greatest("_a", "_b").alias(f"{key}_b")).distinct()

@@ -54,3 +54,17 @@ def test_pairs(spark):
 def test_very_long_text():
     text = "\ufb2f\u05d1 " * 100_000
     assert Canonical()(text) == canonical_plain(text)
+
+
+def test_letters_of_other_scripts():
+    form = Canonical()
+    for a, b in (("раураl", "paypal"), ("Αpple", "Apple"), ("ѕ", "s"), ("a‐b", "a-b"), ("рoст", "рост"), ("ΡDF", "PDF"), ("poccия", "россия"), ("Ёж", "Eж".replace("E", "Ё"))):
+        assert form(a) == form(b) == canonical_plain(a) == form(form(a))
+    assert form("россия") == "россия" and form("Ελλάδα") == "Ελλάδα" and form("нет") != form("het")
+    assert "раура1".translate(Plain()) == "paypa1"
+
+
+def test_many_copies_of_two_forms(spark):
+    rows = [(i, "אָ") for i in range(300)] + [(1000, "אָ")]
+    got = same_looking_pairs(spark.createDataFrame(rows, "k int, _raw string"), "k", "_raw").collect()
+    assert sorted(tuple(r) for r in got) == [(i, 1000) for i in range(300)]
