@@ -1,4 +1,8 @@
-"""Alignment of a reference token sequence with recognised words: sure anchors first, then a fuzzy match in the gaps."""
+"""Alignment of a reference token sequence with recognised words: sure anchors first, then a fuzzy match in the gaps.
+
+Ties are a contract. Of several pairings of the same total similarity in a gap the one is given that, read from the end,
+leaves out a reference word where it can, else a recognised word, and pairs two words only where both would lose.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,12 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Word pairs of a gap up to which it is matched; a larger gap stays unmatched and is counted so by :func:`match_counts`.
+MOST_CELLS = 40_000
+#: Places after the pointer in which a segment's words are sought.
+REACH = 400
 
 
 def anchors(ref: list[str], hyp: list[str]) -> list[tuple[int, int, float]]:
@@ -16,53 +26,115 @@ def anchors(ref: list[str], hyp: list[str]) -> list[tuple[int, int, float]]:
     return [(b.a + k, b.b + k, 1.0) for b in blocks for k in range(b.size)]
 
 
-def fuzzy(ref: list[str], hyp: list[str], least: float = 0.75, most_cells: int = 40_000) -> list[tuple[int, int, float]]:
-    """Anchors, and between them the pairing in order of the greatest total similarity, of words at least ``least`` alike.
+class Likeness(dict):
+    """Similarities of pairs of words of at least ``least``, each pair compared once; the others are 0."""
 
-    A gap of more than ``most_cells`` word pairs stays unmatched. Of equal totals the skip of a reference word is kept,
-    then that of a recognised word.
-    """
-    sure = anchors(ref, hyp)
-    found, begin = list(sure), (0, 0)
-    for i, j, _ in [*sure, (len(ref), len(hyp), 0.0)]:
-        left, right = ref[begin[0] : i], hyp[begin[1] : j]
-        if left and right and len(left) * len(right) <= most_cells:
-            found += [(begin[0] + a, begin[1] + b, s) for a, b, s in _in_gap(left, right, least)]
-        begin = (i + 1, j + 1)
-    return sorted(found)
+    def __init__(self, least: float) -> None:
+        super().__init__()
+        self.least = least
 
+    def __missing__(self, pair: tuple[str, str]) -> float:
+        one, two = pair
+        value = 0.0
+        # Twice the shorter length by both lengths is the most that a ratio can be.
+        if 2 * min(len(one), len(two)) >= self.least * (len(one) + len(two)):
+            found = difflib.SequenceMatcher(None, one, two, autojunk=False).ratio()
+            value = found if found >= self.least else 0.0
+        self[pair] = value
+        return value
 
-def _in_gap(left: list[str], right: list[str], least: float) -> list[tuple[int, int, float]]:
-    alike = np.array([[difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() for b in right] for a in left])
-    best = np.zeros((len(left) + 1, len(right) + 1))
-    how = np.zeros(best.shape, np.int8)
-    for i in range(1, len(left) + 1):
-        for j in range(1, len(right) + 1):
-            options = [best[i - 1, j], best[i, j - 1]]
-            if alike[i - 1, j - 1] >= least:
-                options.append(best[i - 1, j - 1] + alike[i - 1, j - 1])
-            how[i, j] = int(np.argmax(options))
-            best[i, j] = options[how[i, j]]
-    out, i, j = [], len(left), len(right)
-    while i and j:
-        if how[i, j] == 2:
-            i, j = i - 1, j - 1
-            out.append((i, j, float(alike[i, j])))
-        elif how[i, j] == 0:
+    def table(self, ref: list[str], hyp: list[str]) -> np.ndarray:
+        """One similarity for each pair of distinct words, spread over all places."""
+        rows, row_of = np.unique(np.array(ref, object), return_inverse=True)
+        cols, col_of = np.unique(np.array(hyp, object), return_inverse=True)
+        small = np.array([[self[r, c] for c in cols] for r in rows])
+        return small[np.ix_(row_of, col_of)]
+
+
+def best_pairing(alike: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs in order, of positive likeness each, with the greatest sum of likenesses.
+
+    A whole row of totals is made at a time: pairs extend the row above by one column, and a running maximum does the
+    columns that are left out. The way back reads the totals alone.
+    """
+    n, m = alike.shape
+    totals = np.zeros((n + 1, m + 1))
+    for i in range(n):
+        paired = np.where(alike[i] > 0, totals[i, :-1] + alike[i], 0.0)
+        totals[i + 1, 1:] = np.maximum.accumulate(np.maximum(totals[i, 1:], paired))
+    pairs, i, j = [], n, m
+    while totals[i, j] > 0:
+        if totals[i - 1, j] == totals[i, j]:
             i -= 1
-        else:
+        elif totals[i, j - 1] == totals[i, j]:
             j -= 1
-    return out
+        else:
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+    return pairs[::-1]
+
 
+def fuzzy(ref: list[str], hyp: list[str], least: float = 0.75, most_cells: int = MOST_CELLS, likeness: Likeness | None = None) -> list[tuple[int, int, float]]:
+    """Anchors, and between them the pairing in order of the greatest total similarity, of words at least ``least`` alike.
 
-def aligned(ref: DataFrame, hyp: DataFrame, keys: Sequence[str], exact: bool = False, least: float = 0.75) -> DataFrame:
+    A gap of more than ``most_cells`` word pairs stays unmatched.
+    """
+    likeness = Likeness(least) if likeness is None else likeness
+    found = anchors(ref, hyp)
+    ends = np.array([(-1, -1), *((i, j) for i, j, _ in found), (len(ref), len(hyp))])
+    sizes = np.diff(ends, axis=0) - 1
+    for k in np.nonzero((sizes.min(axis=1) > 0) & (sizes.prod(axis=1) <= most_cells))[0]:
+        (row, col), (rows, cols) = ends[k] + 1, sizes[k]
+        alike = likeness.table(ref[row : row + rows], hyp[col : col + cols])
+        found += [(int(row + i), int(col + j), float(alike[i, j])) for i, j in best_pairing(alike)]
+    return sorted(found)
+
+
+def aligned(ref: DataFrame, hyp: DataFrame, keys: Sequence[str], exact: bool = False, least: float = 0.75, most_cells: int = MOST_CELLS) -> DataFrame:
     """``keys``, ref_place, hyp_place, score: tokens (place, norm) of both sides, matched within each entity."""
     schema = ref.select(*keys).schema.simpleString()[7:-1].replace(":", " ") + ", ref_place bigint, hyp_place bigint, score double"
 
     def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values("place"), b.sort_values("place")
-        pairs = (anchors if exact else lambda x, y: fuzzy(x, y, least))(a["norm"].tolist(), b["norm"].tolist())
+        one, two = a["norm"].tolist(), b["norm"].tolist()
+        pairs = anchors(one, two) if exact else fuzzy(one, two, least, most_cells)
         head = list(a.iloc[0][list(keys)]) if len(a) else []
         return pd.DataFrame([[*head, a["place"].iloc[i], b["place"].iloc[j], s] for i, j, s in pairs], columns=[*keys, "ref_place", "hyp_place", "score"])
 
     return ref.groupBy(*keys).cogroup(hyp.groupBy(*keys)).applyInPandas(match, schema)
+
+
+def match_counts(ref: DataFrame, hyp: DataFrame, pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys``, n_ref, n_hyp, matched, unmatched: how much of each entity's reference found a word."""
+    counts = [df.groupBy(*keys).agg(F.count("*").alias(n)) for df, n in ((ref, "n_ref"), (hyp, "n_hyp"), (pairs, "matched"))]
+    out = counts[0].join(counts[1], list(keys), "left").join(counts[2], list(keys), "left").na.fill(0, ["n_hyp", "matched"])
+    return out.withColumn("unmatched", F.col("n_ref") - F.col("matched"))
+
+
+def forward_matches(tokens: DataFrame, segments: DataFrame, keys: Sequence[str], reach: int = REACH) -> DataFrame:
+    """``keys``, place, first, last: the tokens (place, norm) that say the words of each segment (place, words).
+
+    Segments are taken in order; each is sought from the end of the last one found, in at most ``reach`` places, as a run
+    of equal words. One that isn't found moves nothing. Segments without words give no rows.
+    """
+    schema = segments.select(*keys).schema.simpleString()[7:-1].replace(":", " ") + ", place bigint, first bigint, last bigint"
+
+    def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a, b = a.sort_values("place"), b.sort_values("place")
+        norms, numbers = a["norm"].tolist(), a["place"].tolist()
+        # Places of each word, so that only those of a segment's first word are looked at.
+        places: dict[str, list[int]] = {}
+        for i, norm in enumerate(norms):
+            places.setdefault(norm, []).append(i)
+        rows, pointer = [], 0
+        for place, words in zip(b["place"].tolist(), b["words"].tolist(), strict=True):
+            words = list(words) if words is not None else []
+            starts = places.get(words[0], []) if words else []
+            at = int(np.searchsorted(starts, pointer))
+            hit = next((i for i in starts[at:] if i < pointer + reach and norms[i : i + len(words)] == words), None) if words else None
+            if hit is not None:
+                pointer = hit + len(words)
+                rows.append([*b.iloc[0][list(keys)], place, numbers[hit], numbers[pointer - 1]])
+        return pd.DataFrame(rows, columns=[*keys, "place", "first", "last"])
+
+    return tokens.groupBy(*keys).cogroup(segments.groupBy(*keys)).applyInPandas(match, schema)

@@ -1,8 +1,9 @@
 """Interval algebra per entity: merged periods and the gaps between them.
 
-Intervals are half-open ``[start, end)`` in whole milliseconds. A group of intervals is never gathered in one task:
-rows are first reduced to the furthest end per start (at most ``SLICE_MS`` starts in a time slice), slices are summed up,
-and each slice learns from the earlier ones only the furthest end so far.
+Intervals are half-open ``[start, end)`` in whole milliseconds. The intervals of an entity are never gathered in one task:
+rows are first reduced to the furthest end per start (at most ``SLICE_MS`` starts in a time slice), and each slice learns
+from the earlier ones only the furthest end and the last start of an island so far. What an entity has in one task is one
+row a slice, a minute of its time.
 """
 
 from __future__ import annotations
@@ -41,15 +42,17 @@ def islands(df: DataFrame, keys: Sequence[str], start: str = "start", end: str =
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in inner] + [F.col("a._slice") == F.col("b._slice")]
     seen = local.alias("a").join(carried.alias("b"), same).select("a.*", F.greatest("a._reach", "b._carry").alias("_before"))
     marked = seen.withColumn("_new", (F.col("_before").isNull() | (F.col("_s") > F.col("_before"))).cast("int"))
-    # Island labels: a running count in the slice plus the count of the slices before.
+    # An island is named by its start: the last one begun in the slice so far, else in the slices before.
+    marked = marked.withColumn("_begun", F.when(F.col("_new") == 1, F.col("_s")))
     so_far = Window.partitionBy(*inner, "_slice").orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
     pieces = (
-        marked.withColumn("_nth", F.sum("_new").over(so_far))
-        .groupBy(*inner, "_slice", "_nth")
-        .agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.max("_new").alias("_new"), F.min(F.when(F.col("_new") == 1, F.col("_before"))).alias("_gap"))
+        marked.withColumn("_label", F.max("_begun").over(so_far))
+        .groupBy(*inner, "_slice", "_label")
+        .agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.min(F.when(F.col("_new") == 1, F.col("_before"))).alias("_gap"))
     )
-    labels = Window.partitionBy(*inner).orderBy("_slice", "_nth").rowsBetween(Window.unboundedPreceding, 0)
-    periods = pieces.withColumn("_label", F.sum("_new").over(labels)).groupBy(*inner, "_label").agg(F.min("_s").alias("period_start_ms"), F.max("_e").alias("period_end_ms"), F.min("_gap").alias("gap_start_ms"))
+    last = pieces.groupBy(*inner, "_slice").agg(F.max("_label").alias("_last")).select(*inner, "_slice", F.max("_last").over(over_slices).alias("_open"))
+    named = pieces.alias("a").join(last.alias("b"), same).select("a.*", F.coalesce("a._label", "b._open").alias("_island"))
+    periods = named.groupBy(*inner, "_island").agg(F.min("_s").alias("period_start_ms"), F.max("_e").alias("period_end_ms"), F.min("_gap").alias("gap_start_ms"))
     return periods.select(*(F.col(a).alias(k) for k, a in zip(keys, inner, strict=True)), "period_start_ms", "period_end_ms", "gap_start_ms")
 
 

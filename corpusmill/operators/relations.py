@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.session import cut
+
 
 def latest(df: DataFrame, keys: Sequence[str], by: Sequence[Column]) -> DataFrame:
     """One row per key, the one with the greatest ``by``: one aggregation with partial results, no sort. Null ``by`` come first."""
@@ -29,10 +31,27 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def numbered(df: DataFrame, order: Sequence[str], out: str = "_nth") -> DataFrame:
+    """``df`` with ``out``, each row's place from 0 in the given order over all rows, without a task that holds them all.
+
+    Rows are put in ranges of the order, each sorted by itself and numbered there, and materialised so; the ranges' sizes,
+    one row a range, are summed up.
+    """
+    ranges = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    sizes = ranges.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    placed = ranges.withColumn("_part", part).join(F.broadcast(before), "_part")  # one row a partition
+    return placed.withColumn(out, F.col("_before") + inside).select(*df.columns, out)
+
+
 def shard(df: DataFrame, order: Sequence[str], index: int, of: int, within: Sequence[str] = ()) -> DataFrame:
     """Every ``of``-th row from the ``index``-th, in the given order, within each group of ``within``."""
-    window = Window.partitionBy(*within).orderBy(*order) if within else Window.orderBy(*order)
-    return df.withColumn("_nth", F.row_number().over(window) - 1).where(F.col("_nth") % of == index).drop("_nth")
+    if within:
+        rows = df.withColumn("_nth", F.row_number().over(Window.partitionBy(*within).orderBy(*order)) - 1)
+    else:
+        rows = numbered(df, order)
+    return rows.where(F.col("_nth") % of == index).drop("_nth")
 
 
 def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:

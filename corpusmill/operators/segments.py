@@ -6,34 +6,79 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+
+#: Milliseconds of a time slice, in which segments look for the one before.
+SLICE_MS = 600_000
+
+
+def _folded(n_keys: int, max_span: int, max_gap: int | None):
+    """Chunks of sorted rows (keys, s, e, stretch): the state is one open chunk."""
+
+    def run(batches):
+        group, begin, end, n = None, 0, 0, 0
+        for batch in batches:
+            values = [c.to_pylist() for c in batch.columns]
+            out: list[tuple] = []
+            for *name, s, e, stretch in zip(*values, strict=True):
+                name = (*name, stretch)
+                if name == group and e - begin <= max_span and (max_gap is None or s - end < max_gap):
+                    end, n = e, n + 1
+                    continue
+                if n:
+                    out.append((*group[:-1], begin, end, n))
+                group, begin, end, n = name, s, e, 1
+            yield _chunk_rows(out, batch.schema, n_keys)
+            schema = batch.schema
+        if n:
+            yield _chunk_rows([(*group[:-1], begin, end, n)], schema, n_keys)
+
+    return run
+
+
+def _chunk_rows(rows: list[tuple], schema: pa.Schema, n_keys: int) -> pa.RecordBatch:
+    fields = [*(schema.field(i) for i in range(n_keys)), *(pa.field(c, pa.int64()) for c in ("chunk_start", "chunk_end", "n"))]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)], schema=pa.schema(fields))
 
 
 def bounded_merge(df: DataFrame, keys: Sequence[str], start: str, end: str, tie: Sequence[str], max_span: int, max_gap: int | None, min_length: int = 0) -> DataFrame:
     """Chunks of consecutive segments: a segment is appended while the span stays within ``max_span`` and the gap under ``max_gap``.
 
-    Returns ``keys``, chunk_start, chunk_end, n. Segments of no positive length are skipped. A gap of ``max_gap`` or more
-    always begins a chunk, so rows are first cut into stretches at such gaps, and only a stretch is folded as a whole.
-    Without ``max_gap`` only the span counts, and a stretch is an entity.
+    Returns ``keys``, chunk_start, chunk_end, n. Segments of no positive length are skipped. Sorted rows are folded as they
+    stream, with one open chunk as the state, so that time is linear and memory fixed whatever an entity's size. A gap of
+    ``max_gap`` or more always begins a chunk, so rows are first cut into stretches at such gaps, and the stretches of an
+    entity are folded in different tasks. Without ``max_gap`` each cut depends on the one before, and an entity is one stream.
     """
     rows = df.where(F.col(end) > F.col(start)).select(*keys, *dict.fromkeys([start, end, *tie]))
-    order = Window.partitionBy(*keys).orderBy(start, end, *tie)
     if max_gap is None:
-        rows = rows.withColumn("_stretch", F.lit(0))
+        rows = rows.withColumn("_stretch", F.lit(0).cast("bigint"))
     else:
-        far = (F.col(start) - F.lag(end).over(order) >= max_gap).cast("int")
-        rows = rows.withColumn("_stretch", F.sum(F.coalesce(far, F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    segments = F.sort_array(F.collect_list(F.struct(F.col(start).alias("s"), F.col(end).alias("e"), *tie)))
-    folded = rows.groupBy(*keys, "_stretch").agg(segments.alias("_segments"))
-    gap = "true" if max_gap is None else f"x.s - element_at(a, -1).e < {max_gap}"
-    fold = f"""aggregate(_segments, cast(array() as array<struct<s: bigint, e: bigint, n: bigint>>), (a, x) ->
-      if(size(a) > 0 and x.e - element_at(a, -1).s <= {max_span} and {gap},
-         concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', x.e, 'n', element_at(a, -1).n + 1))),
-         concat(a, array(named_struct('s', x.s, 'e', x.e, 'n', 1L)))))"""
-    fold = fold.replace("element_at(a, -1)", "try_element_at(a, -1)")
-    chunks = folded.select(*keys, F.explode(F.expr(fold)).alias("c")).select(*keys, F.col("c.s").alias("chunk_start"), F.col("c.e").alias("chunk_end"), F.col("c.n").alias("n"))
-    return chunks.where(F.col("chunk_end") - F.col("chunk_start") >= min_length)
+        # The segment before may be in an earlier slice: slices carry their last segment's end and their last stretch's start.
+        rows = rows.withColumn("_slice", F.floor(F.col(start) / SLICE_MS))
+        order = F.struct(start, end, *tie)
+        inside = Window.partitionBy(*keys, "_slice").orderBy(start, end, *tie)
+        over_slices = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        ends = rows.groupBy(*keys, "_slice").agg(F.max_by(end, order).alias("_last")).withColumn("_carry", F.last("_last").over(over_slices)).drop("_last")
+        seen = _by_slice(rows, ends, keys)
+        before = F.coalesce(F.lag(end).over(inside), F.col("_carry"))
+        seen = seen.withColumn("_begin", F.when(before.isNull() | (F.col(start) - before >= max_gap), F.col(start))).drop("_carry")
+        begun = seen.groupBy(*keys, "_slice").agg(F.max("_begin").alias("_last")).withColumn("_open", F.max("_last").over(over_slices)).drop("_last")
+        local = F.max("_begin").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+        rows = _by_slice(seen.withColumn("_local", local), begun, keys).withColumn("_stretch", F.coalesce("_local", "_open").cast("bigint"))
+    rows = rows.repartition(*keys, "_stretch").sortWithinPartitions(*keys, "_stretch", start, end, *tie)
+    rows = rows.select(*keys, F.col(start).cast("bigint").alias("_s"), F.col(end).cast("bigint").alias("_e"), "_stretch")
+    schema = StructType([*df.select(*keys).schema.fields, *(StructField(c, LongType()) for c in ("chunk_start", "chunk_end", "n"))])
+    return rows.mapInArrow(_folded(len(keys), max_span, max_gap), schema).where(F.col("chunk_end") - F.col("chunk_start") >= min_length)
+
+
+def _by_slice(rows: DataFrame, slices: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with what ``slices`` know of their slice; null keys are keys."""
+    same = [F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`")) for k in (*keys, "_slice")]
+    return rows.alias("a").join(slices.alias("b"), same).select("a.*", *(f"b.`{c}`" for c in slices.columns if c not in (*keys, "_slice")))
 
 
 def cluster(df: DataFrame, keys: Sequence[str], position: str, most: float, tie: Sequence[str], out: str = "cluster") -> DataFrame:

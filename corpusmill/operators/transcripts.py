@@ -78,14 +78,9 @@ def low_scores(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
     return segments.groupBy(*keys).agg(F.count("*").alias("segments"), F.count_if(F.col("avg_logprob") < LOW_LOGPROB).alias("low"))
 
 
-#: Fixed value: how a page's contents name a talk and its minutes.
-SYNOPSIS = r"(?i)(Sichah?\s*\d*|Ma[’'`]?amar)[^()\n]{0,80}\((\d+(?:[:.]\d+)?)\s*min"
-
-
-def synopses(page: Column) -> Column:
-    """Array of (label, minutes) that a page's contents name."""
-    pattern = F.lit(SYNOPSIS)
-    labels, minutes = F.regexp_extract_all(page, pattern, F.lit(1)), F.regexp_extract_all(page, pattern, F.lit(2))
+def synopses(page: Column, pattern: str) -> Column:
+    """Array of (label, minutes) that a page's contents name; ``pattern`` has a group for each."""
+    labels, minutes = (F.regexp_extract_all(page, F.lit(pattern), F.lit(i)) for i in (1, 2))
     return F.arrays_zip(labels.alias("label"), minutes.alias("minutes"))
 
 

@@ -119,13 +119,18 @@ def held_out_days(spark: SparkSession, root: str) -> DataFrame:
 
 
 def gate(spark: SparkSession, root: str) -> DataFrame:
-    """Clips with what their hypothesis says: kept, or why not. Every fifth clip has none and passes."""
-    rows = scored(spark, root)
-    clip, heard = rows.select("id", "ref", "n_ref"), rows.where(F.coalesce("number", F.lit(0)) % 5 != 0).select("id", F.array_join("hyp_words", " ").alias("hyp"), F.size("hyp_words").alias("n_hyp"), F.lit(True).alias("heard"))
+    """Clips with what their report says: kept, or why not. A report is made of the raw text; a clip without one passes.
+
+    Reports are rows of their own, of which the last one of an id counts.
+    """
+    number = F.coalesce(F.element_at(F.split("id", "/"), -1).try_cast("int"), F.lit(0))
+    clip = clips(spark, root).select("id", text.scoring_text(F.coalesce("text", F.lit(""))).alias("ref")).withColumn("n_ref", F.size(text.words(F.col("ref"))))
+    last = table(spark, root, "manifest").where(F.trim(F.coalesce("text_raw", F.lit(""))) != "").groupBy("id").agg(F.max("text_raw").alias("raw"))
+    heard = last.withColumn("words", noisy(text.words(text.scoring_text(F.col("raw"))), number)).select("id", F.array_join("words", " ").alias("hyp"), F.size("words").alias("n_hyp"))
     joined = clip.join(heard, "id", "left")
     cer = F.when(F.col("hyp") == "", 1.0).otherwise(edits.rate(edits.char_edits(F.col("ref"), F.col("hyp")), F.length("ref")))
     ratio = F.col("n_hyp") / F.greatest(F.lit(1), F.col("n_ref"))
-    reason = F.when(F.col("heard").isNull(), "kept").when(F.col("ref") == "", "empty reference").when(cer > MAX_CER, "error rate").when(~ratio.between(*RATIOS), "length ratio").otherwise("kept")
+    reason = F.when(F.col("hyp").isNull(), "kept").when(F.col("ref") == "", "empty reference").when(cer > MAX_CER, "error rate").when(~ratio.between(*RATIOS), "length ratio").otherwise("kept")
     return joined.select("id", reason.alias("reason"))
 
 
@@ -136,11 +141,35 @@ def drop_rate_by_year(spark: SparkSession, root: str) -> DataFrame:
 
 
 def untrusted_days(spark: SparkSession, root: str) -> DataFrame:
-    """Days with site timing of whose clips a fifth or more fail the gate, by two aggregates and a join."""
-    rows = clips(spark, root).where("timing_source = 'site'").select("id", "year", "day").join(gate(spark, root), "id")
-    total = rows.groupBy("year", "day").agg(F.count("*").alias("clips"))
-    failed = rows.where("reason <> 'kept'").groupBy("year", "day").agg(F.count("*").alias("dropped"))
-    return total.join(failed, ["year", "day"]).where(F.col("dropped") * 5 >= F.col("clips"))
+    """Days with site timing of whose clips a fifth or more fail the gate."""
+    return _day_drops(clips(spark, root).where("timing_source = 'site'"), gate(spark, root)).where((F.col("dropped") > 0) & (F.col("dropped") * 5 >= F.col("clips")))
+
+
+def _day_drops(rows: DataFrame, gated: DataFrame) -> DataFrame:
+    """Clips and dropped ones of each day, by one aggregation."""
+    return rows.select("id", "year", "day").join(gated, "id").groupBy("year", "day").agg(F.count("*").alias("clips"), F.count_if(F.col("reason") != "kept").alias("dropped"))
+
+
+def day_drops(spark: SparkSession, root: str) -> DataFrame:
+    """Clips and dropped clips of each day."""
+    return _day_drops(clips(spark, root), gate(spark, root))
+
+
+def launch_guard(spark: SparkSession, root: str) -> DataFrame:
+    """Whether training may start: enough kept clips, and no year of some size that loses more than a quarter of them."""
+    return guarded(drop_rate_by_year(spark, root), least_kept=1000, large_year=100, most_dropped=0.25)
+
+
+def guarded(years: DataFrame, least_kept: int, large_year: int, most_dropped: float) -> DataFrame:
+    """(kept, bad_years, passes) of years (year, clips, dropped): a year counts as bad only with more than ``large_year`` clips."""
+    bad = (F.col("clips") > large_year) & (F.col("dropped") > F.col("clips") * most_dropped)
+    rows = years.agg(F.coalesce(F.sum(F.col("clips") - F.col("dropped")), F.lit(0)).alias("kept"), F.count_if(bad).alias("bad_years"))
+    return rows.withColumn("passes", (F.col("kept") >= least_kept) & (F.col("bad_years") == 0))
+
+
+def required(guard: DataFrame) -> DataFrame:
+    """``guard``, failing when it is read where it doesn't pass."""
+    return guard.where(F.assert_true("passes", F.lit("the launch guard doesn't pass")).isNull())
 
 
 def composition_by_year(spark: SparkSession, root: str) -> DataFrame:
@@ -205,14 +234,23 @@ _SCORED = f"""{_CLIPS}, q AS (SELECT id, year, day, split, {_SCORING} AS ref, co
 v AS (SELECT *, [x FOR x IN string_split(ref, ' ') IF x <> ''] AS rw FROM q),
 y AS (SELECT *, [CASE WHEN (i - 1 + number) % 7 = 0 THEN 'x' ELSE rw[i] END FOR i IN range(1, len(rw) + 1) IF (i - 1 + number) % 11 <> 0] AS hw FROM v),
 s AS (SELECT id, year, day, split, number, ref, rw, hw, CAST({_DISTANCE} AS BIGINT) AS edits, CAST(len(rw) AS BIGINT) AS n_ref FROM y)"""
-_GATE = f"""{_SCORED}, f AS (SELECT id, number, translate(ref, 'אבגדהוזחטיךכלםמןנסעףפץצקרשת', 'abcdefghijklmnopqrstuvwyzAB') AS r, translate(array_to_string(hw, ' '), 'אבגדהוזחטיךכלםמןנסעףפץצקרשת', 'abcdefghijklmnopqrstuvwyzAB') AS h, len(hw) AS n_hyp, n_ref FROM s),
-gate AS (SELECT id, CASE WHEN number % 5 = 0 THEN 'kept' WHEN r = '' THEN 'empty reference'
+_GATE = f"""{_CLIPS}, rep AS (SELECT id, max(text_raw) AS raw FROM manifest WHERE trim(coalesce(text_raw, ''), ' ') <> '' GROUP BY id),
+hv AS (SELECT id, coalesce(TRY_CAST(split_part(id, '/', -1) AS INT), 0) AS number, [x FOR x IN string_split({_SCORING.replace("coalesce(text, '')", "raw")}, ' ') IF x <> ''] AS rw FROM rep),
+hy AS (SELECT id, [CASE WHEN (i - 1 + number) % 7 = 0 THEN 'x' ELSE rw[i] END FOR i IN range(1, len(rw) + 1) IF (i - 1 + number) % 11 <> 0] AS hw FROM hv),
+f AS (SELECT c.id, translate({_SCORING}, 'אבגדהוזחטיךכלםמןנסעףפץצקרשת', 'abcdefghijklmnopqrstuvwyzAB') AS r, translate(array_to_string(hw, ' '), 'אבגדהוזחטיךכלםמןנסעףפץצקרשת', 'abcdefghijklmnopqrstuvwyzAB') AS h, len(hw) AS n_hyp FROM c LEFT JOIN hy ON hy.id = c.id),
+gate AS (SELECT id, CASE WHEN h IS NULL THEN 'kept' WHEN r = '' THEN 'empty reference'
   WHEN CASE WHEN h = '' THEN 1.0 ELSE levenshtein(r, h)::DOUBLE / greatest(1, length(r)) END > {MAX_CER} THEN 'error rate'
-  WHEN n_hyp::DOUBLE / greatest(1, n_ref) NOT BETWEEN 0.5 AND 2.0 THEN 'length ratio' ELSE 'kept' END AS reason FROM f)"""
+  WHEN n_hyp::DOUBLE / greatest(1, len([x FOR x IN string_split(r, ' ') IF x <> ''])) NOT BETWEEN 0.5 AND 2.0 THEN 'length ratio' ELSE 'kept' END AS reason FROM f)"""
+# Word edits of whole days: references and hypotheses in clip order, and the distance table of a day by diagonals, of which
+# each needs the two before alone. A diagonal is held by reference place; places outside the table are large.
+_DIAGONALS = """list_reduce(list_concat([{'p': CAST([] AS BIGINT[]), 'q': CAST([] AS BIGINT[]), 'd': -1}], [{'p': CAST([] AS BIGINT[]), 'q': CAST([] AS BIGINT[]), 'd': d} FOR d IN range(0, len(rw) + len(hw) + 1)]),
+  lambda a, x: {'p': [CASE WHEN x.d - i < 0 OR x.d - i > len(hw) THEN 1000000000 WHEN i = 0 THEN x.d WHEN x.d = i THEN i ELSE least(a.p[i + 1] + 1, a.p[i] + 1, a.q[i] + CASE WHEN rw[i] = hw[x.d - i] THEN 0 ELSE 1 END) END FOR i IN range(0, len(rw) + 1)], 'q': a.p, 'd': x.d}).p[-1]"""
+_WHOLE_DAY = f"""WITH {_SCORED}, o AS (SELECT year, day, flatten(list(rw ORDER BY id)) AS rw, flatten(list(hw ORDER BY id)) AS hw FROM s GROUP BY year, day)
+SELECT year, day, CAST(len(rw) AS BIGINT) AS ref_words, CAST(len(hw) AS BIGINT) AS hyp_words, CAST({_DIAGONALS} AS BIGINT) AS edits FROM o"""
 
 QUERIES = {
     f.__name__: f
-    for f in (manifest_summary, duration_stats, timing_sources, shifted_segments, merged_clips, merged_spans, clip_rows, split_by_hash, split_by_list, held_out_days, gate, drop_rate_by_year, untrusted_days, composition_by_year, split_by_timing, anchor_rates, duration_histogram, united_manifests)
+    for f in (manifest_summary, duration_stats, timing_sources, shifted_segments, merged_clips, merged_spans, clip_rows, split_by_hash, split_by_list, held_out_days, gate, drop_rate_by_year, untrusted_days, day_drops, launch_guard, composition_by_year, split_by_timing, anchor_rates, duration_histogram, united_manifests)
 }
 SQL = {
     "manifest_summary": f"WITH {_CLIPS} SELECT split, count(*) AS clips, CAST(sum(CAST(round(duration * 1000) AS BIGINT)) AS BIGINT) AS total_ms, CAST(sum({_WORDS}) AS BIGINT) AS words, count(DISTINCT (year, day)) AS days FROM c GROUP BY split",
@@ -230,6 +268,8 @@ SELECT year, day, CASE bucket WHEN 0 THEN 'test' WHEN 1 THEN 'dev' ELSE 'train'
     "gate": f"WITH {_GATE} SELECT * FROM gate",
     "drop_rate_by_year": f"WITH {_GATE} SELECT split_part(id, '/', 1) AS year, count(*) AS clips, count(*) FILTER (reason <> 'kept') AS dropped FROM gate GROUP BY 1",
     "untrusted_days": f"WITH {_GATE} SELECT year, day, count(*) AS clips, count(*) FILTER (reason <> 'kept') AS dropped FROM gate JOIN c USING (id) WHERE timing_source = 'site' GROUP BY year, day HAVING count(*) FILTER (reason <> 'kept') > 0 AND 5 * count(*) FILTER (reason <> 'kept') >= count(*)",
+    "day_drops": f"WITH {_GATE} SELECT year, day, count(*) AS clips, count(*) FILTER (reason <> 'kept') AS dropped FROM gate JOIN c USING (id) GROUP BY year, day",
+    "launch_guard": f"WITH {_GATE}, y AS (SELECT split_part(id, '/', 1) AS year, count(*) AS clips, count(*) FILTER (reason <> 'kept') AS dropped FROM gate GROUP BY 1) SELECT CAST(coalesce(sum(clips - dropped), 0) AS BIGINT) AS kept, count(*) FILTER (clips > 100 AND dropped > clips * 0.25) AS bad_years, coalesce(sum(clips - dropped), 0) >= 1000 AND count(*) FILTER (clips > 100 AND dropped > clips * 0.25) = 0 AS passes FROM y",
     "composition_by_year": f"WITH {_CLIPS} SELECT source_year, count(DISTINCT (year, day)) AS days, count(*) AS clips, CAST(sum(CAST(round(duration * 1000) AS BIGINT)) AS BIGINT) AS total_ms FROM c GROUP BY source_year",
     "split_by_timing": f"WITH {_CLIPS} SELECT split, count(*) FILTER (timing_source = 'site') AS site, count(*) FILTER (timing_source = 'local') AS local FROM c GROUP BY split",
     "anchor_rates": f"WITH {_CLIPS}, f AS (SELECT CAST(least(9, floor(anchor_rate * 10)) AS INT) AS tenth FROM c WHERE anchor_rate IS NOT NULL AND NOT isnan(anchor_rate)) SELECT CAST(b.range AS INT) AS tenth, count(f.tenth) AS clips FROM range(10) b LEFT JOIN f ON f.tenth = b.range GROUP BY b.range",

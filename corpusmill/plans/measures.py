@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import edits, text
 from corpusmill.operators.intervals import to_ms
 from corpusmill.operators.relations import both_ways, share_of_total
-from corpusmill.plans.clips import _SCORED, _SCORING, clips, scored
+from corpusmill.plans.clips import _SCORED, _SCORING, _WHOLE_DAY, clips, scored
 from corpusmill.session import table
 
 
@@ -215,9 +215,45 @@ def weighed_rate(spark: SparkSession, root: str) -> DataFrame:
 
 
 def best_step(spark: SparkSession, root: str) -> DataFrame:
-    """For each user the event of the least value, and the second least value: a run's best checkpoint and its runner-up."""
-    rows = table(spark, root, "events").groupBy("user_id").agg(F.min_by("event_id", F.struct("value", "event_id")).alias("best_event"), F.sort_array(F.array_distinct(F.collect_list("value"))).alias("values"))
-    return rows.select("user_id", "best_event", F.try_element_at("values", F.lit(2)).alias("second_value"))
+    """For each user the event of the least value, and the second least value: a run's best checkpoint and its runner-up.
+
+    Values are made distinct with partial aggregation, and only the first two of each user pass the window's limit.
+    """
+    values = table(spark, root, "events").groupBy("user_id", "value").agg(F.min("event_id").alias("event_id"))
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("value"))
+    two = values.withColumn("nth", nth).where("nth <= 2")
+    return two.groupBy("user_id").agg(F.max(F.when(F.col("nth") == 1, F.col("event_id"))).alias("best_event"), F.max(F.when(F.col("nth") == 2, F.col("value"))).alias("second_value"))
+
+
+def run_ranking(spark: SparkSession, root: str) -> DataFrame:
+    """Runs in report order: pilots last, then by rate, a missing rate as 9, then by name. Years with clips stand in for runs."""
+    rows = scored(spark, root).groupBy("year").agg(F.sum("edits").alias("edits"), F.sum("n_ref").alias("n_ref"), F.count("*").alias("clips"))
+    rows = table(spark, root, "day_record").select("year").distinct().join(rows, "year", "left")
+    rate = F.when(F.col("n_ref") > 0, F.col("edits") / F.col("n_ref"))
+    pilot = F.coalesce("clips", F.lit(0)) < 20
+    order = Window.orderBy(pilot, F.coalesce(rate, F.lit(9.0)), "year")  # one row a run
+    return rows.select("year", pilot.alias("pilot"), F.row_number().over(order).cast("bigint").alias("place"))
+
+
+def best_days(spark: SparkSession, root: str) -> DataFrame:
+    """The ten days with the least whole-day rate, of those with reference words."""
+    rows = whole_day_wer(spark, root).where("ref_words > 0")
+    return rows.orderBy(edits.rate(F.col("edits"), F.col("ref_words")), "year", "day").select("year", "day", "edits", "ref_words").limit(10)
+
+
+def weighed_rates(spark: SparkSession, root: str) -> DataFrame:
+    """Mean word and character rates of each year's days, both weighed by reference words."""
+    day = scored(spark, root).withColumn("chars", edits.char_edits(F.col("ref"), F.array_join("hyp_words", " "))).groupBy("year", "day").agg(F.sum("edits").alias("e"), F.sum("chars").alias("c"), F.sum("n_ref").alias("n"), F.sum(F.length("ref")).alias("m"))
+    day = day.select("year", "n", edits.rate(F.col("e"), F.col("n")).alias("wer"), edits.rate(F.col("c"), F.col("m")).alias("cer"))
+    mean = lambda c: F.round(F.sum(F.col(c) * F.col("n")) / F.greatest(F.lit(1), F.sum("n")), 9)
+    return day.groupBy("year").agg(mean("wer").alias("wer"), mean("cer").alias("cer"))
+
+
+def weighed_vectors(spark: SparkSession, root: str) -> DataFrame:
+    """Average of each label's vectors by dimension, with unequal weights: each vector's weight by the sum of weights."""
+    rows = table(spark, root, "embeddings").withColumn("w", (F.col("vec_id") % 5 + 1).cast("double"))
+    rows = rows.select("label", "w", F.posexplode("embedding").alias("dimension", "x"))
+    return rows.groupBy("label", "dimension").agg(F.round(F.sum(F.col("w") * F.col("x").cast("double")) / F.sum("w"), 6).alias("mean"))
 
 
 def mean_vectors(spark: SparkSession, root: str) -> DataFrame:
@@ -261,12 +297,20 @@ _SPELL = "CASE WHEN length(word) < 3 THEN 'short' WHEN (length(word) - length(tr
 _FREQ = "CASE WHEN coalesce(seen, 0) >= 100 THEN '100+' WHEN coalesce(seen, 0) >= 10 THEN '10-99' WHEN coalesce(seen, 0) >= 1 THEN '1-9' ELSE '0' END"
 _TRAIN = ", t AS (SELECT word, count(*) AS seen FROM w WHERE split = 'train' GROUP BY word), h AS (SELECT split, word, count(*) AS n FROM w WHERE split <> 'train' GROUP BY ALL)"
 
+# White space as Unicode has it, which the engine of SQL doesn't.
+_BLANKS = r"\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_SQUEEZE = lambda x: f"trim(regexp_replace({x}, '[{_BLANKS}]+', ' ', 'g'), ' ')"
+_TAGS = lambda x: f"""replace(replace(replace(replace(replace(replace(regexp_replace({x}, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&quot;', '"'), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"""
+_FOREIGN = r"A-Za-z\x{250}-\x{2af}\x{370}-\x{3ff}\x{400}-\x{4ff}"
+_TRAINING = lambda x: _SQUEEZE(rf"""regexp_replace(translate(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace({_TAGS(x)}, '[^{_BLANKS}]*[{_FOREIGN}][^{_BLANKS}]*', ' ', 'g'), '[\[\]]', '', 'g'), '[\x{{200e}}\x{{200f}}\x{{202a}}-\x{{202e}}\x{{feff}}]', '', 'g'), chr(160), ' '), '[\x{{591}}-\x{{5c7}}]', '', 'g'), '״׳“”', '"''""'), '[{_BLANKS}]+([,.;:!?])', '\1', 'g')""")
+_COUNT = lambda x, p: f"len(regexp_extract_all({x}, '{p}'))"
+
 QUERIES = {
     f.__name__: f
     for f in (
         corpus_wer, pair_wer, day_wer, whole_day_wer, worst_clips, running_wer, scored_without_empty, error_breakdown, substitution_pairs, vocabulary, vocabulary_top, vocabulary_size, vocabulary_coverage, oov_rate,
         frequency_classes, spelling_classes, letter_frequency, penultimate_letters, letter_distance, quote_marks, header_words, word_counts, point_share, html_paragraphs, scoring_forms, training_forms, page_classes, repetitive_clips,
-        running_headers, run_pivot, weighed_rate, best_step, mean_vectors, common_value, yearly_report, full_outer_days, similar_words, run_stats,
+        running_headers, run_pivot, weighed_rate, best_step, run_ranking, best_days, weighed_rates, weighed_vectors, mean_vectors, common_value, yearly_report, full_outer_days, similar_words, run_stats,
     )
 }
 _DAY = f"WITH {_SCORED}, r AS (SELECT year, day, {_ISO('edits')} AS edits, {_ISO('n_ref')} AS n_ref FROM s GROUP BY year, day), e AS (SELECT *, edits::DOUBLE / greatest(1, n_ref) AS wer FROM r)"
@@ -296,6 +340,19 @@ SQL = {
 m AS (SELECT DISTINCT pdf_id, year, regexp_replace(x, '\d+', '#', 'g') AS line FROM (SELECT pdf_id, year, unnest(list_concat(lines[1:2], lines[-2:])) AS x FROM l)),
 t AS (SELECT year, count(*) AS total FROM pdf_day GROUP BY year)
 SELECT m.year, line, count(*) AS bodies FROM m JOIN t ON t.year = m.year GROUP BY m.year, line, total HAVING count(*) >= 3 AND count(*) * 4 >= total""",
+    "whole_day_wer": _WHOLE_DAY,
+    "best_days": f"WITH z AS ({_WHOLE_DAY}) SELECT year, day, edits, ref_words FROM z WHERE ref_words > 0 ORDER BY edits::DOUBLE / greatest(1, ref_words), year, day LIMIT 10",
+    "run_ranking": f"WITH {_SCORED}, r AS (SELECT year, sum(edits) AS edits, sum(n_ref) AS n_ref, count(*) AS clips FROM s GROUP BY year), yr AS (SELECT d.year, coalesce(clips, 0) < 20 AS pilot, CASE WHEN n_ref > 0 THEN edits::DOUBLE / n_ref END AS wer FROM (SELECT DISTINCT year FROM day_record) d LEFT JOIN r ON r.year = d.year) SELECT year, pilot, row_number() OVER (ORDER BY pilot, coalesce(wer, 9), year) AS place FROM yr",
+    "weighed_rates": f"WITH {_SCORED}, k AS (SELECT year, day, sum(edits) AS e, sum(levenshtein(translate(ref, 'אבגדהוזחטיךכלםמןנסעףפץצקרשת', 'abcdefghijklmnopqrstuvwyzAB'), translate(array_to_string(hw, ' '), 'אבגדהוזחטיךכלםמןנסעףפץצקרשת', 'abcdefghijklmnopqrstuvwyzAB'))) AS c, sum(n_ref) AS n, sum(length(ref)) AS m FROM s GROUP BY year, day), r AS (SELECT year, n, e::DOUBLE / greatest(1, n) AS wer, c::DOUBLE / greatest(1, m) AS cer FROM k) SELECT year, round(sum(wer * n) / greatest(1, sum(n)), 9) AS wer, round(sum(cer * n) / greatest(1, sum(n)), 9) AS cer FROM r GROUP BY year",
+    "weighed_vectors": "WITH e AS (SELECT label, (vec_id % 5 + 1)::DOUBLE AS w, unnest(range(len(embedding))) AS dimension, embedding FROM embeddings) SELECT label, dimension, round(sum(w * embedding[dimension + 1]::DOUBLE) / sum(w), 6) AS mean FROM e GROUP BY label, dimension",
+    "html_paragraphs": f"WITH p AS (SELECT doc_id, [x FOR x IN [{_SQUEEZE(_TAGS('y'))} FOR y IN regexp_extract_all(text, '(?s)<p[^>]*>(.*?)</p>', 1)] IF x <> ''] AS ps FROM documents WHERE text LIKE '%<p%') SELECT doc_id, CAST(i AS INT) AS place, ps[i + 1] AS paragraph FROM (SELECT doc_id, ps, unnest(range(len(ps))) AS i FROM p)",
+    "training_forms": f"SELECT DISTINCT seg_id, {_TRAINING('yiddish')} AS form FROM site_segment WHERE yiddish IS NOT NULL",
+    "page_classes": rf"""WITH t AS (SELECT coalesce(text, '') AS x, regexp_replace(coalesce(text, ''), '[^\x{{5d0}}-\x{{5ea}}{_BLANKS}]', '', 'g') AS b FROM documents),
+k AS (SELECT {_COUNT('x', f'[^{_BLANKS}]+')} AS tokens, {_COUNT('x', f'[^{_BLANKS}]*[א-ת][^{_BLANKS}]*')} AS heb, {_COUNT('x', f'[^{_BLANKS}]*[A-Za-z][^{_BLANKS}]*')} AS lat, {_COUNT('x', '[א-ת]')} AS letters,
+  len(regexp_extract_all(x, '[^{_BLANKS}\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}\x{{200c}}\x{{200d}}\x{{591}}-\x{{5c7}}.,;:!?()\[\]"''\x{{2013}}\x{{5be}}\x{{5f3}}\x{{5f4}}-]')) AS other,
+  len([w FOR w IN regexp_split_to_array(b, '[{_BLANKS}]+') IF w IN ({", ".join(f"'{w}'" for w in text.YIDDISH_WORDS)})]) AS yid, len([w FOR w IN regexp_split_to_array(b, '[{_BLANKS}]+') IF w IN ({", ".join(f"'{w}'" for w in text.HEBREW_WORDS)})]) AS hbr FROM t),
+c AS (SELECT CASE WHEN tokens < 5 THEN 'blank' WHEN lat > 2 * heb THEN 'english' WHEN letters > 0 AND other > letters * 0.15 THEN 'garbled' WHEN yid >= 3 AND yid >= 1.5 * hbr THEN 'yiddish' WHEN hbr >= 3 AND hbr > yid THEN 'hebrew' ELSE 'hebscript' END AS class FROM k)
+SELECT class, count(*) AS documents, count(*) FILTER (class IN ('blank', 'garbled')) AS needs_ocr FROM c GROUP BY class""",
     "run_pivot": "SELECT l_returnflag, CAST(sum(l_discount::DECIMAL(18,4) * l_quantity::DECIMAL(18,0)) FILTER (l_linestatus = 'F') AS DOUBLE) AS weighed_f, CAST(sum(l_discount::DECIMAL(18,4) * l_quantity::DECIMAL(18,0)) FILTER (l_linestatus = 'O') AS DOUBLE) AS weighed_o FROM lineitem GROUP BY l_returnflag",
     "weighed_rate": "SELECT l_returnflag, l_linestatus, CAST(sum(trunc(l_discount * 100)::BIGINT * trunc(l_quantity)::BIGINT) AS BIGINT) AS weighed, CAST(sum(trunc(l_quantity)::BIGINT) AS BIGINT) AS weight FROM lineitem GROUP BY ALL",
     "best_step": "SELECT user_id, arg_min(event_id, (value, event_id)) AS best_event, list_sort(list_distinct(list(value)))[2] AS second_value FROM events GROUP BY user_id",

@@ -10,10 +10,16 @@ from corpusmill.operators.alignment import aligned
 from corpusmill.operators.intervals import islands, to_ms
 from corpusmill.operators.relations import earliest, hash_sample, latest, shard, upsert
 from corpusmill.operators.segments import chunked, cluster, cut_score, interpolated, runs
-from corpusmill.plans.clips import _CLIPS, _DAYS, _SEGMENTS, clips, days, segments
+from corpusmill.plans.clips import _CLIPS, _DAYS, _SEGMENTS, _WORDS, clips, days, segments
+from corpusmill.plans.intervals import _ROWS
 from corpusmill.session import table
 
 
+#: How closing dedications of the test bodies begin, and words of front matter: arguments of the operators.
+DEDICATIONS = ("לזכות", "לעילוי נשמת")
+FRONT_WORDS = ("Table of Contents", "תוכן הענינים")
+
+
 def day_inventory(spark: SparkSession, root: str) -> DataFrame:
     """Files and unresolved ones of each year."""
     return days(spark, root).groupBy("year").agg(F.count("*").alias("files"), F.count_if(F.col("civil").isNull()).alias("unresolved"))
@@ -112,13 +118,13 @@ def scan_pages(spark: SparkSession, root: str) -> DataFrame:
 
 def scan_html(spark: SparkSession, root: str) -> DataFrame:
     """Bodies as paragraphs of mark-up, without a closing dedication."""
-    return table(spark, root, "pdf_day").select("pdf_id", text.to_html(text.without_dedication(F.col("body"))).alias("html"))
+    return table(spark, root, "pdf_day").select("pdf_id", text.to_html(text.without_dedication(F.col("body"), DEDICATIONS)).alias("html"))
 
 
 def front_matter(spark: SparkSession, root: str) -> DataFrame:
     """Scanned bodies that read like front matter, and page-number lines in each."""
     rows = table(spark, root, "pdf_day").withColumn("numbers", F.size(F.filter(F.split("body", "\n"), lambda x: (F.trim(x) != "") & text.is_page_number(x))))
-    return rows.select("pdf_id", text.is_front_matter(F.col("body")).alias("front"), F.col("numbers").cast("bigint").alias("numbers"))
+    return rows.select("pdf_id", text.is_front_matter(F.col("body"), FRONT_WORDS).alias("front"), F.col("numbers").cast("bigint").alias("numbers"))
 
 
 def path_names(spark: SparkSession, root: str) -> DataFrame:
@@ -129,7 +135,8 @@ def path_names(spark: SparkSession, root: str) -> DataFrame:
 
 def first_words(spark: SparkSession, root: str) -> DataFrame:
     """Segments and clips of a day that begin with the same four words, the earliest of each side: a derived key, first wins."""
-    key = lambda c: F.when(F.size(text.words(text.scoring_text(c))) >= 4, F.array_join(F.slice(text.words(text.scoring_text(c)), 1, 4), " "))
+    # The words before the fourth blank of the scoring form: one expression, no array.
+    key = lambda c: F.nullif(F.regexp_extract(text.scoring_text(c), r"^(\S+ \S+ \S+ \S+)(?: |$)", 1), F.lit(""))
     site = segments(spark, root).select("year", "day", key(F.col("yiddish")).alias("key"), "s", "seg_id").where("key is not null and s is not null")
     local = clips(spark, root).select("year", "day", key(F.col("text")).alias("key"), to_ms(F.col("start")).alias("c"), "id").where("key is not null and c is not null")
     site, local = earliest(site, ["year", "day", "key"], [F.col("s"), F.col("seg_id")]), earliest(local, ["year", "day", "key"], [F.col("c"), F.col("id")])
@@ -319,6 +326,31 @@ SQL = {
     "years_in_scans": r"SELECT pdf_id, coalesce(nullif(regexp_extract(source, '(5\d{3})', 1), ''), nullif(regexp_extract(header, '(5\d{3})', 1), ''))::INT AS named_year FROM pdf_day",
     "scan_words": "SELECT pdf_id, len(regexp_extract_all(body, '[א-ת]+')) AS counted, n_words::BIGINT AS stored FROM pdf_day",
     "scan_pages": "SELECT CAST(len(pages) AS BIGINT) AS pages, count(*) AS days FROM pdf_day GROUP BY 1",
+    "path_names": r"WITH b AS (SELECT DISTINCT path, string_split(url_decode(path), '/')[-1] AS base FROM day_record) SELECT path, base, substr(regexp_replace(regexp_replace(regexp_replace(base, '\.mp3$', ''), '[^\p{L}\p{M}\p{Nd}\p{Pc}\p{Nl}\x{200c}\x{200d}]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 70) AS slug FROM b",
+    "speech_audit": f"""{_ROWS}, l AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY year, day ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM r),
+i AS (SELECT year, day, max(e) - min(s) AS ms FROM l GROUP BY year, day, island), sp AS (SELECT year, day, sum(ms) AS covered FROM i GROUP BY year, day), {_SEGMENTS},
+wd AS (SELECT year, day, CAST(sum({_WORDS.replace("coalesce(text, '')", "coalesce(yiddish, '')")}) AS BIGINT) AS words, max(e) AS last_ms FROM g GROUP BY year, day),
+a AS (SELECT wd.year, wd.day, words, CAST(coalesce(covered, 0) AS BIGINT) AS covered_ms, greatest(1.0, coalesce(last_ms, 0) / 1000.0) AS secs FROM wd LEFT JOIN sp ON sp.year = wd.year AND sp.day = wd.day),
+q AS (SELECT year, day, words, covered_ms, concat_ws(',', CASE WHEN words / secs < 1.0 THEN 'slow' END, CASE WHEN words / secs > 3.5 THEN 'fast' END, CASE WHEN secs > 120 AND covered_ms / 1000.0 / secs < 0.9 THEN 'uncovered' END) AS reasons FROM a)
+SELECT * FROM q WHERE reasons <> ''""",
+    "interpolated_times": f"""WITH {_SEGMENTS}, o AS (SELECT seg_id, year, day, row_number() OVER (PARTITION BY year, day ORDER BY seg_no, seg_id) AS place, s, length(coalesce(yiddish, '')) + 1 AS weight FROM g),
+k AS (SELECT *, CASE WHEN place % 3 = 1 THEN s END AS known, sum(weight) OVER (PARTITION BY year, day ORDER BY place) AS upto FROM o),
+b AS (SELECT *, last_value(known IGNORE NULLS) OVER p AS t0, last_value(CASE WHEN known IS NOT NULL THEN upto END IGNORE NULLS) OVER p AS w0, first_value(known IGNORE NULLS) OVER n AS t1, first_value(CASE WHEN known IS NOT NULL THEN upto END IGNORE NULLS) OVER n AS w1 FROM k
+  WINDOW p AS (PARTITION BY year, day ORDER BY place ROWS UNBOUNDED PRECEDING), n AS (PARTITION BY year, day ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT seg_id, round(CASE WHEN known IS NOT NULL THEN known ELSE t0 + (t1 - t0) * ((upto - w0)::DOUBLE / nullif(w1 - w0, 0)) END, 3) AS time_ms FROM b""",
+    "hebrew_calendar": """WITH y AS (SELECT DISTINCT year AS y FROM day_record WHERE year IS NOT NULL), n AS (SELECT DISTINCT y + k AS v FROM y, (SELECT unnest([-1, 0, 1, 2]) AS k) UNION SELECT unnest([5783, 5784, 5785])),
+m AS (SELECT v, (235 * v - 234) // 19 AS months FROM n), d AS (SELECT v, 29 * months + (12084 + 13753 * months) // 25920 AS d FROM m), e AS (SELECT v, CASE WHEN 3 * (d + 1) % 7 < 3 THEN d + 1 ELSE d END AS e FROM d),
+s AS (SELECT v, e + CASE WHEN lead(e) OVER (ORDER BY v) - e = 356 THEN 2 WHEN e - lag(e) OVER (ORDER BY v) = 382 THEN 1 ELSE 0 END AS s FROM e),
+c AS (SELECT v, DATE '2023-09-16' + CAST(s - (SELECT s FROM s WHERE v = 5784) AS INT) AS first FROM s)
+SELECT y AS year, a.first AS first_day, CAST(b.first - 1 AS DATE) AS last_day, (7 * y + 1) % 19 < 7 AS leap FROM y JOIN c a ON a.v = y JOIN c b ON b.v = y + 1""",
+    "scan_html": f"""WITH l AS (SELECT pdf_id, string_split(body, chr(10)) AS x FROM pdf_day), k AS (SELECT *, coalesce(list_max([i FOR i IN range(1, len(x) + 1) IF x[i] = '*']), 0) AS star FROM l),
+t AS (SELECT *, [v FOR v IN x[star + 1:] IF trim(v, ' ') <> ''] AS tail FROM k),
+f AS (SELECT *, star > 0 AND len(tail) > 0 AND {_WORDS.replace("coalesce(text, '')", "array_to_string(tail, ' ')")} < 80 AND len([v FOR v IN tail IF {" OR ".join(f"starts_with(v, '{w}')" for w in DEDICATIONS)}]) > 0 AS cut FROM t),
+h AS (SELECT pdf_id, [v FOR v IN CASE WHEN cut THEN x[1:star - 1] ELSE x END IF v IS NOT NULL AND trim(v, ' ') <> '*'] AS x FROM f)
+SELECT pdf_id, coalesce(array_to_string(['<p>' || replace(replace(replace(trim(v, ' '), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p>' FOR v IN x IF trim(v, ' ') <> '' AND NOT starts_with(trim(v, ' '), '*')], ''), '') AS html FROM h""",
+    "front_matter": rf"""WITH l AS (SELECT pdf_id, body, [v FOR v IN string_split(body, chr(10)) IF trim(v, ' ') <> ''] AS x FROM pdf_day),
+n AS (SELECT pdf_id, body, x, len([v FOR v IN x IF regexp_full_match(trim(v, ' '), '[\d\-–\s|]{{1,6}}') OR regexp_full_match(trim(v, ' '), '[א-ת]{{1,3}}["''׳״]?') OR regexp_full_match(lower(trim(v, ' ')), '(page|עמוד)?\s*\d+')]) AS numbers, len([v FOR v IN x IF regexp_matches(v, '(\.\s?){{6,}}')]) AS leaders, {_WORDS.replace("coalesce(text, '')", "body")} AS words FROM l)
+SELECT pdf_id, len(x) > 0 AND (leaders >= greatest(3, len(x) * 0.3) OR (({" OR ".join(f"contains(body, '{w}')" for w in FRONT_WORDS)}) AND words < 120) OR words < 25) AS front, numbers FROM n""",
     "first_words": f"WITH {_FIRST} SELECT seg_id, id, shift_ms FROM fw",
     "measured_shift": f"WITH {_FIRST}, m AS (SELECT year, day, quantile_cont(shift_ms::DOUBLE, 0.5) AS median_ms FROM fw GROUP BY ALL) SELECT m.year, m.day, median_ms, count(*) AS pairs, count(*) FILTER (abs(shift_ms - median_ms) <= 1000) AS agree FROM fw JOIN m ON m.year = fw.year AND m.day = fw.day GROUP BY ALL",
     "shift_spread": f"WITH {_FIRST} SELECT quantile_cont(abs(shift_ms)::DOUBLE, 0.5) AS median_ms, quantile_cont(abs(shift_ms)::DOUBLE, 0.9) AS p90_ms, count(*) AS pairs FROM fw",

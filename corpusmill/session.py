@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -28,6 +29,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -40,19 +42,31 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset, a session on one machine gets a temporary folder of its own, removed at the end; on a cluster a
+    machine's own folder would lose what other machines wrote, so that is refused.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    current = context._jsc.sc().getCheckpointDir()
+    if folder is None and current.isDefined():
+        folder = current.get()
     if folder is None:
-        current = context._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="corpusmill-")
-    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="corpusmill-")
+        atexit.register(shutil.rmtree, folder, True)
+    if not current.isDefined():
         context.setCheckpointDir(folder)
     return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` materialised in the shared checkpoint folder, with its lineage cut: a lost executor loses nothing of it."""
+    """``df`` materialised in the shared checkpoint folder, with its lineage cut: a lost executor loses nothing of it.
+
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` the files go when nothing refers to the result any more.
+    """
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 

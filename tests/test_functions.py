@@ -35,8 +35,20 @@ def test_lines(spark):
     assert got[:] == ("אב, גד ה", True, True, False, ")א 21(", "01:02:05,500", "a_b_ג")
 
 
+def test_page_numbers(spark):
+    yes = ["12", "- 12 -", "1|2", "א", "רמ״", "קכג'", "Page 4", "page12", "עמוד  31", "1234567"]
+    no = ["", "אבגד", "page", "12 x", "- 123456", "א״ב", "12a"]
+    assert one(spark, *[text.is_page_number(F.lit(x)) for x in yes + no])[:] == (*[True] * len(yes), *[False] * len(no))
+
+
+def test_front_matter(spark):
+    long = " ".join(["x"] * 130)
+    pages = ["a " * 30 + "Contents", "Contents " + long, long, "a b", "x ...... 1\ny ...... 2\nz ...... 3\n" + long, ""]
+    assert one(spark, *[text.is_front_matter(F.lit(p), ["Contents"]) for p in pages])[:] == (True, False, False, True, True, False)
+
+
 def test_dedication(spark):
-    got = one(spark, text.without_dedication(F.lit("א\n*\nב\n*\nלזכות ג")), text.without_dedication(F.lit("א\n*\nב")))
+    got = one(spark, text.without_dedication(F.lit("א\n*\nב\n*\nלזכות ג"), ["לזכות"]), text.without_dedication(F.lit("א\n*\nב"), ["לזכות"]))
     assert got[:] == ("א\nב", "א\nב")
 
 
