@@ -42,7 +42,7 @@ def p1_report(spark: SparkSession, root: str) -> DataFrame:
 def _scans(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """Words of documents, clips and segments are taken as read rightly."""
     clean = table(spark, root, "documents").select("text").unionByName(table(spark, root, "manifest").select("text")).unionByName(table(spark, root, "site_segment").select(F.col("yiddish").alias("text")))
-    return scan_findings(table(spark, root, "pdf_day"), clean)
+    return scan_findings(table(spark, root, "pdf_day"), clean, pages="pages")
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Problem 2: text of scanned pages made into continuous paragraphs.
 
-Two averaged perceptrons edit the text. The first tells furniture (running headers, page numbers) from text lines by what
-stands on a line, where it stands on its page and how often its like stands in other documents of the year. The second
-chooses for each word one of the operations keep, replace, delete and insert, and for each line end keep or join; its
-candidates come from an equality join of one-letter variants with the words of the collection, and it is trained on clean
-words that were misread on purpose, with confusions counted in the collection itself.
+Averaged perceptrons edit the text. The first tells furniture (running headers, page numbers) from text lines by what
+stands on a line, where it stands on its page, whether its number is one of the pages of the document, and how often its
+like stands in other documents of the year. The editor chooses for each word one of the operations keep, replace, delete and
+insert, and for each line end keep or join. Candidates of words come from an equality join of one-letter variants with the
+words of the collection; the editor is trained on clean words that were misread on purpose, by letters replaced as the
+collection's own confusions go, dropped or doubled. Joins are trained on the line ends that leave no doubt, with and without
+sight of the mark.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions.numerals import LETTER_VALUES
 from corpusmill.llm.wording import bounded, sliced
 from corpusmill.session import cut, kept
 
@@ -25,10 +28,13 @@ from corpusmill.session import cut, kept
 TRAIN_LINES = 20_000
 TRAIN_WORDS = 6_000
 PASSES = 5
+LINE_PASSES = 60
 #: Occurrences a word needs to be what another one is a misreading of.
 SUPPORT = 3
 #: Share of a word's occurrences that may be misread in one and the same way; what is seen oftener is a word itself.
 SAME_MISREADING = 0.05
+#: Share of the words taught with a letter dropped, and of those with one doubled.
+DROPPED = 0.03
 #: Marks of a broken word; the first three are used for nothing else.
 BREAKS = "¬‐­-־"
 SURE_BREAKS = "¬‐­"
@@ -66,7 +72,8 @@ class Perceptron:
         self._since[feature] = self._step
         self.weights[feature] += by
 
-    def fit(self, examples: list[tuple[list[list[str]], int]], passes: int = PASSES) -> "Perceptron":
+    def fit(self, examples: list[tuple[list[list[str]], int]], passes: int = PASSES, margin: float = 0.0) -> "Perceptron":
+        """Learns from (candidates, right one); with a ``margin`` also from those that are right by less than it."""
         order = list(range(len(examples)))
         shuffle = random.Random(7).shuffle
         for _ in range(passes):
@@ -74,7 +81,8 @@ class Perceptron:
             for i in order:
                 candidates, gold = examples[i]
                 self._step += 1
-                guess = self.best(candidates)
+                scores = [self.score(c) - margin * (k == gold) for k, c in enumerate(candidates)]
+                guess = scores.index(max(scores))
                 if guess != gold:
                     for f in candidates[gold]:
                         self._add(f, 1.0)
@@ -100,11 +108,20 @@ def line_shape(line: str) -> tuple[str, int, int]:
     return core, marks, len(core.split(" ")) if core else 0
 
 
+def numbers_of(line: str) -> set[int]:
+    """Values of the numbers that stand alone or at an end of a line, in digits or letters; a section's name doesn't count as one."""
+    text = re.sub(r"[|•]", " ", line.strip())
+    found = [text] if _ALONE.fullmatch(text) else [m.group(0) for m in (_FIRST.search(text), _LAST.search(text)) if m]
+    out = {int(d) for x in found for d in re.findall(r"\d{1,4}", x)}
+    return out | {n for x in found if (n := sum(LETTER_VALUES.get(c, 0) for c in re.sub("עמוד|דף", "", x)))}
+
+
 def _lines(batches):
     for batch in sliced(batches):
-        ids, years, bodies = (batch.column(i).to_pylist() for i in range(3))
-        out: dict[str, list] = {k: [] for k in ("doc", "year", "line_no", "core", "marks", "words", "edge_of", "blank_by", "last")}
-        for doc, year, body in zip(ids, years, bodies, strict=True):
+        ids, years, bodies, listed = (batch.column(i).to_pylist() for i in range(4))
+        out: dict[str, list] = {k: [] for k in ("doc", "year", "line_no", "core", "marks", "words", "edge_of", "blank_by", "last", "listed")}
+        for doc, year, body, numbers in zip(ids, years, bodies, listed, strict=True):
+            numbers = set(numbers or ())
             lines = body.split("\n")
             sizes = sorted(len(x) for x in lines if x.strip())
             middle = sizes[len(sizes) // 2] if sizes else 1
@@ -114,10 +131,11 @@ def _lines(batches):
                 core, marks, words = line_shape(line)
                 blank = int(i == 0 or not lines[i - 1].strip()) + int(i == len(lines) - 1 or not lines[i + 1].strip())
                 beside = any(0 <= j < len(lines) and lines[j].strip() and line_shape(lines[j])[1] & 1 for j in (i - 1, i + 1))
-                row = (doc, year, i, core, marks, words, int(i == 0 or i == len(lines) - 1), blank + 4 * beside, min(3, 4 * len(line) // max(1, middle)))
+                known = int(bool(numbers) and marks & 15 != 0 and bool(numbers_of(line) & numbers))
+                row = (doc, year, i, core, marks, words, int(i == 0 or i == len(lines) - 1), blank + 4 * beside, min(3, 4 * len(line) // max(1, middle)), known)
                 for name, value in zip(out, row, strict=True):
                     out[name].append(value)
-        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc", batch.schema.field(0).type), ("year", pa.int32()), ("line_no", pa.int32()), ("core", pa.string()), *((k, pa.int32()) for k in ("marks", "words", "edge_of", "blank_by", "last"))]))
+        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc", batch.schema.field(0).type), ("year", pa.int32()), ("line_no", pa.int32()), ("core", pa.string()), *((k, pa.int32()) for k in ("marks", "words", "edge_of", "blank_by", "last", "listed"))]))
 
 
 def _line_features() -> dict[str, Column]:
@@ -127,29 +145,32 @@ def _line_features() -> dict[str, Column]:
         out[name] = marks.bitwiseAND(bit) > 0
     out |= {"one word": F.col("words") == 1, "few words": F.col("words").between(2, 6), "many words": F.col("words") > 6}
     out |= {"header of the year": F.col("near") == 0, "near header": F.col("near").between(1, 98), "no header": F.col("near") > 98}
-    out |= {"page edge": F.col("edge_of") == 1, "blank beside": F.col("blank_by").bitwiseAND(3) > 0, "by number": F.col("blank_by") >= 4, "short": F.col("last") <= 1, "full": F.col("last") >= 3}
+    out |= {"page of the document": F.col("listed") == 1, "page edge": F.col("edge_of") == 1, "blank beside": F.col("blank_by").bitwiseAND(3) > 0, "by number": F.col("blank_by") >= 4, "short": F.col("last") <= 1, "full": F.col("last") >= 3}
     return out
 
 
-def furniture(df: DataFrame, key: str, body: str, year: str) -> DataFrame:
+def furniture(df: DataFrame, key: str, body: str, year: str, pages: str | None = None) -> DataFrame:
     """(doc, line_no) of running headers and page numbers. See :func:`scan_findings` for its cases."""
+    listed = F.lit(None).cast("array<int>") if pages is None else F.col(f"`{pages}`").cast("array<int>")
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(f"`{key}`").alias("doc"), F.coalesce(F.col(f"`{year}`").cast("int"), F.lit(-1)).alias("year"), F.col(f"`{body}`").alias("body")).where("doc is not null and body is not null")
-    lines = kept(rows.mapInArrow(_lines, f"doc {kind}, year int, line_no int, core string, marks int, words int, edge_of int, blank_by int, last int"))
+    rows = df.select(F.col(f"`{key}`").alias("doc"), F.coalesce(F.col(f"`{year}`").cast("int"), F.lit(-1)).alias("year"), F.col(f"`{body}`").alias("body"), listed.alias("listed")).where("doc is not null and body is not null")
+    lines = kept(rows.mapInArrow(_lines, f"doc {kind}, year int, line_no int, core string, marks int, words int, edge_of int, blank_by int, last int, listed int"))
     strong = F.col("marks").bitwiseAND(14) > 0
-    headers = lines.where("words between 2 and 8").groupBy("year", "core").agg(F.countDistinct("doc").alias("docs"), F.count("*").alias("n"), F.count(F.when(strong, 1)).alias("marked"))
+    headers = lines.where("words >= 2").groupBy("year", "core").agg(F.countDistinct("doc").alias("docs"), F.count("*").alias("n"), F.count(F.when(strong, 1)).alias("marked"))
     headers = cut(headers.where("marked >= 1 and n >= 2 and (docs >= 2 or marked >= 2)").select("year", F.col("core").alias("header")))
-    # Lines as short as a header meet the few headers of their year.
-    short = lines.where("words between 1 and 9 and length(core) <= 80")
-    apart = F.expr("levenshtein(core, header, 1 + cast(length(header) / 5 as int))")
-    near = short.select("year", "core").distinct().join(bounded(headers, 20_000), "year").withColumn("near", apart).where("near >= 0").groupBy("year", "core").agg(F.min("near").alias("near"))
+    # A line meets the headers of its year whose length allows the distance: an equality join on year and length.
+    most = 1 + F.floor(F.length("header") / 5).cast("int")
+    by_length = headers.select("year", "header", most.alias("most"), F.explode(F.sequence(F.greatest(F.lit(1), F.length("header") - most), F.length("header") + most)).alias("size"))
+    shapes = lines.where("words >= 1").select("year", "core").distinct().withColumn("size", F.length("core"))
+    near = shapes.join(bounded(by_length, 100_000), ["year", "size"]).withColumn("near", F.expr("levenshtein(core, header, most)")).where("near >= 0").groupBy("year", "core").agg(F.min("near").alias("near"))
     seen = lines.join(near, ["year", "core"], "left").withColumn("near", F.coalesce("near", F.lit(99)))
     features = _line_features()
     # Sure cases teach: a recurring header or number alone is furniture, a full line that is like no header is text.
-    sure = F.when((F.col("marks") == 1) | strong & (F.col("near") < 99), 1).when((F.col("near") == 99) & ~strong & (F.col("words") >= 1), 0)
+    sure = F.when((F.col("marks") == 1) | (F.col("marks").bitwiseAND(1) == 1) & (F.col("listed") == 1) | strong & (F.col("near") < 99), 1).when((F.col("near") == 99) & ~strong & (F.col("words") >= 1), 0)
     sample = seen.select(sure.alias("gold"), *(v.alias(k) for k, v in features.items()), F.xxhash64("doc", "line_no").alias("order")).where("gold is not null").orderBy("order").limit(TRAIN_LINES).drop("order").distinct().collect()
     examples = [([["keep"], [k for k in features if r[k]]], r["gold"]) for r in sample]
-    model = Perceptron().fit(examples) if {g for _, g in examples} == {0, 1} else None
+    # There are few distinct examples, and they are told apart by rules: many passes and a margin leave none of them wrong.
+    model = Perceptron().fit(examples, LINE_PASSES, 1.0) if {g for _, g in examples} == {0, 1} else None
     if model is None:
         return seen.where((F.col("marks").bitwiseAND(1) == 1) | strong).select("doc", "line_no")
     total = F.lit(-model.weights["keep"])
@@ -210,24 +231,43 @@ def _tokens(batches):
         yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc", batch.schema.field(0).type), ("line_no", pa.int32()), *((k, pa.string()) for k in ("word", "left", "right", "mark"))]))
 
 
+#: A prime and a base of the hashes of variants; a hole is a character that no text has.
+_PRIME, _RADIX, _HOLE = (1 << 61) - 1, 0x5851F42D4C957F2D % ((1 << 61) - 1), 0x110000
+
+
+def variant_keys(word: str) -> list[tuple[int, str, int]]:
+    """(key, op, place) of a word, of the word with a hole at each place, and of the word less each letter.
+
+    Keys are polynomial hashes put together from those of the word's beginnings and ends, so time is linear in its length.
+    """
+    n = len(word)
+    before, after, power = [0] * (n + 1), [0] * (n + 1), [1] * (n + 2)
+    for i, ch in enumerate(word):
+        before[i + 1] = (before[i] * _RADIX + ord(ch) + 1) % _PRIME
+        power[i + 1] = power[i] * _RADIX % _PRIME
+    power[n + 1] = power[n] * _RADIX % _PRIME
+    for i in range(n - 1, -1, -1):
+        after[i] = ((ord(word[i]) + 1) * power[n - 1 - i] + after[i + 1]) % _PRIME
+    rows = [(before[n], "whole", -1)]
+    rows += [((before[i] * power[n - i] + _HOLE * power[n - i - 1] + after[i + 1]) % _PRIME, "hole", i) for i in range(n)]
+    return rows + [((before[i] * power[n - i - 1] + after[i + 1]) % _PRIME, "less", i) for i in range(n) if i == 0 or word[i] != word[i - 1]]
+
+
 def _variants(batches):
-    """Rows (key, word, op, place) of the one-letter variants of words: holes, deletions and the words themselves."""
+    """Rows (key, word, op, place) of the one-letter variants of words of two letters or more."""
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             out: dict[str, list] = {"key": [], "word": [], "op": [], "place": []}
             for word in batch.column(0).slice(at, 2000).to_pylist():
-                if not 2 <= len(word) <= 40:
+                if len(word) < 2:
                     continue
-                rows = [(word, "whole", -1)]
-                rows += [(f"{word[:i]}*{word[i + 1 :]}", "hole", i) for i in range(len(word))]
-                rows += [(word[:i] + word[i + 1 :], "less", i) for i in range(len(word)) if i == 0 or word[i] != word[i - 1]]
-                for key, op, place in rows:
+                for key, op, place in variant_keys(word):
                     for name, value in zip(out, (key, word, op, place), strict=True):
                         out[name].append(value)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("key", pa.string()), ("word", pa.string()), ("op", pa.string()), ("place", pa.int32())]))
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("key", pa.int64()), ("word", pa.string()), ("op", pa.string()), ("place", pa.int32())]))
 
 
-_VARIANT = "key string, word string, op string, place int"
+_VARIANT = "key bigint, word string, op string, place int"
 
 
 def candidates(words: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -242,7 +282,7 @@ def candidates(words: DataFrame, lexicon: DataFrame) -> DataFrame:
         .when((F.col("op") == "less") & (F.col("fixed_op") == "whole"), "delete")
         .when((F.col("op") == "whole") & (F.col("fixed_op") == "less"), "insert")
     )
-    return met.select("word", op.alias("op"), F.greatest("place", "fixed_place").alias("place"), "fixed", "support").where("op is not null").distinct()
+    return met.select("word", op.alias("op"), F.greatest("place", "fixed_place").alias("place"), "fixed", "support").where("op is not null and levenshtein(word, fixed, 1) = 1").distinct()
 
 
 def _bucket(x: float) -> int:
@@ -284,17 +324,18 @@ def lexicon_of(texts: DataFrame, text: str) -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
-def scan_findings(df: DataFrame, clean: DataFrame, key: str = "pdf_id", body: str = "body", year: str = "year", clean_text: str = "text") -> tuple[DataFrame, DataFrame]:
+def scan_findings(df: DataFrame, clean: DataFrame, key: str = "pdf_id", body: str = "body", year: str = "year", clean_text: str = "text", pages: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(findings, fixes) of scanned bodies.
 
     ``findings`` (``key``, line_no, kind): ``edge`` for a running header or page number, ``hyphen`` for a line whose last
     word goes on in the next line of text, ``misread`` for a line with a misread word; lines count from 0, blank ones
     included. ``fixes`` (doc, line_no, word, op, fixed, left, right): the edits; op ``join`` puts left and right together.
     ``clean`` are texts whose words are taken as read rightly. Null keys and bodies give no rows, empty bodies none;
-    a null year is a year of its own; further columns are ignored.
+    a null year is a year of its own; ``pages`` names a column with the numbers of a document's pages, if there is one;
+    further columns are ignored.
     """
     kind = df.schema[key].dataType.simpleString()
-    edges = cut(furniture(df, key, body, year))
+    edges = cut(furniture(df, key, body, year, pages))
     per_doc = edges.groupBy("doc").agg(F.collect_set("line_no").alias("edges"))
     bodies = df.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{body}`").alias("body")).where("doc is not null and body is not null").join(per_doc, "doc", "left").select("doc", "body", "edges")
     tokens = kept(bodies.mapInArrow(_tokens, f"doc {kind}, line_no int, word string, left string, right string, mark string"))
@@ -311,8 +352,8 @@ def scan_findings(df: DataFrame, clean: DataFrame, key: str = "pdf_id", body: st
     n = {p: F.coalesce(f"n_{p}", F.lit(0)) for p in ("left", "right", "word")}
     # How many times likelier the whole is than its parts side by side.
     odds = F.log10((n["word"] + 0.02) * F.lit(float(size)) / ((n["left"] + 0.02) * (n["right"] + 0.02)))
-    need = F.when(F.col("mark").isin(*SURE_BREAKS), -9.0).when(F.col("mark") != "", 1.0).otherwise(2.5)
-    joined = cut(ends.where((odds > need) & ((n["word"] > 0) | (F.col("mark") != "") & (n["left"] == 0) | F.col("mark").isin(*SURE_BREAKS))).select("doc", "line_no", "word", "left", "right"))
+    ends = ends.select("doc", "line_no", "word", "left", "right", "mark", odds.alias("odds"), *(n[p].alias(f"n_{p}") for p in ("word", "left", "right")))
+    joined = cut(_joined(ends))
     # Words of text lines that aren't parts of a broken word, as often as the clean texts let one expect them.
     halves = joined.select("left").union(joined.select("right")).groupBy(F.col("left").alias("word")).agg(F.count("*").alias("halves"))
     rows = counts.join(halves, "word", "left").withColumn("seen", F.greatest(F.lit(0), F.col("seen") - F.coalesce("halves", F.lit(0)))).where("seen > 0")
@@ -347,8 +388,56 @@ def scan_findings(df: DataFrame, clean: DataFrame, key: str = "pdf_id", body: st
     return findings.withColumnRenamed("doc", key), fixes
 
 
+#: Odds of the whole, as powers of ten, under which a line end without a mark is surely kept and above which it is surely joined.
+SURE_ODDS = (1.0, 3.0)
+#: Bounds between the classes of odds, as powers of ten.
+ODDS = (-4, -3, -2, -1, -0.5, 0, 0.5, 1, 1.5, 2, 2.5, 3, 4, 5, 6)
+
+
+def _end_features(mark: Column) -> dict[str, Column]:
+    """Yes-or-no features of a line end for joining it; they stay in the JVM."""
+    sure, some = mark.isin(*SURE_BREAKS), mark != ""
+    kind = {"sure mark": sure, "other mark": some & ~sure, "no mark": ~some}
+    out: dict[str, Column] = {"join": F.lit(True)}
+    known = {"whole": F.col("n_word") > 0, "left": F.col("n_left") > 0, "right": F.col("n_right") > 0}
+    for name, flag in kind.items():
+        out[name] = flag
+        out |= {f"{name}, {part} known": flag & here for part, here in known.items()}
+        out |= {f"{name}, no part known": flag & ~known["left"] & ~known["right"]}
+        # Odds count up: each class passed adds its weight.
+        out |= {f"{name}, odds over {low}": flag & (F.col("odds") > low) for low in ODDS}
+    return out
+
+
+def _joined(ends: DataFrame) -> DataFrame:
+    """(doc, line_no, word, left, right) of the line ends that the editor joins.
+
+    Sure ends teach. Those with a mark used for nothing else are joined, and where the whole is a word they are shown with a
+    doubtful mark too. Those without a mark are joined where the whole is a word and far likelier than its parts, and
+    kept apart where it is none or no likelier; so are those with a doubtful mark between two words that make none.
+    """
+    mark = F.col("mark")
+    sure = mark.isin(*SURE_BREAKS)
+    whole, parts = F.col("n_word") >= SUPPORT, (F.col("n_left") > 0) & (F.col("n_right") > 0)
+    likely = (mark == "") & (F.col("n_word") > 0) & (F.col("odds") > SURE_ODDS[1])
+    apart = (mark == "") & ((F.col("n_word") == 0) | (F.col("odds") < SURE_ODDS[0])) | (mark != "") & ~sure & (F.col("n_word") == 0) & parts
+    told = F.when(sure & whole, F.array(mark, F.lit("-"))).when(sure | likely | apart, F.array(mark))
+    shown = ends.where(sure | likely | apart).select("*", (sure | likely).cast("int").alias("gold"), F.explode(told).alias("shown"))
+    features = _end_features(F.col("shown"))
+    order = F.xxhash64("doc", "line_no", "shown")
+    sample = shown.select("gold", *(v.alias(k) for k, v in features.items()), order.alias("order")).orderBy("order").limit(TRAIN_LINES).collect()
+    examples = [([["keep"], [k for k in features if r[k]]], r["gold"]) for r in sample]
+    if {g for _, g in examples} != {0, 1}:
+        return ends.where(sure).select("doc", "line_no", "word", "left", "right")
+    model = Perceptron().fit(examples, PASSES, 1.0)
+    total = F.lit(-model.weights["keep"])
+    for name, flag in _end_features(mark).items():
+        total = total + F.when(flag, F.lit(model.weights[name])).otherwise(0.0)
+    return ends.where(sure | (total > 0)).select("doc", "line_no", "word", "left", "right")
+
+
 def _trained(lexicon: DataFrame, table: list, confusion: dict, ratio: float) -> Perceptron:
-    """The editor, taught on clean words of which every second is misread by one letter."""
+    """The editor, taught on clean words of which every second is misread: a letter replaced, or now and then dropped or doubled."""
     chance = random.Random(11)
     wrong_of: dict[str, tuple[list[str], list[float]]] = defaultdict(lambda: ([], []))
     for r in table:
@@ -361,7 +450,12 @@ def _trained(lexicon: DataFrame, table: list, confusion: dict, ratio: float) ->
     for r in [*by_use, *by_hash]:
         word = r["word"]
         at = chance.randrange(len(word))
-        if len(word) > 1 and word[at] in wrong_of and chance.random() < 0.5:
+        draw = chance.random()
+        if len(word) > 2 and draw < DROPPED:
+            pairs.append((word[:at] + word[at + 1 :], word))
+        elif len(word) > 1 and draw < 2 * DROPPED:
+            pairs.append((word[: at + 1] + word[at:], word))
+        elif len(word) > 1 and word[at] in wrong_of and draw < 0.5:
             wrong = chance.choices(*wrong_of[word[at]])[0]
             pairs.append((word[:at] + wrong + word[at + 1 :], word))
         else:

@@ -1,6 +1,6 @@
 import random
 
-from corpusmill.llm.scans import Perceptron, line_shape, paragraphs, scan_findings, words_of_line
+from corpusmill.llm.scans import Perceptron, line_shape, numbers_of, paragraphs, scan_findings, variant_keys, words_of_line
 
 SCHEMA = "pdf_id bigint, year int, body string, doc int, edges string"
 
@@ -72,3 +72,30 @@ def test_line_shapes():
 def test_perceptron_learns():
     model = Perceptron().fit([([["keep"], ["x"]], 1), ([["keep"], ["y"]], 0)] * 5)
     assert model.best([["keep"], ["x"]]) == 1 and model.best([["keep"], ["y"]]) == 0
+
+
+def test_variant_keys_meet_where_strings_do():
+    r = random.Random(2)
+    words = sorted({"".join(r.choice("אבג") for _ in range(r.randrange(1, 5))) for _ in range(60)})
+    texts = {}
+    for word in words:
+        for key, op, place in variant_keys(word):
+            text = word if op == "whole" else f"{word[:place]}*{word[place + 1 :]}" if op == "hole" else word[:place] + word[place + 1 :]
+            assert texts.setdefault(key, text) == text
+    assert len(set(texts.values())) == len(texts)
+
+
+def test_numbers_of_lines():
+    assert numbers_of("— 12 —") == {12} and numbers_of("עמוד 3") == {3} and numbers_of("קל״ב") == {132} and numbers_of("אב גד • ז׳") == {7} and numbers_of("אב גד") == set()
+
+
+def test_a_number_that_is_no_page_is_text(spark):
+    rows, clean, truth = pages()
+    texts = spark.createDataFrame([(t,) for t in clean], "text string")
+    with_pages = [(*r, [7, 8]) for r in rows]
+    df = spark.createDataFrame(with_pages, SCHEMA + ", pages array<int>")
+    found, _ = scan_findings(df, texts, pages="pages")
+    got = {tuple(r) for r in found.where("kind = 'edge'").collect()}
+    want = {x for x in truth if x[2] == "edge"}
+    assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
+    assert scan_findings(spark.createDataFrame([(1, 1, "א" * 20_000 + "\nאבג", 0, "")], SCHEMA), texts)[0].count() == 0
