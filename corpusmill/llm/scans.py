@@ -24,8 +24,7 @@ from corpusmill.functions.numerals import LETTER_VALUES
 from corpusmill.llm.wording import bounded, sliced
 from corpusmill.session import cut, kept
 
-#: Rows that each perceptron is trained on, at most: the first in the order of their hashes.
-TRAIN_LINES = 20_000
+#: Words that the editor is trained on, at most: half of them the most frequent, half the first in the order of their hashes.
 TRAIN_WORDS = 6_000
 PASSES = 5
 LINE_PASSES = 60
@@ -167,8 +166,9 @@ def furniture(df: DataFrame, key: str, body: str, year: str, pages: str | None =
     features = _line_features()
     # Sure cases teach: a recurring header or number alone is furniture, a full line that is like no header is text.
     sure = F.when((F.col("marks") == 1) | (F.col("marks").bitwiseAND(1) == 1) & (F.col("listed") == 1) | strong & (F.col("near") < 99), 1).when((F.col("near") == 99) & ~strong & (F.col("words") >= 1), 0)
-    sample = seen.select(sure.alias("gold"), *(v.alias(k) for k, v in features.items()), F.xxhash64("doc", "line_no").alias("order")).where("gold is not null").orderBy("order").limit(TRAIN_LINES).drop("order").distinct().collect()
-    examples = [([["keep"], [k for k in features if r[k]]], r["gold"]) for r in sample]
+    sample = seen.select(sure.alias("gold"), *(v.alias(k) for k, v in features.items())).where("gold is not null").distinct().collect()
+    # Each kind of line once: marks, numbers of words and places make at most a few thousand.
+    examples = sorted(([["keep"], [k for k in features if r[k]]], r["gold"]) for r in sample)
     # There are few distinct examples, and they are told apart by rules: many passes and a margin leave none of them wrong.
     model = Perceptron().fit(examples, LINE_PASSES, 1.0) if {g for _, g in examples} == {0, 1} else None
     if model is None:
@@ -394,19 +394,24 @@ SURE_ODDS = (1.0, 3.0)
 ODDS = (-4, -3, -2, -1, -0.5, 0, 0.5, 1, 1.5, 2, 2.5, 3, 4, 5, 6)
 
 
-def _end_features(mark: Column) -> dict[str, Column]:
-    """Yes-or-no features of a line end for joining it; they stay in the JVM."""
-    sure, some = mark.isin(*SURE_BREAKS), mark != ""
-    kind = {"sure mark": sure, "other mark": some & ~sure, "no mark": ~some}
-    out: dict[str, Column] = {"join": F.lit(True)}
-    known = {"whole": F.col("n_word") > 0, "left": F.col("n_left") > 0, "right": F.col("n_right") > 0}
-    for name, flag in kind.items():
-        out[name] = flag
-        out |= {f"{name}, {part} known": flag & here for part, here in known.items()}
-        out |= {f"{name}, no part known": flag & ~known["left"] & ~known["right"]}
-        # Odds count up: each class passed adds its weight.
-        out |= {f"{name}, odds over {low}": flag & (F.col("odds") > low) for low in ODDS}
-    return out
+#: Kinds of marks at a line's end.
+MARKS = ("none", "other", "sure")
+
+
+def _end_features(code: int) -> list[str]:
+    """Features of joining a line end by its code: kind of mark, which of whole, left and right are words, class of odds."""
+    code, level = divmod(code, len(ODDS) + 1)
+    kind, known = divmod(code, 8)
+    out = ["join", MARKS[kind]] + [f"{MARKS[kind]}, {part} known" for bit, part in ((4, "whole"), (2, "left"), (1, "right")) if known & bit]
+    # Odds count up: each class passed adds its weight.
+    return out + [f"{MARKS[kind]}, no part known"] * (known & 3 == 0) + [f"{MARKS[kind]}, odds over {low}" for low in ODDS[:level]]
+
+
+def _end_code(mark: Column) -> Column:
+    kind = F.when(mark.isin(*SURE_BREAKS), 2).when(mark != "", 1).otherwise(0)
+    known = sum((F.when(F.col(c) > 0, bit).otherwise(0) for c, bit in (("n_word", 4), ("n_left", 2), ("n_right", 1))), F.lit(0))
+    level = sum((F.when(F.col("odds") > low, 1).otherwise(0) for low in ODDS), F.lit(0))
+    return (kind * 8 + known) * (len(ODDS) + 1) + level
 
 
 def _joined(ends: DataFrame) -> DataFrame:
@@ -415,6 +420,7 @@ def _joined(ends: DataFrame) -> DataFrame:
     Sure ends teach. Those with a mark used for nothing else are joined, and where the whole is a word they are shown with a
     doubtful mark too. Those without a mark are joined where the whole is a word and far likelier than its parts, and
     kept apart where it is none or no likelier; so are those with a doubtful mark between two words that make none.
+    All of them teach, each kind of end once: an end has one of a few hundred codes.
     """
     mark = F.col("mark")
     sure = mark.isin(*SURE_BREAKS)
@@ -423,17 +429,12 @@ def _joined(ends: DataFrame) -> DataFrame:
     apart = (mark == "") & ((F.col("n_word") == 0) | (F.col("odds") < SURE_ODDS[0])) | (mark != "") & ~sure & (F.col("n_word") == 0) & parts
     told = F.when(sure & whole, F.array(mark, F.lit("-"))).when(sure | likely | apart, F.array(mark))
     shown = ends.where(sure | likely | apart).select("*", (sure | likely).cast("int").alias("gold"), F.explode(told).alias("shown"))
-    features = _end_features(F.col("shown"))
-    order = F.xxhash64("doc", "line_no", "shown")
-    sample = shown.select("gold", *(v.alias(k) for k, v in features.items()), order.alias("order")).orderBy("order").limit(TRAIN_LINES).collect()
-    examples = [([["keep"], [k for k in features if r[k]]], r["gold"]) for r in sample]
-    if {g for _, g in examples} != {0, 1}:
+    taught = sorted(tuple(r) for r in shown.select(_end_code(F.col("shown")).alias("code"), "gold").distinct().collect())
+    if {g for _, g in taught} != {0, 1}:
         return ends.where(sure).select("doc", "line_no", "word", "left", "right")
-    model = Perceptron().fit(examples, PASSES, 1.0)
-    total = F.lit(-model.weights["keep"])
-    for name, flag in _end_features(mark).items():
-        total = total + F.when(flag, F.lit(model.weights[name])).otherwise(0.0)
-    return ends.where(sure | (total > 0)).select("doc", "line_no", "word", "left", "right")
+    model = Perceptron().fit([([["keep"], _end_features(code)], gold) for code, gold in taught], LINE_PASSES, 1.0)
+    codes = [code for code in range(len(MARKS) * 8 * (len(ODDS) + 1)) if model.best([["keep"], _end_features(code)])]
+    return ends.where(sure | _end_code(mark).isin(*codes)).select("doc", "line_no", "word", "left", "right")
 
 
 def _trained(lexicon: DataFrame, table: list, confusion: dict, ratio: float) -> Perceptron:
