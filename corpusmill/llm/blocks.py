@@ -28,7 +28,7 @@ class _Words(dict):
         return number
 
 
-def _blocks(cutter: Callable[[], Callable[[str], list[str] | None]]):
+def _blocks(cutter: Callable[[], Callable], kind: pa.DataType):
     """Rows (block, documents, counts, codes, words): codes are the numbers of each document's words in the block."""
 
     def run(batches):
@@ -41,22 +41,22 @@ def _blocks(cutter: Callable[[], Callable[[str], list[str] | None]]):
             codes = np.concatenate(runs)
             counts = np.array([len(r) for r in runs], np.int32)
             return pa.RecordBatch.from_arrays(
-                [pa.array([(part << 33) | number], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (np.array(keys, np.int64), counts, codes)), pa.array([list(words)], pa.list_(pa.string()))],
+                [pa.array([(part << 33) | number], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (np.array(keys, np.int64), counts, codes)), pa.array([list(words)], pa.list_(kind))],
                 names=["block", "documents", "counts", "codes", "words"],
             )
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text = text or ""
-                found = words_in(text)
+                found = words_in(text if text is not None else "")
                 if found is None:
                     continue
-                if runs and held + len(text) > BLOCK_CHARS:
+                size = len(text) if text is not None else 0
+                if runs and held + size > BLOCK_CHARS:
                     yield block()
                     number, held, keys, runs, words = number + 1, 0, [], [], _Words()
                 keys.append(key)
                 runs.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
-                held += len(text)
+                held += size
         if runs:
             yield block()
 
@@ -66,7 +66,13 @@ def _blocks(cutter: Callable[[], Callable[[str], list[str] | None]]):
 def word_blocks(df: DataFrame, key: str, text: str, cutter: Callable[[], Callable[[str], list[str] | None]]) -> DataFrame:
     """The blocks of ``df``, materialised. ``cutter()`` makes a function from a text to its words, or None to leave it out."""
     rows = df.select(F.col(f"`{key}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text"))
-    return cut(rows.mapInArrow(_blocks(cutter), "block bigint, documents binary, counts binary, codes binary, words array<string>"))
+    return cut(rows.mapInArrow(_blocks(cutter, pa.string()), "block bigint, documents binary, counts binary, codes binary, words array<string>"))
+
+
+def id_blocks(df: DataFrame, key: str, ids: str) -> DataFrame:
+    """The same blocks of lists of numbers; a block's ``words`` are its distinct numbers. Null lists are empty ones."""
+    rows = df.select(F.col(f"`{key}`").cast("bigint").alias("doc"), F.coalesce(F.col(f"`{ids}`").cast("array<int>"), F.array().cast("array<int>")).alias("ids"))
+    return cut(rows.mapInArrow(_blocks(lambda: lambda x: x, pa.int32()), "block bigint, documents binary, counts binary, codes binary, words array<int>"))
 
 
 def words_in(blocks: DataFrame) -> DataFrame:

@@ -12,10 +12,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.blocks import with_entries, word_blocks, words_in
+from corpusmill.llm.blocks import id_blocks, with_entries, word_blocks, words_in
 
 DEFAULT_TOKENIZER = "byte_bpe_50k"
 TOKENIZER_FOLDER = "/opt/tokenizers"
@@ -100,18 +100,31 @@ def encode(df: DataFrame, key: str, text: str, tokenizer: str = DEFAULT_TOKENIZE
     return whole.mapInArrow(_assemble, "doc bigint, ids array<int>").withColumnRenamed("doc", key)
 
 
-def _bytes_of(path: str):
-    def run(batches):
-        with open(path, "rb") as lines:
-            table = {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, lines)}
-        for batch in batches:
-            ids = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b"".join(table[i] for i in x or []).decode("utf-8", "replace") for x in ids], pa.string())], names=["doc", "text"])
+def token_bytes(spark: SparkSession, tokenizer: str = DEFAULT_TOKENIZER, folder: str = TOKENIZER_FOLDER) -> DataFrame:
+    """(word, bytes): the vocabulary's table of ids and the bytes they stand for."""
+    lines = F.split(F.col("value"), " ")
+    return spark.read.text(f"file://{folder}/{tokenizer}.tiktoken").select(lines[1].cast("int").alias("word"), F.unbase64(lines[0]).alias("bytes"))
 
-    return run
+
+def _texts(batches):
+    """Documents' texts from a block's codes and the bytes of its ids."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            keys, counts = np.frombuffer(row["documents"], np.int64), np.frombuffer(row["counts"], np.int32)
+            codes = np.frombuffer(row["codes"], np.int32).tolist()
+            pieces = {e["number"]: e["value"] for e in row["entries"] or []}
+            upto = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+            for at in range(0, len(keys), 500):
+                texts = [b"".join(map(pieces.__getitem__, codes[upto[i] : upto[i + 1]])).decode("utf-8", "replace") for i in range(at, min(at + 500, len(keys)))]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 500]), pa.array(texts, pa.string())], names=["doc", "text"])
 
 
 def decode(df: DataFrame, key: str, ids: str = "ids", tokenizer: str = DEFAULT_TOKENIZER, folder: str = TOKENIZER_FOLDER) -> DataFrame:
-    """``key`` and ``text`` of lists of ids: a lookup in the vocabulary's token-byte table, whose size is fixed."""
-    rows = df.select(F.col(f"`{key}`").cast("bigint").alias("doc"), F.col(f"`{ids}`").alias("ids"))
-    return rows.mapInArrow(_bytes_of(f"{folder}/{tokenizer}.tiktoken"), "doc bigint, text string").withColumnRenamed("doc", key)
+    """``key`` and ``text`` of lists of ids: the distinct ids of each block of documents are joined to the token-byte table.
+
+    An empty and a null list give the empty text; an id that isn't in the table is an error. ``key`` must be a 64-bit
+    integer and not null; repeated rows each give a row.
+    """
+    table = token_bytes(df.sparkSession, tokenizer, folder)
+    whole = with_entries(id_blocks(df, key, ids), table, F.col("bytes"))
+    return whole.mapInArrow(_texts, "doc bigint, text string").withColumnRenamed("doc", key)
