@@ -18,6 +18,8 @@ from corpusmill.session import cut
 GRAM = 5
 #: Consecutive words that make a leak.
 SPAN = 12
+#: Lists that the passages which hit a document are parted into, at most.
+LISTS = 64
 #: Texts handled at a time inside a batch.
 SLICE = 1000
 
@@ -61,23 +63,28 @@ def _longest(a: list[str], b: list[str], i: int, j: int, gram: int) -> int:
 
 
 def _extend(gram: int):
+    """Rows (id, item, words) of rows (id, text, passages): a document's words are made once for all its passages."""
+
     def run(batches):
         for batch in batches:
-            words: dict[str, list[str]] = {}
-            lengths = []
-            for row in batch.select(["text", "item_text", "hits"]).to_pylist():
-                if len(words) > 5000:
-                    words.clear()
-                a, b = (words.get(t) or words.setdefault(t, words_of(t)) for t in (row["text"], row["item_text"]))
-                best, done = 0, set()
-                for hit in sorted((h["place"], h["item_place"]) for h in row["hits"]):
-                    # A hit inside a run that was already extended has the same run.
-                    if (hit[0] - hit[1], hit[0]) in done:
-                        continue
-                    best = max(best, _longest(a, b, *hit, gram))
-                    done |= {(hit[0] - hit[1], hit[0] + x) for x in range(gram)}
-                lengths.append(best)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("item"), pa.array(lengths, pa.int32())], names=["id", "item", "words"])
+            out: dict[str, list] = {"id": [], "item": [], "words": []}
+            passages: dict[str, list[str]] = {}
+            for row in batch.to_pylist():
+                a = words_of(row["text"])
+                if len(passages) > 5000:
+                    passages.clear()
+                for p in row["passages"]:
+                    b = passages.get(p["item_text"]) or passages.setdefault(p["item_text"], words_of(p["item_text"]))
+                    best, done = 0, set()
+                    for hit in sorted((h["place"], h["item_place"]) for h in p["hits"]):
+                        # A hit inside a run that was already extended has the same run.
+                        if (hit[0] - hit[1], hit[0]) in done:
+                            continue
+                        best = max(best, _longest(a, b, *hit, gram))
+                        done |= {(hit[0] - hit[1], hit[0] + x) for x in range(gram)}
+                    for name, value in zip(out, (row["id"], p["item"], best), strict=True):
+                        out[name].append(value)
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("id", pa.int64()), ("item", pa.int64()), ("words", pa.int32())]))
 
     return run
 
@@ -91,11 +98,13 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     tests = cut(fingerprints(items, item_key, item_text, gram, span).distinct().select(F.col("id").alias("item"), "print", F.col("place").alias("item_place")))
     tests = bounded(tests)
     hits = fingerprints(docs, key, text, gram, span).join(tests, "print").groupBy("id", "item").agg(F.collect_set(F.struct("place", "item_place")).alias("hits"))
-    hits = cut(hits)
     texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
-    passages = items.select(F.col(f"`{item_key}`").cast("bigint").alias("item"), F.col(f"`{item_text}`").alias("item_text"))
-    # Only the ids of documents with hits meet the corpus; their texts then meet their hits.
-    wanted = texts.join(bounded(hits.select("id").distinct()), "id", "left_semi")
-    pairs = wanted.join(hits, "id").join(passages, "item").select("id", "item", "text", "item_text", "hits")
-    found = pairs.mapInArrow(_extend(gram), "id bigint, item bigint, words int").where(F.col("words") >= span)
+    passages = items.select(F.col(f"`{item_key}`").cast("bigint").alias("item"), F.col(f"`{item_text}`").alias("item_text")).distinct()
+    # The passages that hit a document go to it in lists, so that its text stands in a row a list and not a pair; lists
+    # are parted, so that a stock phrase of very many passages doesn't make one of them large.
+    part = F.pmod(F.xxhash64("item"), F.lit(LISTS)).cast("int").alias("part")
+    lists = cut(hits.join(passages, "item").groupBy("id", part).agg(F.collect_list(F.struct("item", "item_text", "hits")).alias("passages")))
+    # Only the ids of documents with hits meet the corpus; their texts then meet their lists.
+    wanted = texts.join(bounded(lists.select("id").distinct()), "id", "left_semi").distinct()
+    found = wanted.join(lists, "id").select("id", "text", "passages").mapInArrow(_extend(gram), "id bigint, item bigint, words int").where(F.col("words") >= span)
     return found.groupBy("id", "item").agg(F.max("words").alias("words")).select(F.col("id").alias(key), F.col("item").alias(item_key), "words")
