@@ -22,21 +22,33 @@ LARGE = 1 / 200
 
 
 def _searched(adjacent: DataFrame, salt: int) -> DataFrame:
-    """(node, label) of every node of the symmetric edges ``adjacent`` (src, dst)."""
+    """(node, label) of every node of the symmetric edges ``adjacent`` (src, dst).
+
+    Only the frontier meets the adjacency lists: the nodes that the wave before has reached, and the new seeds. What was
+    reached earlier has no unlabelled neighbour left.
+    """
     nodes = adjacent.select(F.col("src").alias("node")).distinct()
     labels = None
     for wave, rate in enumerate(WAVES):
         chance = F.pmod(F.xxhash64("node", F.lit(f"{salt}/{wave}")), F.lit(1 << 20)) < int(rate * (1 << 20))
         fresh = nodes if labels is None else nodes.join(labels, "node", "left_anti")
-        seeds = fresh.where(chance).select("node", F.col("node").alias("label"))
+        seeds = fresh.where(chance).select("node", F.col("node").alias("label"), F.lit(-1).alias("wave"))
+        frontier = seeds if labels is None else labels.where(F.col("wave") == wave - 1).unionByName(seeds)
         labels = seeds if labels is None else labels.unionByName(seeds)
-        met = adjacent.join(labels, adjacent.dst == labels.node).groupBy("src").agg(F.min("label").alias("label"))
-        labels = labels.unionByName(met.select(F.col("src").alias("node"), "label").join(labels, "node", "left_anti"))
-        labels = cut(labels)
+        met = _met(adjacent, frontier)
+        labels = cut(labels.unionByName(met.select(F.col("src").alias("node"), F.col("near").alias("label"), F.lit(wave).alias("wave")).join(labels, "node", "left_anti")))
     # What no seed has reached takes the least of itself and its neighbours, so that every edge brings its ends nearer.
-    met = adjacent.join(labels, adjacent.dst == labels.node, "left").groupBy("src").agg(F.min("label").alias("near"), F.min(F.when(F.col("label").isNull(), F.col("dst"))).alias("least"))
-    left = met.select(F.col("src").alias("node"), F.coalesce("near", F.least("src", "least")).alias("label")).join(labels, "node", "left_anti")
-    return cut(labels.unionByName(left))
+    left = nodes.join(labels, "node", "left_anti")
+    near = _met(adjacent, labels.where(F.col("wave") == len(WAVES) - 1))
+    least = adjacent.join(left.withColumnRenamed("node", "dst"), "dst", "left_semi").groupBy("src").agg(F.min("dst").alias("least"))
+    rest = left.withColumnRenamed("node", "src").join(near, "src", "left").join(least, "src", "left").select(F.col("src").alias("node"), F.coalesce("near", F.least("src", "least")).alias("label"))
+    return cut(labels.select("node", "label").unionByName(rest))
+
+
+def _met(adjacent: DataFrame, frontier: DataFrame) -> DataFrame:
+    """(src, near): neighbours of the frontier's nodes (node, label), with the least label that reaches each."""
+    labels = frontier.select(F.col("node").alias("dst"), "label")
+    return adjacent.join(labels, "dst").groupBy("src").agg(F.min("label").alias("near"))
 
 
 def components(edges: DataFrame) -> DataFrame:
