@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -19,6 +19,10 @@ def with_canonical(df: DataFrame, text: str, out: str = "_canonical") -> DataFra
     return df.mapInArrow(canonical_column(text, out), schema)
 
 
+def _digest(text: str) -> Column:
+    return F.unhex(F.substring(F.sha2(F.col(text), 256), 1, 32))
+
+
 def same_looking_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """Pairs ``key_a`` < ``key_b`` whose non-empty texts look the same but aren't the same code points.
 
@@ -26,15 +30,18 @@ def same_looking_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     give none; repeated rows count once; an empty table gives no rows. Different forms are paired, and their keys only then, so
     that copies of one form never meet each other.
     """
-    rows = df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_raw")).where("_key is not null and _raw <> ''")
-    rows = with_canonical(rows, "_raw").where("_canonical <> ''")
-    # A key's raw forms are one row each; only forms that have another of the same look are paired, and then their keys.
-    forms = rows.select("_canonical", "_raw").distinct()
-    varied = forms.groupBy("_canonical").agg(F.count("*").alias("_n")).where("_n > 1").select("_canonical")
-    forms = cut(forms.join(varied, "_canonical", "left_semi").withColumn("_form", F.monotonically_increasing_id()))
-    members = rows.join(forms, ["_canonical", "_raw"]).select("_key", "_form").distinct()
-    one, two = (forms.select("_canonical", F.col("_form").alias(n)) for n in ("_one", "_two"))
-    apart = one.join(two, "_canonical").where("_one < _two").select("_one", "_two")
-    left, right = members.select(F.col("_key").alias("_a"), F.col("_form").alias("_one")), members.select(F.col("_key").alias("_b"), F.col("_form").alias("_two"))
-    pairs = apart.join(left, "_one").join(right, "_two").where("_a <> _b")
+    rows = df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")).where("_key is not null and _text <> ''")
+    rows = with_canonical(rows, "_text").where("_canonical <> ''")
+    # Texts are known by 128 bits of their digests from here on: what a key's text looks like, and its raw form.
+    rows = cut(rows.select("_key", _digest("_canonical").alias("_look"), _digest("_text").alias("_raw")).distinct())
+    # Only forms that have another of the same look are paired, and then their keys.
+    forms = rows.select("_look", "_raw").distinct()
+    varied = forms.groupBy("_look").agg(F.count("*").alias("_n")).where("_n > 1").select("_look")
+    forms = forms.join(varied, "_look", "left_semi")
+    members = rows.join(varied, "_look", "left_semi")
+    one, two = (forms.select("_look", F.col("_raw").alias(n)) for n in ("_one", "_two"))
+    apart = one.join(two, "_look").where("_one < _two")
+    left = members.select("_look", F.col("_key").alias("_a"), F.col("_raw").alias("_one"))
+    right = members.select("_look", F.col("_key").alias("_b"), F.col("_raw").alias("_two"))
+    pairs = apart.join(left, ["_look", "_one"]).join(right, ["_look", "_two"]).where("_a <> _b")
     return pairs.select(F.least("_a", "_b").alias(f"{key}_a"), F.greatest("_a", "_b").alias(f"{key}_b")).distinct()
