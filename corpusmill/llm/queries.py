@@ -93,7 +93,8 @@ def p5_checked(spark: SparkSession, root: str) -> DataFrame:
     shares = new.groupBy("split").agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy())  # one row a split
     off = table(spark, root, "split_quota").join(shares, "split", "left").select(F.abs(F.coalesce("n", F.lit(0)) / total - F.col("share")).alias("off"), total.alias("clips"))
-    return off.agg(F.max("clips").alias("clips"), (F.max("off") <= 0.01).alias("near_quota")).crossJoin(torn_by[0]).crossJoin(torn_by[1])  # one row each
+    found = off.agg(F.max("clips").alias("clips"), (F.max("off") <= 0.01).alias("near_quota"))
+    return found.withColumn("torn_days", torn_by[0].scalar()).withColumn("torn_dates", torn_by[1].scalar())
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
