@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: The number that each letter stands for.
 LETTER_VALUES = {"א": 1, "ב": 2, "ג": 3, "ד": 4, "ה": 5, "ו": 6, "ז": 7, "ח": 8, "ט": 9, "י": 10, "כ": 20, "ל": 30, "מ": 40, "נ": 50, "ס": 60, "ע": 70, "פ": 80, "צ": 90, "ק": 100, "ר": 200, "ש": 300, "ת": 400}
@@ -88,3 +90,14 @@ def split_of_digest(text: Column) -> Column:
     """test, dev or train by the digest of a key."""
     bucket = digest_bucket(text)
     return F.when(bucket == 0, "test").when(bucket == 1, "dev").otherwise("train")
+
+
+@F.pandas_udf(DoubleType())
+def rounded(x: pd.Series, places: pd.Series) -> pd.Series:
+    """Rounding of the exact binary value, halves to the even digit; the built-in rounds the shortest decimal form."""
+    return pd.Series([None if v != v or v is None else round(float(v), int(p)) for v, p in zip(x, places, strict=True)], dtype="float64")
+
+
+def stamp(time: Column) -> Column:
+    """A time as text, to the second."""
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss")

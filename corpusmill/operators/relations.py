@@ -37,12 +37,12 @@ def numbered(df: DataFrame, order: Sequence[str], out: str = "_nth") -> DataFram
     Rows are put in ranges of the order, each sorted by itself and numbered there, and materialised so; the ranges' sizes,
     one row a range, are summed up.
     """
-    ranges = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
-    part, inside = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
-    sizes = ranges.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    placed = ranges.withColumn("_part", part).join(F.broadcast(before), "_part")  # one row a partition
-    return placed.withColumn(out, F.col("_before") + inside).select(*df.columns, out)
+    ranges = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("id")))
+    part, inside = F.shiftright("id", 33), F.col("id").bitwiseAND((1 << 33) - 1)
+    sizes = ranges.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    placed = ranges.withColumn("part", part).join(F.broadcast(before), "part")  # one row a partition
+    return placed.select("row.*", (F.col("before") + inside).alias(out))
 
 
 def shard(df: DataFrame, order: Sequence[str], index: int, of: int, within: Sequence[str] = ()) -> DataFrame:

@@ -58,6 +58,12 @@ def _operations(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("id", "split", "year", "day", F.posexplode("ops").alias("place", "o")).select("id", "split", "year", "day", "place", "o.op", "o.ref", "o.hyp")
 
 
+def pair_operations(spark: SparkSession, root: str) -> DataFrame:
+    """Replaced, deleted and inserted words of each clip."""
+    count = lambda op: F.count_if(F.col("op") == op)
+    return _operations(spark, root).groupBy("id").agg(count("replace").alias("replaced"), count("delete").alias("deleted"), count("insert").alias("inserted"), F.count("ref").alias("n_ref"))
+
+
 def error_breakdown(spark: SparkSession, root: str) -> DataFrame:
     """Errors by split, spelling class and frequency class; insertions have no reference word and count by split alone."""
     train = clips(spark, root).where("split = 'train'").select(F.explode(text.words(text.scoring_text(F.col("text")))).alias("ref")).groupBy("ref").agg(F.count("*").alias("count"))
@@ -305,10 +311,18 @@ _FOREIGN = r"A-Za-z\x{250}-\x{2af}\x{370}-\x{3ff}\x{400}-\x{4ff}"
 _TRAINING = lambda x: _SQUEEZE(rf"""regexp_replace(translate(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace({_TAGS(x)}, '[^{_BLANKS}]*[{_FOREIGN}][^{_BLANKS}]*', ' ', 'g'), '[\[\]]', '', 'g'), '[\x{{200e}}\x{{200f}}\x{{202a}}-\x{{202e}}\x{{feff}}]', '', 'g'), chr(160), ' '), '[\x{{591}}-\x{{5c7}}]', '', 'g'), '״׳“”', '"''""'), '[{_BLANKS}]+([,.;:!?])', '\1', 'g')""")
 _COUNT = lambda x, p: f"len(regexp_extract_all({x}, '{p}'))"
 
+# Distance tables of clips, kept whole, and the way back through them: equal or replace, else delete, else insert, from the end.
+_OPERATIONS = f"""WITH RECURSIVE {_SCORED}, tb AS (SELECT id, split, rw, hw, list_reduce(list_concat([{{'r': [range(0, len(hw) + 1)], 'w': ''}}], [{{'r': CAST([] AS BIGINT[][]), 'w': w}} FOR w IN rw]),
+  lambda a, x: {{'r': list_append(a.r, [[list_min(t[1:j + 1]) + j FOR j IN range(0, len(t))] FOR t IN [[least(a.r[-1][j + 1] + 1, CASE WHEN j = 0 THEN a.r[-1][1] + 1 ELSE a.r[-1][j] + CASE WHEN hw[j] = x.w THEN 0 ELSE 1 END END) - j FOR j IN range(0, len(hw) + 1)]]][1]), 'w': x.w}}).r AS d FROM s),
+bk AS (SELECT id, len(rw) AS i, len(hw) AS j, CAST(NULL AS VARCHAR) AS op, CAST(NULL AS VARCHAR) AS ref, CAST(NULL AS VARCHAR) AS hyp FROM tb
+  UNION ALL SELECT id, i - (op <> 'insert')::INT, j - (op <> 'delete')::INT, op, CASE WHEN op <> 'insert' THEN rw[i] END, CASE WHEN op <> 'delete' THEN hw[j] END
+  FROM (SELECT bk.id, i, j, rw, hw, CASE WHEN i > 0 AND j > 0 AND d[i + 1][j + 1] = d[i][j] + (rw[i] <> hw[j])::INT THEN CASE WHEN rw[i] = hw[j] THEN 'equal' ELSE 'replace' END WHEN i > 0 AND d[i + 1][j + 1] = d[i][j + 1] + 1 THEN 'delete' ELSE 'insert' END AS op FROM bk JOIN tb ON tb.id = bk.id WHERE i > 0 OR j > 0)),
+ops AS (SELECT bk.id, split, op, ref, hyp FROM bk JOIN tb ON tb.id = bk.id WHERE op IS NOT NULL)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
-        corpus_wer, pair_wer, day_wer, whole_day_wer, worst_clips, running_wer, scored_without_empty, error_breakdown, substitution_pairs, vocabulary, vocabulary_top, vocabulary_size, vocabulary_coverage, oov_rate,
+        corpus_wer, pair_wer, day_wer, whole_day_wer, worst_clips, running_wer, scored_without_empty, pair_operations, error_breakdown, substitution_pairs, vocabulary, vocabulary_top, vocabulary_size, vocabulary_coverage, oov_rate,
         frequency_classes, spelling_classes, letter_frequency, penultimate_letters, letter_distance, quote_marks, header_words, word_counts, point_share, html_paragraphs, scoring_forms, training_forms, page_classes, repetitive_clips,
         running_headers, run_pivot, weighed_rate, best_step, run_ranking, best_days, weighed_rates, weighed_vectors, mean_vectors, common_value, yearly_report, full_outer_days, similar_words, run_stats,
     )
@@ -341,6 +355,11 @@ m AS (SELECT DISTINCT pdf_id, year, regexp_replace(x, '\d+', '#', 'g') AS line F
 t AS (SELECT year, count(*) AS total FROM pdf_day GROUP BY year)
 SELECT m.year, line, count(*) AS bodies FROM m JOIN t ON t.year = m.year GROUP BY m.year, line, total HAVING count(*) >= 3 AND count(*) * 4 >= total""",
     "whole_day_wer": _WHOLE_DAY,
+    "pair_operations": _OPERATIONS + " SELECT id, count(*) FILTER (op = 'replace') AS replaced, count(*) FILTER (op = 'delete') AS deleted, count(*) FILTER (op = 'insert') AS inserted, count(ref) AS n_ref FROM ops GROUP BY id",
+    "substitution_pairs": _OPERATIONS + " SELECT ref, hyp, count(*) AS n FROM ops WHERE op = 'replace' GROUP BY ref, hyp ORDER BY n DESC, ref, hyp LIMIT 40",
+    "error_breakdown": _OPERATIONS + f""", tv AS (SELECT word, count(*) AS seen FROM (SELECT unnest([x FOR x IN string_split({_SCORING}, ' ') IF x <> '']) AS word FROM c WHERE split = 'train') GROUP BY word),
+oc AS (SELECT op, ref, ref AS word, split, seen FROM ops LEFT JOIN tv ON tv.word = ref), dc AS (SELECT op, ref, 'split' AS dimension, split AS class FROM oc UNION ALL SELECT op, ref, 'spelling', {_SPELL} FROM oc WHERE ref IS NOT NULL UNION ALL SELECT op, ref, 'frequency', {_FREQ} FROM oc WHERE ref IS NOT NULL)
+SELECT dimension, class, count(ref) AS n_ref, count(*) FILTER (op <> 'equal') AS errors FROM dc GROUP BY ALL""",
     "best_days": f"WITH z AS ({_WHOLE_DAY}) SELECT year, day, edits, ref_words FROM z WHERE ref_words > 0 ORDER BY edits::DOUBLE / greatest(1, ref_words), year, day LIMIT 10",
     "run_ranking": f"WITH {_SCORED}, r AS (SELECT year, sum(edits) AS edits, sum(n_ref) AS n_ref, count(*) AS clips FROM s GROUP BY year), yr AS (SELECT d.year, coalesce(clips, 0) < 20 AS pilot, CASE WHEN n_ref > 0 THEN edits::DOUBLE / n_ref END AS wer FROM (SELECT DISTINCT year FROM day_record) d LEFT JOIN r ON r.year = d.year) SELECT year, pilot, row_number() OVER (ORDER BY pilot, coalesce(wer, 9), year) AS place FROM yr",
     "weighed_rates": f"WITH {_SCORED}, k AS (SELECT year, day, sum(edits) AS e, sum(levenshtein(translate(ref, 'אבגדהוזחטיךכלםמןנסעףפץצקרשת', 'abcdefghijklmnopqrstuvwyzAB'), translate(array_to_string(hw, ' '), 'אבגדהוזחטיךכלםמןנסעףפץצקרשת', 'abcdefghijklmnopqrstuvwyzAB'))) AS c, sum(n_ref) AS n, sum(length(ref)) AS m FROM s GROUP BY year, day), r AS (SELECT year, n, e::DOUBLE / greatest(1, n) AS wer, c::DOUBLE / greatest(1, m) AS cer FROM k) SELECT year, round(sum(wer * n) / greatest(1, sum(n)), 9) AS wer, round(sum(cer * n) / greatest(1, sum(n)), 9) AS cer FROM r GROUP BY year",

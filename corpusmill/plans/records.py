@@ -12,7 +12,9 @@ from corpusmill.operators.relations import earliest, hash_sample, latest, shard,
 from corpusmill.operators.segments import chunked, cluster, cut_score, interpolated, runs
 from corpusmill.plans.clips import _CLIPS, _DAYS, _SEGMENTS, _WORDS, clips, days, segments
 from corpusmill.plans.intervals import _ROWS
+from corpusmill.plans.measures import _BLANKS
 from corpusmill.session import table
+from corpusmill.sources.files import audio_names
 
 
 #: How closing dedications of the test bodies begin, and words of front matter: arguments of the operators.
@@ -133,6 +135,19 @@ def path_names(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "day_record").select("path", base.alias("base"), text.slug(F.regexp_replace(base, r"\.mp3$", "")).alias("slug")).distinct()
 
 
+def audio_files(spark: SparkSession, root: str) -> DataFrame:
+    """What the names of recordings say: year, number, month and day, and a status instead of a failure."""
+    return audio_names(table(spark, root, "day_record").select("path").distinct())
+
+
+def clip_records(spark: SparkSession, root: str) -> DataFrame:
+    """Clips of each recording that a day record's file has by base name: an equality join on a derived key."""
+    base = lambda c: F.element_at(F.split(F.try_url_decode(c), "/"), -1)
+    known = table(spark, root, "day_record").select(base("path").alias("base"), "year").distinct()
+    rows = clips(spark, root).where("source_mp3 is not null").select("id", "year", base("source_mp3").alias("base"))
+    return rows.join(known, ["base", "year"]).groupBy("base", "year").agg(F.count("*").alias("clips"))
+
+
 def first_words(spark: SparkSession, root: str) -> DataFrame:
     """Segments and clips of a day that begin with the same four words, the earliest of each side: a derived key, first wins."""
     # The words before the fourth blank of the scoring form: one expression, no array.
@@ -156,12 +171,13 @@ def shift_spread(spark: SparkSession, root: str) -> DataFrame:
 
 
 def speech_audit(spark: SparkSession, root: str) -> DataFrame:
-    """Recordings whose words a second or whose covered time look wrong, with all reasons."""
+    """Recordings whose words a second, covered time or words against their clips' look wrong, with all reasons."""
     words = segments(spark, root).groupBy("year", "day").agg(F.sum(text.word_count(F.col("yiddish"))).alias("words"), F.max("e").alias("last_ms"))
     spoken = islands(table(spark, root, "speech_window"), ["year", "day"]).groupBy("year", "day").agg(F.sum(F.col("period_end_ms") - F.col("period_start_ms")).alias("covered_ms"))
-    rows = words.join(spoken, ["year", "day"], "left").withColumn("covered_ms", F.coalesce("covered_ms", F.lit(0))).withColumn("secs", F.greatest(F.lit(1.0), F.coalesce("last_ms", F.lit(0)) / 1000.0))
+    said = clips(spark, root).groupBy("year", "day").agg(F.sum(text.word_count(F.col("text"))).alias("clip_words"))
+    rows = words.join(spoken, ["year", "day"], "left").join(said, ["year", "day"], "left").withColumn("covered_ms", F.coalesce("covered_ms", F.lit(0))).withColumn("secs", F.greatest(F.lit(1.0), F.coalesce("last_ms", F.lit(0)) / 1000.0))
     pace, cover = F.col("words") / F.col("secs"), F.col("covered_ms") / 1000.0 / F.col("secs")
-    reasons = F.array_compact(F.array(F.when(pace < 1.0, F.lit("slow")), F.when(pace > 3.5, F.lit("fast")), F.when((F.col("secs") > 120) & (cover < 0.9), F.lit("uncovered"))))
+    reasons = F.array_compact(F.array(F.when(pace < 1.0, F.lit("slow")), F.when(pace > 3.5, F.lit("fast")), F.when((F.col("secs") > 120) & (cover < 0.9), F.lit("uncovered")), F.when(F.abs(F.col("words") / F.greatest(F.lit(1), F.col("clip_words")) - 1) > 0.15, F.lit("unlike clips"))))
     return rows.select("year", "day", "words", "covered_ms", F.array_join(reasons, ",").alias("reasons")).where("reasons <> ''")
 
 
@@ -284,15 +300,18 @@ def aligned_words(spark: SparkSession, root: str) -> DataFrame:
 
 
 def cut_chunks(spark: SparkSession, root: str) -> DataFrame:
-    """Chunks of a day's words at the best ends within 28 s; a segment's words share its time evenly."""
+    """Chunks of a day's words at the best ends within 28 s; a segment is a paragraph whose words share its time evenly.
+
+    The times of every third segment count as sure, so that its end is an edge of sure times.
+    """
     rows = segments(spark, root).where("s is not null and e > s")
-    tokens = rows.select("year", "day", "seg_id", "s", "e", text.words(F.col("yiddish")).alias("w")).where("size(w) > 0")
-    tokens = tokens.select("year", "day", "seg_id", "s", ((F.col("e") - F.col("s")) / F.size("w")).alias("each"), F.size("w").alias("n"), F.posexplode("w").alias("nth", "surface"))
+    tokens = rows.select("year", "day", "seg_id", "seg_no", "s", "e", text.words(F.col("yiddish")).alias("w")).where("size(w) > 0")
+    tokens = tokens.select("year", "day", "seg_id", "seg_no", "s", ((F.col("e") - F.col("s")) / F.size("w")).alias("each"), F.size("w").alias("n"), F.posexplode("w").alias("nth", "surface"))
     order = Window.partitionBy("year", "day").orderBy("s", "seg_id", "nth")
     start, end = (F.col("s") + F.col("each") * F.col("nth")) / 1000, (F.col("s") + F.col("each") * (F.col("nth") + 1)) / 1000
-    tokens = tokens.select("year", "day", F.row_number().over(order).alias("place"), "surface", start.alias("start"), end.alias("end"), (F.col("nth") + 1 == F.col("n")).alias("last"))
+    tokens = tokens.select("year", "day", F.row_number().over(order).alias("place"), "surface", start.alias("start"), end.alias("end"), (F.col("nth") + 1 == F.col("n")).alias("last"), F.coalesce(F.col("seg_no") % 3 == 1, F.lit(False)).alias("sure"))
     pause = F.coalesce(F.lead("start").over(Window.partitionBy("year", "day").orderBy("place")) - F.col("end"), F.lit(0.0))
-    score = cut_score(F.lit(False), F.col("surface").rlike(r"[.!?]$"), F.col("surface").rlike("[,;:]$"), pause, F.col("last"))
+    score = cut_score(F.col("last"), F.col("surface").rlike(r"[.!?:]$"), F.col("surface").rlike("[,;]$"), pause, F.col("sure") & F.col("last"))
     return chunked(tokens.select("year", "day", "place", "surface", "start", "end", score.alias("score")), ["year", "day"])
 
 
@@ -300,7 +319,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         day_inventory, api_dates, delivery_dates, hebrew_calendar, latest_days, first_path, fetch_outcomes, shift_trust, day_coverage, scanned_audio, scans_by_number, scans_without_record, repeated_numbers, years_in_scans,
-        scan_words, scan_pages, scan_html, front_matter, path_names, first_words, measured_shift, shift_spread, speech_audit, silence_before, pause_clusters, vad_runs, event_frames, interpolated_times, third_shard, even_sample,
+        scan_words, scan_pages, scan_html, front_matter, path_names, audio_files, clip_records, first_words, measured_shift, shift_spread, speech_audit, silence_before, pause_clusters, vad_runs, event_frames, interpolated_times, third_shard, even_sample,
         sampled_days, updated_days, day_sets, sorted_audio, subtitles, event_keys, nation_revenue, part_suppliers, idle_customers, aligned_words, cut_chunks,
     )
 }
@@ -327,11 +346,14 @@ SQL = {
     "scan_words": "SELECT pdf_id, len(regexp_extract_all(body, '[א-ת]+')) AS counted, n_words::BIGINT AS stored FROM pdf_day",
     "scan_pages": "SELECT CAST(len(pages) AS BIGINT) AS pages, count(*) AS days FROM pdf_day GROUP BY 1",
     "path_names": r"WITH b AS (SELECT DISTINCT path, string_split(url_decode(path), '/')[-1] AS base FROM day_record) SELECT path, base, substr(regexp_replace(regexp_replace(regexp_replace(base, '\.mp3$', ''), '[^\p{L}\p{M}\p{Nd}\p{Pc}\p{Nl}\x{200c}\x{200d}]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 70) AS slug FROM b",
+    "audio_files": r"WITH p AS (SELECT DISTINCT path, string_split(url_decode(path), '/')[-1] AS basename, nullif(regexp_extract(path, '(5[0-9]{3})', 1), '')::INT AS year FROM day_record), n AS (SELECT *, nullif(regexp_extract(basename, '^([0-9]{3})\s+([0-9]{1,2})-([A-Za-z0-9_]+)', 1), '') AS num, nullif(regexp_extract(basename, '^([0-9]{3})\s+([0-9]{1,2})-([A-Za-z0-9_]+)', 2), '')::INT AS hebrew_day, nullif(regexp_extract(basename, '^([0-9]{3})\s+([0-9]{1,2})-([A-Za-z0-9_]+)', 3), '') AS month FROM p) SELECT *, CASE WHEN year IS NULL THEN 'no year' WHEN num IS NULL THEN 'unknown name' ELSE 'ok' END AS status FROM n",
+    "clip_records": f"WITH {_CLIPS}, k AS (SELECT DISTINCT string_split(url_decode(path), '/')[-1] AS base, year FROM day_record) SELECT base, k.year, count(*) AS clips FROM c JOIN k ON k.base = string_split(url_decode(source_mp3), '/')[-1] AND k.year = c.year GROUP BY ALL",
     "speech_audit": f"""{_ROWS}, l AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY year, day ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM r),
 i AS (SELECT year, day, max(e) - min(s) AS ms FROM l GROUP BY year, day, island), sp AS (SELECT year, day, sum(ms) AS covered FROM i GROUP BY year, day), {_SEGMENTS},
 wd AS (SELECT year, day, CAST(sum({_WORDS.replace("coalesce(text, '')", "coalesce(yiddish, '')")}) AS BIGINT) AS words, max(e) AS last_ms FROM g GROUP BY year, day),
-a AS (SELECT wd.year, wd.day, words, CAST(coalesce(covered, 0) AS BIGINT) AS covered_ms, greatest(1.0, coalesce(last_ms, 0) / 1000.0) AS secs FROM wd LEFT JOIN sp ON sp.year = wd.year AND sp.day = wd.day),
-q AS (SELECT year, day, words, covered_ms, concat_ws(',', CASE WHEN words / secs < 1.0 THEN 'slow' END, CASE WHEN words / secs > 3.5 THEN 'fast' END, CASE WHEN secs > 120 AND covered_ms / 1000.0 / secs < 0.9 THEN 'uncovered' END) AS reasons FROM a)
+cw AS (SELECT year, day, sum({_WORDS}) AS clip_words FROM (SELECT DISTINCT * FROM manifest) GROUP BY year, day),
+a AS (SELECT wd.year, wd.day, words, clip_words, CAST(coalesce(covered, 0) AS BIGINT) AS covered_ms, greatest(1.0, coalesce(last_ms, 0) / 1000.0) AS secs FROM wd LEFT JOIN sp ON sp.year = wd.year AND sp.day = wd.day LEFT JOIN cw ON cw.year = wd.year AND cw.day = wd.day),
+q AS (SELECT year, day, words, covered_ms, concat_ws(',', CASE WHEN words / secs < 1.0 THEN 'slow' END, CASE WHEN words / secs > 3.5 THEN 'fast' END, CASE WHEN secs > 120 AND covered_ms / 1000.0 / secs < 0.9 THEN 'uncovered' END, CASE WHEN abs(words / greatest(1, clip_words) - 1) > 0.15 THEN 'unlike clips' END) AS reasons FROM a)
 SELECT * FROM q WHERE reasons <> ''""",
     "interpolated_times": f"""WITH {_SEGMENTS}, o AS (SELECT seg_id, year, day, row_number() OVER (PARTITION BY year, day ORDER BY seg_no, seg_id) AS place, s, length(coalesce(yiddish, '')) + 1 AS weight FROM g),
 k AS (SELECT *, CASE WHEN place % 3 = 1 THEN s END AS known, sum(weight) OVER (PARTITION BY year, day ORDER BY place) AS upto FROM o),
@@ -365,6 +387,17 @@ SELECT pdf_id, len(x) > 0 AND (leaders >= greatest(3, len(x) * 0.3) OR (({" OR "
     "day_sets": "WITH a AS (SELECT DISTINCT year, day FROM manifest), b AS (SELECT DISTINCT year, day FROM speech_window) SELECT 'union' AS part, count(*) AS n FROM (FROM a UNION FROM b) UNION ALL SELECT 'both', count(*) FROM (FROM a INTERSECT FROM b) UNION ALL SELECT 'only_clips', count(*) FROM (FROM a EXCEPT FROM b) UNION ALL SELECT 'only_windows', count(*) FROM (FROM b EXCEPT FROM a)",
     "sorted_audio": "SELECT DISTINCT audio FROM manifest",
     "subtitles": f"WITH {_SEGMENTS}, t AS (SELECT seg_id, s, e FROM g WHERE s >= 0 AND e >= 0) SELECT seg_id, format('{{:02d}}:{{:02d}}:{{:02d}},{{:03d}} --> {{:02d}}:{{:02d}}:{{:02d}},{{:03d}}', s // 3600000, s // 60000 % 60, s // 1000 % 60, s % 1000, e // 3600000, e // 60000 % 60, e // 1000 % 60, e % 1000) AS cue FROM t",
+    "cut_chunks": f"""WITH RECURSIVE {_SEGMENTS}, w AS (SELECT year, day, seg_id, seg_no, s, e, [x FOR x IN regexp_split_to_array(yiddish, '[{_BLANKS}]+') IF x <> ''] AS w FROM g WHERE s IS NOT NULL AND e > s),
+x AS (SELECT *, (e - s)::DOUBLE / len(w) AS each, unnest(range(len(w))) AS nth FROM w),
+o AS (SELECT year, day, row_number() OVER (PARTITION BY year, day ORDER BY s, seg_id, nth) - 1 AS place, w[nth + 1] AS surface, (s + each * nth) / 1000 AS a, (s + each * (nth + 1)) / 1000 AS b, nth + 1 = len(w) AS last, coalesce(seg_no % 3 = 1, false) AS sure FROM x),
+p AS (SELECT *, coalesce(lead(a) OVER (PARTITION BY year, day ORDER BY place) - b, 0.0) AS pause, max(b) OVER (PARTITION BY year, day ORDER BY place) AS m, count(*) OVER (PARTITION BY year, day) AS n FROM o),
+k AS (SELECT *, CASE WHEN last THEN 3.0 ELSE 0.0 END + CASE WHEN regexp_matches(surface, '[.!?:]$') THEN 2.0 ELSE 0.0 END + CASE WHEN regexp_matches(surface, '[,;]$') THEN 1.0 ELSE 0.0 END + CASE WHEN pause >= 0.3 THEN 1.0 + least(pause, 1.5) ELSE 0.0 END + CASE WHEN sure AND last THEN 0.5 ELSE 0.0 END AS score FROM p),
+f AS (SELECT i.year, i.day, i.place, any_value(i.n) AS n, count(j.place) AS fits, arg_max(j.place, (j.score, j.place)) AS best FROM k i LEFT JOIN k j ON j.year = i.year AND j.day = i.day AND j.place >= i.place AND j.m <= i.a + 28.0 GROUP BY ALL),
+t AS (SELECT year, day, place, CASE WHEN place + fits >= n THEN n WHEN fits <= 1 THEN place + 1 ELSE best + 1 END AS stop FROM f),
+c AS (SELECT year, day, place, stop FROM t WHERE place = 0 UNION ALL SELECT t.year, t.day, t.place, t.stop FROM c JOIN t ON t.year = c.year AND t.day = c.day AND t.place = c.stop),
+r AS (SELECT c.year, c.day, c.place, any_value(stop - c.place) AS n_words, min(k.a) FILTER (k.place = c.place) AS a, max(k.m) AS m, string_agg(surface, ' ' ORDER BY k.place) AS text FROM c JOIN k ON k.year = c.year AND k.day = c.day AND k.place >= c.place AND k.place < c.stop GROUP BY c.year, c.day, c.place),
+q AS (SELECT *, greatest(coalesce(lag(m + 0.15) OVER (PARTITION BY year, day ORDER BY place), 0.0), a - 0.15, 0.0) AS start, m + 0.15 AS "end" FROM r)
+SELECT year, day, row_number() OVER (PARTITION BY year, day ORDER BY place) - 1 AS chunk, start, "end", CAST(n_words AS BIGINT) AS n_words, text FROM q WHERE "end" - start >= 1.0""",
     "event_keys": "SELECT event_id, coalesce(nullif(json_extract_string(props, '$.k')::INT, 0), -1) AS k FROM events",
     "nation_revenue": "SELECT r_name, n_name, year(o_orderdate) AS year, CAST(sum(round(l_extendedprice * 100)::BIGINT * (100 - round(l_discount * 100)::BIGINT)) AS BIGINT) AS revenue, count(*) AS items FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL",
     "part_suppliers": "SELECT p_brand, count(DISTINCT s_suppkey) AS suppliers, CAST(sum(trunc(l_quantity)::BIGINT) AS BIGINT) AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY p_brand",

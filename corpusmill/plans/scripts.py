@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import edits, numerals, text
 from corpusmill.operators import transcripts
 from corpusmill.operators.alignment import aligned, forward_matches, match_counts
-from corpusmill.operators.glyphs import majority
+from corpusmill.operators.glyphs import baseline_rows, decoded_tokens, majority, row_tokens, zero_width
 from corpusmill.operators.intervals import to_ms
 from corpusmill.operators.relations import shard
 from corpusmill.operators.tokens import reference_tokens, token_times
@@ -235,11 +235,42 @@ def found_segments(spark: SparkSession, root: str) -> DataFrame:
     return forward_matches(tokens, said, ["year", "day"])
 
 
+def _glyphs(spark: SparkSession, root: str) -> DataFrame:
+    """Bodies as placed glyphs, from right to left, a font for each year; quote marks have no width and take no place."""
+    lines = table(spark, root, "pdf_day").select("pdf_id", F.col("year").cast("string").alias("font"), F.posexplode(F.split("body", "\n")).alias("line_no", "line"))
+    chars = lines.select("pdf_id", "font", "line_no", "line", F.posexplode(F.split("line", "")).alias("i", "code")).where("code <> ''")
+    chars = chars.withColumn("before", F.length(F.translate(F.substring(F.col("line"), F.lit(1), F.col("i")), '"״', "")))
+    mark = F.col("code").isin('"', "״")
+    right = 10_000.0 - 5.0 * F.col("before") + F.when(mark, 0.5).otherwise(0.0)
+    left = F.when(mark, right).otherwise(right - 4.0)
+    return chars.select("pdf_id", "font", (F.col("line_no") * 10.0 + (F.col("i") % 3) * 0.4).alias("y"), left.alias("x0"), right.alias("x1"), "code")
+
+
+def glyph_tokens(spark: SparkSession, root: str) -> DataFrame:
+    """Tokens of bodies put together again from their glyphs, by row."""
+    rows = row_tokens(baseline_rows(_glyphs(spark, root), ["pdf_id"]), ["pdf_id"])
+    return rows.select("pdf_id", "row", "token", F.array_join("codes", "").alias("text"))
+
+
+def decoded_glyphs(spark: SparkSession, root: str) -> DataFrame:
+    """Words of bodies out of codes that stand for their letters, a map a font: codes without a letter stay."""
+    shift = {x: chr(0x2460 + i) for i, x in enumerate("אבגדהוזחטיךכלםמןנסעףפץצקרשת")}
+    coded = _glyphs(spark, root).withColumn("code", F.translate("code", "".join(shift), "".join(shift.values())))
+    font_map = coded.select("font", "code").distinct().where(F.col("code").between(chr(0x2460), chr(0x247A))).withColumn("letter", F.translate("code", "".join(shift.values()), "".join(shift)))
+    tokens = decoded_tokens(row_tokens(baseline_rows(coded, ["pdf_id"]), ["pdf_id"]), font_map)
+    return tokens.groupBy("text").agg(F.count("*").alias("n"))
+
+
+def mark_codes(spark: SparkSession, root: str) -> DataFrame:
+    """Codes of each font that are marks by their width."""
+    return zero_width(_glyphs(spark, root))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         token_flags, word_times, sure_texts, low_scored, merged_transcripts, kept_additions, after_intro, slice_segments, chosen_detectors, silences, line_phases, clean_lines, page_minutes, abbreviations,
-        upright_texts, letters_apart, letter_years, hidden_names, letter_votes, near_words, year_shards, provenance, size_matches, selected_days, anchored_clips, merged_anchor_rates, alignment_counts, found_segments,
+        upright_texts, letters_apart, letter_years, hidden_names, letter_votes, near_words, year_shards, provenance, size_matches, selected_days, anchored_clips, merged_anchor_rates, alignment_counts, found_segments, glyph_tokens, decoded_glyphs, mark_codes,
     )
 }
 _RAW = _SCORING.replace("coalesce(text, '')", "coalesce(text_raw, '')")
@@ -249,7 +280,12 @@ _NORM = _SCORING.replace("coalesce(text, '')", "surface")
 _VOC = f"WITH {_CLIPS}, w AS (SELECT unnest([x FOR x IN string_split({_SCORING}, ' ') IF x <> '']) AS word FROM c WHERE text IS NOT NULL), v AS (SELECT word, count(*) AS n FROM w GROUP BY word)"
 _HOLES = _VOC + """, a AS (SELECT word, unnest(range(1, length(word) + 1)) AS place FROM v WHERE n = 1), b AS (SELECT word AS fixed, unnest(range(1, length(word) + 1)) AS place FROM v WHERE n >= 20),
 m AS (SELECT a.word, a.place, b.fixed FROM (SELECT *, substr(word, 1, place - 1) || '*' || substr(word, place + 1) AS hole FROM a) a JOIN (SELECT *, substr(fixed, 1, place - 1) || '*' || substr(fixed, place + 1) AS hole FROM b) b ON a.hole = b.hole AND a.place = b.place AND a.word <> b.fixed)"""
+_ROWS_OF = """l AS (SELECT pdf_id, year, unnest(range(len(x))) AS i, x FROM (SELECT pdf_id, year, string_split(body, chr(10)) AS x FROM pdf_day)), r AS (SELECT pdf_id, year, x[i + 1] AS line, row_number() OVER (PARTITION BY pdf_id ORDER BY i) - 1 AS row FROM l WHERE length(x[i + 1]) > 0),
+w AS (SELECT pdf_id, year, row, [v FOR v IN string_split(line, ' ') IF v <> ''] AS ws FROM r), k AS (SELECT pdf_id, year, row, unnest(range(len(ws))) AS token, ws FROM w)"""
 SQL = {
+    "glyph_tokens": f"WITH {_ROWS_OF} SELECT pdf_id, row, CAST(token AS INT) AS token, ws[token + 1] AS text FROM k",
+    "decoded_glyphs": f"WITH {_ROWS_OF} SELECT ws[token + 1] AS text, count(*) AS n FROM k GROUP BY 1",
+    "mark_codes": """WITH c AS (SELECT year::VARCHAR AS font, unnest(string_split(replace(body, chr(10), ''), '')) AS code FROM pdf_day) SELECT DISTINCT font, code FROM c WHERE code IN ('"', '״')""",
     "token_flags": rf"""WITH {_SEGMENTS}, w AS (SELECT seg_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT seg_id, [x FOR x IN regexp_split_to_array(yiddish, '[{_BLANKS}]+') IF x <> ''] AS ws FROM g WHERE yiddish IS NOT NULL)),
 p AS (SELECT seg_id, i, unnest(range(1, len(ps) + 1)) AS k, ps FROM (SELECT seg_id, i, regexp_extract_all(ws[i], '[־–—-]*[^־–—-]+') AS ps FROM w)),
 q AS (SELECT seg_id, i, k, regexp_extract(ps[k], '([־–—-]?)[^־–—-]+$', 1) AS h, regexp_extract(ps[k], '[^־–—-]+$') AS surface FROM p),

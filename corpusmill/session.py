@@ -71,14 +71,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` written as a compressed table in the shared checkpoint folder and read back, for rows that are read often.
-
-    The table is removed when the session's Python ends.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression="zstd")
+def removed_at_end(spark: SparkSession, path: str) -> None:
+    """Has ``path`` removed when the session's Python ends."""
 
     def remove() -> None:
         try:
@@ -88,4 +82,15 @@ def kept(df: DataFrame) -> DataFrame:
             pass
 
     atexit.register(remove)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written as a compressed table in the shared checkpoint folder and read back, for rows that are read often.
+
+    The table is removed when the session's Python ends.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path, compression="zstd")
+    removed_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpusmill.functions.text import srt_time
+from corpusmill.functions.text import redacted, srt_time
 from corpusmill.sources import schemas
 
 
@@ -26,9 +26,9 @@ def json_lines(spark: SparkSession, paths: str | Sequence[str], schema: StructTy
     return rows if limit is None else rows.orderBy(order).limit(limit)
 
 
-def documents(spark: SparkSession, folder: str, schema: StructType = schemas.DAY_RECORD, leave_out: str | None = None) -> DataFrame:
+def documents(spark: SparkSession, folder: str, schema: StructType = schemas.DAY_RECORD, leave_out: str | None = None, names: str = "*.json") -> DataFrame:
     """One row a JSON file below ``folder``, with ``path``; unreadable files, and paths that match ``leave_out``, give none."""
-    rows = spark.read.schema(schema).options(multiLine="true", recursiveFileLookup="true", pathGlobFilter="*.json", mode="DROPMALFORMED", ignoreCorruptFiles="true").json(folder)
+    rows = spark.read.schema(schema).options(multiLine="true", recursiveFileLookup="true", pathGlobFilter=names, mode="DROPMALFORMED", ignoreCorruptFiles="true").json(folder)
     rows = rows.select("*", F.col("_metadata.file_path").alias("path"))
     return rows if leave_out is None else rows.where(~F.col("path").rlike(leave_out))
 
@@ -59,14 +59,18 @@ def split_lists(spark: SparkSession, path: str) -> DataFrame:
 
 
 def audio_inventory(spark: SparkSession, folder: str) -> DataFrame:
-    """Audio files below ``folder`` with what their names say: year, number, month and day, and a status instead of a failure."""
-    files = spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter="*.mp3").load(folder).select("path", "length")
+    """Audio files below ``folder`` with what their names say, see :func:`audio_names`; contents aren't read."""
+    return audio_names(spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter="*.mp3").load(folder).select("path", "length")).select("path", "basename", "year", "num", "hebrew_day", "month", "status", "length")
+
+
+def audio_names(rows: DataFrame) -> DataFrame:
+    """``rows`` (path, ...) with year, number, month and day out of the path, and a status instead of a failure."""
     base = F.element_at(F.split(F.try_url_decode("path"), "/"), -1)
     year = F.nullif(F.regexp_extract("path", r"(5\d{3})", 1), F.lit("")).cast("int")
     name = r"^(\d{3})\s+(\d{1,2})-(\w+)"
     number, day, month = (F.nullif(F.regexp_extract(base, name, i), F.lit("")) for i in (1, 2, 3))
     status = F.when(year.isNull(), "no year").when(number.isNull(), "unknown name").otherwise("ok")
-    return files.select("path", base.alias("basename"), year.alias("year"), number.alias("num"), day.cast("int").alias("hebrew_day"), month.alias("month"), status.alias("status"), "length")
+    return rows.select("*", base.alias("basename"), year.alias("year"), number.alias("num"), day.cast("int").alias("hebrew_day"), month.alias("month"), status.alias("status"))
 
 
 def zip_members(spark: SparkSession, paths: str) -> DataFrame:
@@ -140,6 +144,19 @@ def bundle(files: dict[str, bytes]) -> bytes:
     return out.getvalue()
 
 
+def published(files: DataFrame, allowed: Sequence[str], replacements: dict[str, str], private: Sequence[str] = ()) -> DataFrame:
+    """Files (path, text, ...) that an allowed pattern names, with literal replacements in their text and private columns left out.
+
+    What no pattern names isn't given out; a text that still holds what was to be replaced fails when it is read.
+    """
+    rows = files.where(F.col("path").rlike("|".join(f"(?:{p})" for p in allowed)) if allowed else F.lit(False)).drop(*private)
+    rows = rows.withColumn("text", redacted(F.col("text"), replacements))
+    for old, new in replacements.items():
+        if old not in new:
+            rows = rows.where(F.assert_true(~F.coalesce(F.contains("text", F.lit(old)), F.lit(False)), F.lit("a text is not redacted")).isNull())
+    return rows
+
+
 def between_markers(document: str, begin: str, end: str, block: str) -> str:
     """``document`` with the one stretch between two markers replaced; none or several of them is an error."""
     if document.count(begin) != 1 or document.count(end) != 1:

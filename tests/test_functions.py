@@ -86,3 +86,9 @@ def test_edits(spark):
     ops = edits.align_words("a b c d".split(), "a x c e".split())
     assert [o for o, _, _ in ops] == ["equal", "replace", "equal", "replace"]
     assert edits.align_words([], ["a"]) == [("insert", None, "a")]
+
+
+def test_rounding_of_the_binary_value(spark):
+    values = [2.675, 0.125, 0.375, 1.005, -2.5, 2.5]
+    assert list(one(spark, *[numerals.rounded(F.lit(v), F.lit(k)) for v, k in zip(values, [2, 2, 2, 2, 0, 0])])) == [round(v, k) for v, k in zip(values, [2, 2, 2, 2, 0, 0])]
+    assert one(spark, numerals.stamp(F.lit(datetime.datetime(2024, 1, 2, 3, 4, 5))))[0] == "2024-01-02T03:04:05"

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from corpusmill.operators import glyphs
-from corpusmill.operators.alignment import anchors, fuzzy
+from corpusmill.operators.alignment import anchors, best_pairing, forward_matches, fuzzy
 from corpusmill.operators.relations import both_ways, earliest, latest, shard, upsert
 from corpusmill.operators.segments import best_cut_chunks, bounded_merge, cluster, interpolated
 
@@ -84,3 +84,70 @@ def test_solver_finds_a_substitution():
     words = [tuple(codes[c] for c in w) for w in r.choices(list(known), k=800)]
     found = glyphs.solve(words, known)
     assert sum(found[v] == k for k, v in codes.items()) >= 9
+
+
+def test_patching_stays_one_to_one():
+    assert glyphs.patched({"1": "a", "2": "b"}, "1", "b") == {"1": "b", "2": "a"}
+    assert glyphs.patched({"2": "b"}, "1", "b") == {"1": "b"}
+    assert glyphs.patched({"1": "a"}, "1", "c") == {"1": "c"}
+
+
+def test_crib_pins_prefix_and_a_single_name():
+    spell = lambda w: tuple(dict(zip("abcdefgh", "12345678", strict=True))[x] for x in w)
+    assert glyphs.crib([[spell("ab"), spell("cad")]], ["ab"], ["cad", "ced"], {}) == {"1": "a", "2": "b", "3": "c", "4": "d"}
+    assert glyphs.crib([[spell("ab"), spell("cef")]], ["ab"], ["ced", "gfh"], {}) == {"1": "a", "2": "b"}
+    assert glyphs.crib([[spell("aa")]], ["ab"], [], {}) == {}
+
+
+def test_climbing_from_a_bad_start_and_fonts(spark):
+    r = random.Random(4)
+    letters = "אבגדהוזחטיכל"
+    known = {"".join(r.choice(letters) for _ in range(r.randrange(3, 8))): r.randrange(2, 50) for _ in range(400)}
+    codes = dict(zip(letters, r.sample("0123456789xy", 12), strict=True))
+    words = [tuple(codes[c] for c in w) for w in r.choices(list(known), k=700)]
+    start = dict(zip(codes.values(), r.sample(letters, 12), strict=True))
+    climb = glyphs.Climb(glyphs.Counter(words), known)
+    assert climb.height(climb.up(start, {}, letters)) >= climb.height(start)
+    found = glyphs.solve(words, known)
+    assert sum(found[v] == k for k, v in codes.items()) >= 11
+    tokens = spark.createDataFrame([("f", list(w)) for w in words] + [("small", ["1", "2"])], "font string, codes array<string>")
+    got = glyphs.solved_fonts(tokens, spark.createDataFrame(list(known.items()), "word string, n int")).collect()
+    assert {x.font for x in got} == {"f"} and all(x.known_share > 0.9 for x in got)
+
+
+def test_pairing_is_the_best_one():
+    r = random.Random(6)
+
+    def most(alike):
+        total = np.zeros((alike.shape[0] + 1, alike.shape[1] + 1))
+        for i in range(alike.shape[0]):
+            for j in range(alike.shape[1]):
+                total[i + 1, j + 1] = max(total[i, j + 1], total[i + 1, j], total[i, j] + alike[i, j] if alike[i, j] > 0 else 0)
+        return total[-1, -1]
+
+    for _ in range(100):
+        wide = r.randrange(1, 7)
+        alike = np.array([[r.choice([0, 0, 0.75, 0.8, 1.0]) for _ in range(wide)] for _ in range(r.randrange(1, 7))])
+        pairs = best_pairing(alike)
+        assert all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:]))
+        assert abs(sum(alike[i, j] for i, j in pairs) - most(alike)) < 1e-9 and all(alike[i, j] > 0 for i, j in pairs)
+
+
+def test_ties_leave_out_reference_words_from_the_end():
+    assert best_pairing(np.array([[1.0], [1.0]])) == [(0, 0)]
+    assert best_pairing(np.array([[1.0, 1.0]])) == [(0, 0)]
+
+
+def test_segments_are_sought_forward(spark):
+    tokens = spark.createDataFrame([(1, i, w) for i, w in enumerate("a b c a b d".split())], "k int, place int, norm string")
+    said = spark.createDataFrame([(1, 0, ["b"]), (1, 1, ["a", "b"]), (1, 2, ["c"]), (1, 3, []), (1, 4, ["d"])], "k int, place int, words array<string>")
+    assert sorted(tuple(r) for r in forward_matches(tokens, said, ["k"]).collect()) == [(1, 0, 1, 1), (1, 1, 3, 4), (1, 4, 5, 5)]
+    assert sorted(r.place for r in forward_matches(tokens, said, ["k"], 2).collect()) == [0, 1, 4]
+
+
+def test_one_entity_of_a_million_segments(spark):
+    rows = spark.range(1_000_000).select(F.lit("a").alias("k"), (F.col("id") * 100).alias("s"), (F.col("id") * 100 + 90).alias("e"))
+    got = bounded_merge(rows, ["k"], "s", "e", [], 1_000_000, None)
+    assert got.agg(F.count("*"), F.sum("n"), F.max("n")).first()[:] == (100, 1_000_000, 10_000)
+    gaps = rows.where("s % 100000 <> 0")
+    assert bounded_merge(gaps, ["k"], "s", "e", [], 10_000_000, 50).agg(F.count("*"), F.sum("n")).first()[:] == (1000, 999_000)

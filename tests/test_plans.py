@@ -6,10 +6,10 @@ import pytest
 
 import __spark_entry__ as entry
 from corpusmill.functions.edits import align_words
-from corpusmill.plans import clips, intervals, measures, records
+from corpusmill.plans import clips, files, intervals, measures, records, scripts
 
 ROOT = "/root/testdata/sf0.001"
-MODULES = (intervals, clips, measures, records)
+MODULES = (intervals, clips, measures, records, scripts, files)
 NAMES = [(m, n) for m in MODULES for n in m.QUERIES]
 pytestmark = pytest.mark.skipif(not os.path.exists(ROOT), reason="no test tables")
 

@@ -104,3 +104,47 @@ def test_streams(spark, tmp_path):
     query = running.writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert [tuple(r) for r in spark.table("rates").collect()] == [("a", 3, 12)]
+
+
+def test_retries_and_sizes():
+    seen, waits = [], []
+
+    def fetch(day):
+        seen.append(day)
+        if len(seen) < 3:
+            raise OSError("busy")
+        return {"date": day}
+
+    assert plugins.with_retries(fetch, 3, 2.0, waits.append)("x") == {"date": "x"} and waits == [2.0, 4.0]
+    with pytest.raises(OSError, match="busy"):
+        plugins.with_retries(lambda d: (_ for _ in ()).throw(OSError("busy")), 2, 0.0, waits.append)("x")
+    seconds = plugins.measured_size({"a": 500, "b": None}.get, 1000, 60.0)
+    assert seconds("a") == 30.0 and seconds("b") is None
+
+
+def test_plugins_for_clips_documents_and_arrays(spark, tmp_path):
+    clips = spark.createDataFrame([("a", np.zeros(4, np.float32).tobytes()), ("b", np.ones(4, np.float32).tobytes())], "id string, samples binary")
+    got = plugins.transcribed(clips, lambda xs: [(str(int(x.sum())), -0.5) for x in xs]).collect()
+    assert sorted((r.id, r.text, r.error) for r in got) == [("a", "0", None), ("b", "4", None)]
+    assert plugins.transcribed(clips, lambda xs: 1 / 0).where("error is not null").count() == 2
+    (tmp_path / "a.txt").write_text("hi")
+    (tmp_path / "b.doc").write_bytes(b"x")
+    files_ = spark.read.format("binaryFile").load(str(tmp_path))
+    texts = {r.path.rpartition("/")[2]: (r.text, r.error) for r in plugins.document_texts(files_, {"txt": bytes.decode}).collect()}
+    assert texts == {"a.txt": ("hi", None), "b.doc": (None, "no reader for doc")}
+    shards = tmp_path / "shards"
+    shards.mkdir()
+    np.savez(shards / "one.npz", w=np.array([[1.0, 2.0]]), v=np.array([4.0]))
+    np.savez(shards / "two.npz", w=np.array([[3.0, 6.0]]))
+    arrays = plugins.array_shards(spark.read.format("binaryFile").load(str(shards)))
+    assert {(r.name, tuple(r.shape)) for r in arrays.collect()} == {("w", (1, 2)), ("v", (1,))}
+    weights = arrays.select("path", F.when(F.col("path").endswith("one.npz"), 3.0).otherwise(1.0).alias("weight")).distinct()
+    assert sorted((r.name, r.place, r.value) for r in plugins.averaged(arrays, weights).collect()) == [("v", 0, 4.0), ("w", 0, 1.5), ("w", 1, 3.0)]
+    assert spark.range(1).select(plugins.padded_labels(F.array(F.lit(5), F.lit(6), F.lit(7)), F.lit(5), 2).alias("x")).first().x == [5, 6, -100, -100, -100]
+
+
+def test_publishing_by_allow_list(spark):
+    rows = spark.createDataFrame([("docs/a.md", "at /home/me", 1), ("secret/b.md", "x", 2)], "path string, text string, sample int")
+    got = files.published(rows, ["^docs/"], {"/home/me": "~"}, ["sample"])
+    assert [tuple(r) for r in got.collect()] == [("docs/a.md", "at ~")]
+    assert files.published(rows, [], {}).count() == 0
