@@ -86,14 +86,19 @@ def p5_assigned(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p5_checked(spark: SparkSession, root: str) -> DataFrame:
-    """Whether the new splits keep days and dates whole, and their shares are within a hundredth of the quota."""
+    """Whether the new splits keep days and dates whole, and their shares are near the quota.
+
+    Near is within a hundredth and the share of the largest day or date, which can't be parted.
+    """
     new = p5_assigned(spark, root)
     rows = table(spark, root, "manifest").select("id", *(v.alias(k) for k, v in _clip_links().items())).distinct().join(new, "id")
-    torn_by = [rows.where(F.col(k).isNotNull()).groupBy(k).agg(F.countDistinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias(f"torn_{k}s")) for k in ("day", "date")]
+    units = [rows.where(F.col(k).isNotNull()).groupBy(k).agg(F.countDistinct("split").alias("n"), F.count("*").alias("size")) for k in ("day", "date")]
+    torn_by = [u.agg(F.count_if(F.col("n") > 1)) for u in units]
+    largest = F.greatest(*(F.coalesce(u.agg(F.max("size")).scalar(), F.lit(0)) for u in units))
     shares = new.groupBy("split").agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy())  # one row a split
     off = table(spark, root, "split_quota").join(shares, "split", "left").select(F.abs(F.coalesce("n", F.lit(0)) / total - F.col("share")).alias("off"), total.alias("clips"))
-    found = off.agg(F.max("clips").alias("clips"), (F.max("off") <= 0.01).alias("near_quota"))
+    found = off.agg(F.max("clips").alias("clips"), F.max("off").alias("off")).withColumn("near_quota", F.col("off") <= 0.01 + largest / F.col("clips")).drop("off")
     return found.withColumn("torn_days", torn_by[0].scalar()).withColumn("torn_dates", torn_by[1].scalar())
 
 
