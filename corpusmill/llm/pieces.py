@@ -15,6 +15,7 @@ halo on either side:
 from __future__ import annotations
 
 import unicodedata
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -130,7 +131,8 @@ def _file_ranges(halo: int):
 
         for batch in batches:
             for item, path, nth, lo, hi in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                system, name = fs.FileSystem.from_uri(path if "://" in path or not path.startswith("file:") else "file://" + path[5:])
+                # Names come as they are, not as addresses with percent codes.
+                system, name = (fs.LocalFileSystem(), "/" + path[5:].lstrip("/")) if path.startswith("file:") else fs.FileSystem.from_uri(quote(path, safe=":/@"))
                 base = max(0, lo - halo)
                 with system.open_input_file(name) as file:
                     data = file.read_at(hi + halo - base, base)
