@@ -170,18 +170,19 @@ def _compared(edits: int):
             # Sums over classes stay in the type of their terms, which is what makes a pair cost a few nanoseconds.
             letters, by_class = letters.astype(np.uint16), np.ascontiguousarray(others[0][order].T.astype(np.uint16))
             sum_of, sums, pair_sum_of, pair_sums = letters.sum(1, dtype=np.uint16), by_class.sum(0, dtype=np.uint16), pairs.sum(1, dtype=np.int64), all_pairs.sum(1, dtype=np.int64)
-            # Beyond 20,000 edits the conditions on counts always hold.
-            most, mosts = (np.minimum(s * edits // 100, 20_000).astype(np.uint16) for s in (size, sizes))
+            most, mosts = size * edits // 100, sizes * edits // 100
+            # Beyond 20,000 edits the condition on letters always holds: their counts stop far below that.
+            some, somes = (np.minimum(m, 20_000).astype(np.uint16) for m in (most, mosts))
             begin = np.searchsorted(sizes, size - size * edits // 100)
             end = np.searchsorted(sizes, size * 100 // (100 - edits), side="right")
             placed, all_placed = Placed(texts), Placed(others_texts)
             for i in np.nonzero(begin < end)[0]:
                 span = slice(begin[i], end[i])
                 more = np.maximum(by_class[:, span], letters[i][:, None]).sum(0, dtype=np.uint16)
-                near = np.nonzero(more <= np.minimum(sums[span], sum_of[i]) + np.maximum(mosts[span], most[i]))[0] + begin[i]
+                near = np.nonzero(more <= np.minimum(sums[span], sum_of[i]) + np.maximum(somes[span], some[i]))[0] + begin[i]
                 if not len(near):
                     continue
-                allowed = np.maximum(mosts[near], most[i]).astype(np.int64)
+                allowed = np.maximum(mosts[near], most[i])
                 theirs = all_windows[near]
                 fits = np.bitwise_count(windows[i] & ~theirs).sum(1, dtype=np.int64) <= allowed * ROLL
                 fits &= np.bitwise_count(theirs & ~windows[i]).sum(1, dtype=np.int64) <= allowed * ROLL

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +131,16 @@ def test_evenly_spread_edits_are_found_at_every_size(spark, size, percent):
         rows.append((f"e{i}", "".join("ק" if k in places and c != " " else c for k, c in enumerate(text)), "dev"))
     got = found(spark, rows)
     assert all((f"e{i}", f"t{i}") in got for i in range(size))
+
+
+def test_long_texts_may_have_as_many_edits():
+    """Over 20,000 edits in a row, which move all that follows, leave a pair to be compared."""
+    r = random.Random(4)
+    text = "".join(r.choices("אבגדהוזחטיכלמנ ", k=150_000))
+    shorter = text[:40_000] + text[62_000:]
+    left = pa.table({"a": [1], "plain": [text]})
+    right = pa.table({"b": [2, 6], "plain": [shorter, text]})
+    got = overlap._compared(15)(left, right)
+    assert {2, 6} <= set(got.column("b").to_pylist())
+    placed = Placed([text, shorter])
+    assert lacking(placed[0], placed[1], 22_500) <= overlap.PLACED * 22_000
