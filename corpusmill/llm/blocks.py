@@ -14,10 +14,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.session import cut
+from corpusmill.session import cut, kept
 
 #: Characters of text in a block; a longer text is a block of its own.
 BLOCK_CHARS = 2_000_000
+#: Numbers of lists in a block of these; a longer list is a block of its own.
+BLOCK_NUMBERS = 500_000
 
 
 class _Words(dict):
@@ -28,7 +30,7 @@ class _Words(dict):
         return number
 
 
-def _blocks(cutter: Callable[[], Callable], kind: pa.DataType):
+def _blocks(cutter: Callable[[], Callable[[str], list[str] | None]]):
     """Rows (block, documents, counts, codes, words): codes are the numbers of each document's words in the block."""
 
     def run(batches):
@@ -41,22 +43,22 @@ def _blocks(cutter: Callable[[], Callable], kind: pa.DataType):
             codes = np.concatenate(runs)
             counts = np.array([len(r) for r in runs], np.int32)
             return pa.RecordBatch.from_arrays(
-                [pa.array([(part << 33) | number], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (np.array(keys, np.int64), counts, codes)), pa.array([list(words)], pa.list_(kind))],
+                [pa.array([(part << 33) | number], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (np.array(keys, np.int64), counts, codes)), pa.array([list(words)], pa.list_(pa.string()))],
                 names=["block", "documents", "counts", "codes", "words"],
             )
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = words_in(text if text is not None else "")
+                text = text or ""
+                found = words_in(text)
                 if found is None:
                     continue
-                size = len(text) if text is not None else 0
-                if runs and held + size > BLOCK_CHARS:
+                if runs and held + len(text) > BLOCK_CHARS:
                     yield block()
                     number, held, keys, runs, words = number + 1, 0, [], [], _Words()
                 keys.append(key)
                 runs.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
-                held += size
+                held += len(text)
         if runs:
             yield block()
 
@@ -66,13 +68,32 @@ def _blocks(cutter: Callable[[], Callable], kind: pa.DataType):
 def word_blocks(df: DataFrame, key: str, text: str, cutter: Callable[[], Callable[[str], list[str] | None]]) -> DataFrame:
     """The blocks of ``df``, materialised. ``cutter()`` makes a function from a text to its words, or None to leave it out."""
     rows = df.select(F.col(f"`{key}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text"))
-    return cut(rows.mapInArrow(_blocks(cutter, pa.string()), "block bigint, documents binary, counts binary, codes binary, words array<string>"))
+    return cut(rows.mapInArrow(_blocks(cutter), "block bigint, documents binary, counts binary, codes binary, words array<string>"))
+
+
+def _number_blocks(batches):
+    """Rows (block, documents, counts, codes, words) of lists of numbers; a block has lists of one batch."""
+    part, number = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        keys, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        ends, flat = ends - ends[0], lists.flatten().to_numpy(zero_copy_only=False)
+        at = 0
+        while at < len(keys):
+            upto = max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK_NUMBERS, side="right")) - 1)
+            numbers, codes = np.unique(flat[ends[at] : ends[upto]], return_inverse=True)
+            columns = [keys[at:upto].astype(np.int64), np.diff(ends[at : upto + 1]).astype(np.int32), codes.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([(part << 33) | number], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in columns), pa.array([numbers.astype(np.int32)], pa.list_(pa.int32()))],
+                names=["block", "documents", "counts", "codes", "words"],
+            )
+            number, at = number + 1, upto
 
 
 def id_blocks(df: DataFrame, key: str, ids: str) -> DataFrame:
     """The same blocks of lists of numbers; a block's ``words`` are its distinct numbers. Null lists are empty ones."""
     rows = df.select(F.col(f"`{key}`").cast("bigint").alias("doc"), F.coalesce(F.col(f"`{ids}`").cast("array<int>"), F.array().cast("array<int>")).alias("ids"))
-    return cut(rows.mapInArrow(_blocks(lambda: lambda x: x, pa.int32()), "block bigint, documents binary, counts binary, codes binary, words array<int>"))
+    return kept(rows.mapInArrow(_number_blocks, "block bigint, documents binary, counts binary, codes binary, words array<int>"))
 
 
 def words_in(blocks: DataFrame) -> DataFrame:
