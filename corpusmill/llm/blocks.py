@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.session import cut, kept
+from corpusmill.session import kept
 
 #: Characters of text in a block; a longer text is a block of its own.
 BLOCK_CHARS = 2_000_000
@@ -68,7 +68,7 @@ def _blocks(cutter: Callable[[], Callable[[str], list[str] | None]]):
 def word_blocks(df: DataFrame, key: str, text: str, cutter: Callable[[], Callable[[str], list[str] | None]]) -> DataFrame:
     """The blocks of ``df``, materialised. ``cutter()`` makes a function from a text to its words, or None to leave it out."""
     rows = df.select(F.col(f"`{key}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text"))
-    return cut(rows.mapInArrow(_blocks(cutter), "block bigint, documents binary, counts binary, codes binary, words array<string>"))
+    return kept(rows.mapInArrow(_blocks(cutter), "block bigint, documents binary, counts binary, codes binary, words array<string>"))
 
 
 def _number_blocks(batches):
