@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -53,7 +54,43 @@ def bounded_merge(df: DataFrame, keys: Sequence[str], start: str, end: str, tie:
     ``max_gap`` or more always begins a chunk, so rows are first cut into stretches at such gaps, and the stretches of an
     entity are folded in different tasks. Without ``max_gap`` each cut depends on the one before, and an entity is one stream.
     """
-    rows = df.where(F.col(end) > F.col(start)).select(*keys, *dict.fromkeys([start, end, *tie]))
+    rows = _stretches(df.where(F.col(end) > F.col(start)).select(*keys, *dict.fromkeys([start, end, *tie])), keys, start, end, tie, max_gap)
+    rows = rows.select(*keys, F.col(start).cast("bigint").alias("_s"), F.col(end).cast("bigint").alias("_e"), "_stretch")
+    schema = StructType([*df.select(*keys).schema.fields, *(StructField(c, LongType()) for c in ("chunk_start", "chunk_end", "n"))])
+    return rows.mapInArrow(_folded(len(keys), max_span, max_gap), schema).where(F.col("chunk_end") - F.col("chunk_start") >= min_length)
+
+
+def chunk_labels(df: DataFrame, keys: Sequence[str], start: str, end: str, tie: Sequence[str], max_span: int, max_gap: int | None, out: str = "chunk") -> DataFrame:
+    """Rows of positive length with ``out``, a number that the rows of one chunk of :func:`bounded_merge` share.
+
+    Numbers differ between all chunks of a run but aren't the same in every run; group by them, or materialise them.
+    """
+    rows = _stretches(df.where(F.col(end) > F.col(start)), keys, start, end, tie, max_gap)
+    schema = StructType([*rows.schema.fields, StructField(out, LongType())])
+    return rows.mapInArrow(_labelled(list(keys), start, end, max_span, max_gap, out), schema).drop("_stretch")
+
+
+def _labelled(keys: list[str], start: str, end: str, max_span: int, max_gap: int | None, out: str):
+    """Adds chunk numbers to sorted rows; the state is one open chunk."""
+
+    def run(batches):
+        group, begin, upto, number = None, 0, 0, TaskContext.get().partitionId() << 33
+        for batch in batches:
+            values = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (*keys, "_stretch", start, end)]
+            labels = []
+            for *name, s, e in zip(*values, strict=True):
+                if name != group or e - begin > max_span or (max_gap is not None and s - upto >= max_gap):
+                    group, begin, number = name, s, number + 1
+                upto = e
+                labels.append(number)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.int64())], names=[*batch.schema.names, out])
+
+    return run
+
+
+def _stretches(rows: DataFrame, keys: Sequence[str], start: str, end: str, tie: Sequence[str], max_gap: int | None) -> DataFrame:
+    """``rows`` with ``_stretch``, parted by stretch and sorted inside: a gap of ``max_gap`` or more begins a stretch."""
+    columns = rows.columns
     if max_gap is None:
         rows = rows.withColumn("_stretch", F.lit(0).cast("bigint"))
     else:
@@ -69,10 +106,7 @@ def bounded_merge(df: DataFrame, keys: Sequence[str], start: str, end: str, tie:
         begun = seen.groupBy(*keys, "_slice").agg(F.max("_begin").alias("_last")).withColumn("_open", F.max("_last").over(over_slices)).drop("_last")
         local = F.max("_begin").over(inside.rowsBetween(Window.unboundedPreceding, 0))
         rows = _by_slice(seen.withColumn("_local", local), begun, keys).withColumn("_stretch", F.coalesce("_local", "_open").cast("bigint"))
-    rows = rows.repartition(*keys, "_stretch").sortWithinPartitions(*keys, "_stretch", start, end, *tie)
-    rows = rows.select(*keys, F.col(start).cast("bigint").alias("_s"), F.col(end).cast("bigint").alias("_e"), "_stretch")
-    schema = StructType([*df.select(*keys).schema.fields, *(StructField(c, LongType()) for c in ("chunk_start", "chunk_end", "n"))])
-    return rows.mapInArrow(_folded(len(keys), max_span, max_gap), schema).where(F.col("chunk_end") - F.col("chunk_start") >= min_length)
+    return rows.select(*columns, "_stretch").repartition(*keys, "_stretch").sortWithinPartitions(*keys, "_stretch", start, end, *tie)
 
 
 def _by_slice(rows: DataFrame, slices: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text
+from corpusmill.operators.intervals import to_ms
+from corpusmill.operators.segments import chunk_labels
 
 #: Least mean log probability and greatest silence probability of a sure segment; the same and words a second of an added one.
 SURE_LOGPROB, MOST_SILENCE = -0.6, 0.5
@@ -31,16 +33,12 @@ def kept_windows(windows: DataFrame) -> DataFrame:
 
 def merged_texts(segments: DataFrame, keys: Sequence[str], max_span: float = 28.0, max_gap: float = 1.5) -> DataFrame:
     """Sure segments (start, end, text, avg_logprob) merged: texts joined, the least score kept, n counted."""
-    from corpusmill.operators.intervals import to_ms
-    from corpusmill.operators.segments import bounded_merge
-
     rows = sure_segments(segments).withColumn("s", to_ms(F.col("start"))).withColumn("e", to_ms(F.col("end")))
-    chunks = bounded_merge(rows, keys, "s", "e", ["text"], round(max_span * 1000), round(max_gap * 1000))
-    same = [F.col(f"r.`{k}`").eqNullSafe(F.col(f"c.`{k}`")) for k in keys]
-    inside = [F.col("r.s") >= F.col("c.chunk_start"), F.col("r.e") <= F.col("c.chunk_end")]
-    joined = rows.alias("r").join(chunks.alias("c"), [*same, *inside]).where("r.e > r.s")
-    parts = F.sort_array(F.collect_list(F.struct("r.s", "r.e", "r.text")))
-    return joined.groupBy(*(F.col(f"c.`{k}`") for k in keys), "chunk_start", "chunk_end").agg(F.array_join(F.transform(parts, lambda p: F.trim(p.text)), " ").alias("text"), F.min("avg_logprob").alias("min_logprob"), F.count("*").alias("n"))
+    rows = chunk_labels(rows, keys, "s", "e", ["text"], round(max_span * 1000), round(max_gap * 1000), "_chunk")
+    parts = F.sort_array(F.collect_list(F.struct("s", "e", "text")))  # a chunk's span is bounded
+    texts = F.array_join(F.transform(parts, lambda p: F.trim(p.text)), " ")
+    merged = rows.groupBy(*keys, "_chunk").agg(F.min("s").alias("chunk_start"), F.max_by("e", F.struct("s", "e", "text")).alias("chunk_end"), texts.alias("text"), F.min("avg_logprob").alias("min_logprob"), F.count("*").alias("n"))
+    return merged.drop("_chunk")
 
 
 def after_head(segments: DataFrame, offset: Column, intro_end: Column, default: float = 7.0) -> DataFrame:

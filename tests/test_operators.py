@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from corpusmill.operators import glyphs
 from corpusmill.operators.alignment import anchors, best_pairing, forward_matches, fuzzy
 from corpusmill.operators.relations import both_ways, earliest, latest, shard, upsert
-from corpusmill.operators.segments import best_cut_chunks, bounded_merge, cluster, interpolated
+from corpusmill.operators.segments import best_cut_chunks, bounded_merge, chunk_labels, cluster, interpolated
 
 
 def merged(rows, max_span, max_gap):
@@ -151,3 +151,13 @@ def test_one_entity_of_a_million_segments(spark):
     assert got.agg(F.count("*"), F.sum("n"), F.max("n")).first()[:] == (100, 1_000_000, 10_000)
     gaps = rows.where("s % 100000 <> 0")
     assert bounded_merge(gaps, ["k"], "s", "e", [], 10_000_000, 50).agg(F.count("*"), F.sum("n")).first()[:] == (1000, 999_000)
+
+
+def test_labels_part_rows_as_chunks_do(spark):
+    r = random.Random(8)
+    rows = [(k, s := r.randrange(60_000), s + r.randrange(-500, 9_000), i) for k in "ab" for i in range(80)]
+    df = spark.createDataFrame(rows, "k string, s bigint, e bigint, i int")
+    for gap in (2_000, None):
+        got = chunk_labels(df, ["k"], "s", "e", ["i"], 28_000, gap).groupBy("k", "chunk").agg(F.min("s"), F.max_by("e", F.struct("s", "e", "i")), F.count("*")).drop("chunk").collect()
+        want = bounded_merge(df, ["k"], "s", "e", ["i"], 28_000, gap).collect()
+        assert sorted(tuple(x) for x in got) == sorted(tuple(x) for x in want)
