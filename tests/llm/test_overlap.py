@@ -144,3 +144,57 @@ def test_long_texts_may_have_as_many_edits():
     assert {2, 6} <= set(got.column("b").to_pylist())
     placed = Placed([text, shorter])
     assert lacking(placed[0], placed[1], 22_500) <= overlap.PLACED * 22_000
+
+
+def test_index_meets_every_close_pair(monkeypatch):
+    """Texts of every length with as many edits as allowed, at any places, in a row or spread, among texts that share words."""
+    r = random.Random(11)
+    vocabulary = ["".join(r.choice("אבגדהוזחטיכלמנ") for _ in range(r.randrange(1, 9))) for _ in range(400)]
+    texts, others = [], []
+    for k in range(240):
+        text = " ".join(r.choices(vocabulary, k=r.randrange(3, 45)))
+        most, kind, out = len(text) * 15 // 100, k % 4, list(text)
+        for e in range(most):
+            at = r.randrange(len(out)) if kind == 0 else min(e + len(out) // 3, len(out) - 1) if kind == 1 else int((e + 0.5) * len(out) / most)
+            out[at : at + 1] = [[], ["ק"], [out[at], "ר"]][kind - 1 if kind > 1 else r.randrange(3)]
+        texts.append(text)
+        others.append("".join(out))
+    met, looked = {}, []
+    meetings = overlap._meetings
+    monkeypatch.setattr(overlap, "_meetings", lambda *given: looked.append(len(given[2])) or meetings(*given))
+    monkeypatch.setattr(overlap, "INDEX_CHARS", 3000)
+    monkeypatch.setattr(overlap, "PAIRS", 50)
+    for one, two in ((texts, others), (others, texts)):
+        for indexed in (0, 10**9):
+            monkeypatch.setattr(overlap, "INDEXED", indexed)
+            got = overlap._compared(15)(pa.table({"a": range(240), "plain": one}), pa.table({"b": range(240), "plain": two}))
+            met[indexed] = set(zip(got.column("a").to_pylist(), got.column("b").to_pylist(), strict=True))
+            assert len(met[indexed]) == got.num_rows
+        close = {(i, j) for i, j in met[10**9] if distance(one[i], two[j]) * 100 <= 15 * max(len(one[i]), len(two[j]))}
+        assert close <= met[0] <= met[10**9] and len(close) >= 220
+    assert sum(looked) > 240
+
+
+def test_index_meets_few_pairs():
+    """A block's time must not be that of all pairs: of 9 million, under one in a hundred are looked at."""
+    r = random.Random(12)
+    vocabulary = ["".join(r.choice("אבגדהוזחטיכלמנ") for _ in range(r.randrange(2, 9))) for _ in range(3000)]
+    texts = sorted((" ".join(r.choices(vocabulary, k=16)) for _ in range(6000)), key=len)
+    one, two = sorted(texts[::2], key=len), texts[1::2]
+    n, others = (np.array([len(t) for t in x]) for x in (one, two))
+    met = sum(len(i) for i, _ in overlap._meetings(overlap._Grams(one), np.cumsum(n) - n, n, two, others, 15))
+    assert met < 0.01 * 3000 * 3000
+
+
+def test_packed_pieces_keep_every_record(monkeypatch):
+    monkeypatch.setattr(overlap, "ROW_CHARS", 300)
+    monkeypatch.setattr(overlap, "HELD_CHARS", 2000)
+    r = random.Random(13)
+    rows = [(r.randrange(3), r.randrange(4), k, "א" * r.randrange(200)) for k in range(500)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[at : at + 100], strict=True)], names=["band", "piece", "rec", "plain"]) for at in range(0, 500, 100)]
+    got = []
+    for batch in overlap._packed(batches):
+        for band, piece, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            table = pa.ipc.open_stream(texts).read_all()
+            got += [(band, piece, *x) for x in zip(table.column("rec").to_pylist(), table.column("plain").to_pylist(), strict=True)]
+    assert sorted(got) == sorted(rows)
