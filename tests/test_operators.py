@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from corpusmill.operators import glyphs
+from corpusmill.operators import alignment, glyphs
 from corpusmill.operators.alignment import anchors, best_pairing, forward_matches, fuzzy
 from corpusmill.operators.relations import both_ways, earliest, latest, shard, upsert
 from corpusmill.operators.segments import best_cut_chunks, bounded_merge, chunk_labels, cluster, interpolated
@@ -161,3 +161,15 @@ def test_labels_part_rows_as_chunks_do(spark):
         got = chunk_labels(df, ["k"], "s", "e", ["i"], 28_000, gap).groupBy("k", "chunk").agg(F.min("s"), F.max_by("e", F.struct("s", "e", "i")), F.count("*")).drop("chunk").collect()
         want = bounded_merge(df, ["k"], "s", "e", ["i"], 28_000, gap).collect()
         assert sorted(tuple(x) for x in got) == sorted(tuple(x) for x in want)
+
+
+def test_gaps_of_any_size_are_matched(monkeypatch):
+    r = random.Random(3)
+    ref = ["".join(r.choice("אבגדהוזחטיכל") for _ in range(r.randrange(5, 9))) for _ in range(300)]
+    hyp = [w[:-1] + "ש" for w in ref]
+    assert [(i, j) for i, j, _ in fuzzy(ref, hyp)] == [(i, i) for i in range(300)]
+    few = [r.choice(ref[:9]) for _ in range(70)]
+    other = [w[:-1] + "ש" for w in few if r.random() < 0.8]
+    whole = fuzzy(few, other)
+    monkeypatch.setattr(alignment, "HELD", 50)
+    assert fuzzy(few, other) == whole and fuzzy(ref, hyp) == [(i, i, 2 * (len(w) - 1) / (2 * len(w))) for i, w in enumerate(ref)]
