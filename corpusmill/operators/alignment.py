@@ -13,7 +13,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
+#: Similarity from which two words are alike.
+LEAST = 0.75
 #: Totals of a pairing held at a time; of a larger gap a row here and there is held, and the rows between are made again.
 HELD = 1 << 20
 #: Parts that the rows of a larger gap are cut into, and each part again where it has to be.
@@ -149,7 +152,7 @@ def _way_back(alike: np.ndarray | Alike, low: int, high: int, above: np.ndarray,
     return j
 
 
-def fuzzy(ref: list[str], hyp: list[str], least: float = 0.75, likeness: Likeness | None = None) -> list[tuple[int, int, float]]:
+def fuzzy(ref: list[str], hyp: list[str], least: float = LEAST, likeness: Likeness | None = None) -> list[tuple[int, int, float]]:
     """Anchors, and between them the pairing in order of the greatest total similarity, of words at least ``least`` alike."""
     likeness = Likeness(least) if likeness is None else likeness
     found = anchors(ref, hyp)
@@ -162,7 +165,7 @@ def fuzzy(ref: list[str], hyp: list[str], least: float = 0.75, likeness: Likenes
     return sorted(found)
 
 
-def aligned(ref: DataFrame, hyp: DataFrame, keys: Sequence[str], exact: bool = False, least: float = 0.75) -> DataFrame:
+def aligned(ref: DataFrame, hyp: DataFrame, keys: Sequence[str], exact: bool = False, least: float = LEAST) -> DataFrame:
     """``keys``, ref_place, hyp_place, score: tokens (place, norm) of both sides, matched within each entity."""
     schema = ref.select(*keys).schema.simpleString()[7:-1].replace(":", " ") + ", ref_place bigint, hyp_place bigint, score double"
 
@@ -176,11 +179,32 @@ def aligned(ref: DataFrame, hyp: DataFrame, keys: Sequence[str], exact: bool = F
     return ref.groupBy(*keys).cogroup(hyp.groupBy(*keys)).applyInPandas(match, schema)
 
 
-def match_counts(ref: DataFrame, hyp: DataFrame, pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``keys``, n_ref, n_hyp, matched, unmatched: how much of each entity's reference found a word."""
-    counts = [df.groupBy(*keys).agg(F.count("*").alias(n)) for df, n in ((ref, "n_ref"), (hyp, "n_hyp"), (pairs, "matched"))]
-    out = counts[0].join(counts[1], list(keys), "left").join(counts[2], list(keys), "left").na.fill(0, ["n_hyp", "matched"])
-    return out.withColumn("unmatched", F.col("n_ref") - F.col("matched"))
+@F.pandas_udf(LongType())
+def matched(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    """How many words of ``ref`` are matched, exactly or nearly, with words of ``hyp``; null where ``ref`` is."""
+    likeness, out = Likeness(LEAST), []
+    for one, two in zip(ref, hyp, strict=True):
+        out.append(None if one is None else len(fuzzy(list(one), list(two), likeness=likeness)))
+        if len(likeness) > KNOWN:
+            likeness.clear()
+    return pd.Series(out, dtype="Int64")
+
+
+def match_counts(texts: DataFrame, keys: Sequence[str], ref: str, hyp: str) -> DataFrame:
+    """``keys``, n_ref, n_hyp, matched, unmatched: how much of each entity's reference found a word.
+
+    ``ref`` and ``hyp`` are arrays of words. Where an entity has several rows its words are taken by place, those of equal
+    place in the order of the alphabet. One without reference words gives no row. Equal sides aren't compared further.
+    """
+    sides = F.collect_list(F.struct(F.coalesce(ref, F.array().cast("array<string>")).alias("ref"), F.coalesce(hyp, F.array().cast("array<string>")).alias("hyp")))
+    placed = lambda side: F.flatten(F.transform("_sides", lambda s: F.transform(s[side], lambda w, i: F.struct(i, w.alias("w")))))
+    words = lambda side: F.when(F.size("_sides") == 1, F.col("_sides")[0][side]).otherwise(F.transform(F.sort_array(placed(side)), lambda x: x.w))
+    rows = texts.groupBy(*keys).agg(sides.alias("_sides")).select(*keys, words("ref").alias("_ref"), words("hyp").alias("_hyp")).where(F.size("_ref") > 0)
+    n_ref, n_hyp = (F.size(c).cast("bigint") for c in ("_ref", "_hyp"))
+    apart = (F.col("_ref") != F.col("_hyp")) & (n_hyp > 0)
+    rows = rows.select(*keys, n_ref.alias("n_ref"), n_hyp.alias("n_hyp"), F.when(F.col("_ref") == F.col("_hyp"), n_ref).when(n_hyp == 0, 0).alias("_sure"), *(F.when(apart, F.col(c)).alias(c) for c in ("_ref", "_hyp")))
+    rows = rows.withColumn("matched", F.coalesce("_sure", matched("_ref", "_hyp")))
+    return rows.select(*keys, "n_ref", "n_hyp", "matched", (F.col("n_ref") - F.col("matched")).alias("unmatched"))
 
 
 def forward_matches(tokens: DataFrame, segments: DataFrame, keys: Sequence[str], reach: int = REACH) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import edits, numerals, text
 from corpusmill.operators import transcripts
-from corpusmill.operators.alignment import aligned, forward_matches, match_counts
+from corpusmill.operators.alignment import forward_matches, match_counts
 from corpusmill.operators.glyphs import baseline_rows, decoded_tokens, majority, row_tokens, zero_width
 from corpusmill.operators.intervals import to_ms
 from corpusmill.operators.relations import shard
@@ -223,8 +223,8 @@ def merged_anchor_rates(spark: SparkSession, root: str) -> DataFrame:
 def alignment_counts(spark: SparkSession, root: str) -> DataFrame:
     """Reference and raw words of each clip, and how many were matched exactly or nearly."""
     rows = clips(spark, root).where("text is not null and text_raw is not null")
-    ref, hyp = (rows.select("id", F.posexplode(text.words(text.scoring_text(F.col(c)))).alias("place", "norm")) for c in ("text", "text_raw"))
-    return match_counts(ref, hyp, aligned(ref, hyp, ["id"]), ["id"])
+    rows = rows.select("id", *(text.words(text.scoring_text(F.col(c))).alias(n) for n, c in (("ref", "text"), ("hyp", "text_raw"))))
+    return match_counts(rows, ["id"], "ref", "hyp")
 
 
 def found_segments(spark: SparkSession, root: str) -> DataFrame:

@@ -69,3 +69,11 @@ def test_plans(spark):
     assert "CartesianProduct" not in plan("measured_shift") and "BroadcastNestedLoopJoin" not in plan("p3_found")
     assert "PushedFilters: [IsNotNull(start), IsNotNull(vad_mode)]" in plan("vad_runs")
     assert "ReadSchema: struct<year:int,day:string,split:string>" in plan("split_by_list")
+
+
+def test_clips_are_counted_without_a_group_of_tokens_each(spark, tmp_path):
+    rows = [("1/d/1", "אב גד הו", "אב גד הו"), ("1/d/2", "אבגדה הו", "אבגדז הו זח"), ("1/d/3", "אב", ""), ("1/d/4", "", "אב"), ("1/d/5", None, "אב"), ("1/d/6", "אב גד", "אב הו"), ("1/d/6", "הו", "זח")]
+    spark.createDataFrame([rows[0], *rows], "id string, text string, text_raw string").write.parquet(f"{tmp_path}/manifest.parquet")
+    df = scripts.alignment_counts(spark, str(tmp_path))
+    assert sorted(tuple(r[c] for c in ("id", "n_ref", "n_hyp", "matched", "unmatched")) for r in df.collect()) == [("1/d/1", 3, 3, 3, 0), ("1/d/2", 2, 3, 2, 0), ("1/d/3", 1, 0, 0, 1), ("1/d/6", 3, 3, 2, 1)]
+    assert "CoGroups" not in df._jdf.queryExecution().optimizedPlan().toString()
