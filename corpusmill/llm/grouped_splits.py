@@ -3,11 +3,13 @@
 Records are linked by what they share; linked records are one component. Components are found by breadth-first search
 from many seeds at once: nodes become seeds in waves of growing rate, labels spread along hash-partitioned adjacency
 lists, and where two labels meet an edge of a smaller graph of labels is left. That graph is solved in the same way,
-until none is left.
+until one is left that one task can hold, which joins its edges one after another.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from corpusmill.session import cut
 
 #: Share of the nodes not yet reached that become seeds in each wave; in a last wave all that are left are labelled.
 WAVES = (1 / 16, 1 / 4)
+#: Edges, and characters of their ends, up to which a graph is solved by one task.
+EDGES_OF_A_TASK, CHARACTERS_OF_A_TASK = 2_000_000, 128_000_000
 #: Ranges of hash order whose sizes are summed up first.
 RANGES = 1024
 #: A component of at least this share of all records is placed by itself; there are at most ``1 / LARGE`` of them.
@@ -51,26 +55,60 @@ def _met(adjacent: DataFrame, frontier: DataFrame) -> DataFrame:
     return adjacent.join(labels, "dst").groupBy("src").agg(F.min("label").alias("near"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _joined(batches):
+    """(node, label) of every node of all edges (src, dst) of a task: the least node, by code points, that is linked to it."""
+    ends = [c.cast(pa.large_string()) for batch in batches for c in batch.columns]
+    if not ends:
+        return
+    coded = pa.concat_arrays(ends).dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    names = coded.dictionary.take(order)
+    # The place of each end in the order of names.
+    places = pc.sort_indices(order).take(coded.indices).to_numpy()
+    parent, at = list(range(len(names))), 0
+    for src, dst in zip(ends[::2], ends[1::2], strict=True):
+        middle, upto = at + len(src), at + len(src) + len(dst)
+        for one, two in zip(places[at:middle].tolist(), places[middle:upto].tolist(), strict=True):
+            while parent[one] != one:
+                parent[one] = one = parent[parent[one]]
+            while parent[two] != two:
+                parent[two] = two = parent[parent[two]]
+            parent[max(one, two)] = min(one, two)
+        at = upto
+    # A parent comes before its children, so one pass in order finds every root.
+    for k, above in enumerate(parent):
+        parent[k] = parent[above]
+    labels = names.take(pa.array(parent, pa.int64()))
+    for at in range(0, len(names), 10_000):
+        yield pa.RecordBatch.from_arrays([x.slice(at, 10_000).cast(pa.string()) for x in (names, labels)], names=["node", "label"])
+
+
+def components(edges: DataFrame, most_edges: int = EDGES_OF_A_TASK) -> DataFrame:
     """(node, component) of every node in ``edges`` (src, dst: strings); a component is named by one of its nodes.
 
-    Loops and repeated edges change nothing; edges with a null end are left out; no edges give no rows.
+    A graph of more than ``most_edges`` is searched over all tasks until what is left of it has no more. Loops and repeated
+    edges change nothing; edges with a null end are left out; no edges give no rows.
     """
-    edges = edges.where("src is not null and dst is not null")
-    adjacent = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
+    left = cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
     found, salt = None, 0
     while True:
-        labels = _searched(adjacent, salt)
+        n, characters = left.agg(F.count("*"), F.coalesce(F.sum(F.length("src") + F.length("dst")), F.lit(0))).first()
+        searched = n > most_edges or characters > CHARACTERS_OF_A_TASK
+        if searched:
+            adjacent = cut(left.unionByName(left.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+            labels = _searched(adjacent, salt)
+        else:
+            labels = left.coalesce(1).mapInArrow(_joined, "node string, label string")
         if found is None:
             found = labels.select("node", F.col("label").alias("component"))
-        else:
+        elif n:
             up = labels.select(F.col("node").alias("component"), "label")
             found = cut(found.join(up, "component", "left").select("node", F.coalesce("label", "component").alias("component")))
-        one, two = (labels.select(F.col("node").alias(n), F.col("label").alias(f"{n}_label")) for n in ("src", "dst"))
-        collided = adjacent.join(one, "src").join(two, "dst").where("src_label <> dst_label")
-        adjacent = cut(collided.select(F.col("src_label").alias("src"), F.col("dst_label").alias("dst")).distinct())
-        if adjacent.isEmpty():
+        if not searched:
             return found
+        one, two = (labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label")) for end in ("src", "dst"))
+        collided = adjacent.join(one, "src").join(two, "dst").where("src_label < dst_label")
+        left = cut(collided.select(F.col("src_label").alias("src"), F.col("dst_label").alias("dst")).distinct())
         salt += 1
 
 

@@ -42,6 +42,19 @@ def test_components(spark):
     assert components(df.limit(0)).count() == 0
 
 
+def test_components_of_one_task_and_of_many_are_the_same(spark):
+    r = random.Random(7)
+    pairs = [(f"n{r.randrange(400)}", f"n{r.randrange(400)}") for _ in range(300)] + [(f"c{i}", f"c{i + 1}") for i in range(90)] + [("x", "x"), ("p", "q"), ("q", "p")]
+    df = spark.createDataFrame([*pairs, ("lost", None)], "src string, dst string").repartition(5)
+    truth, tracker = find(pairs), spark.sparkContext.statusTracker()
+    jobs = []
+    for most in (1000, 40, 0):
+        spark.sparkContext.setJobGroup(f"components{most}", "")
+        same({x.node: x.component for x in components(df, most).collect()}, truth)
+        jobs.append(len(tracker.getJobIdsForGroup(f"components{most}")))
+    assert jobs[0] < 8 < jobs[1]
+
+
 def clips():
     return [
         ("1", 1, "a", "1964-08-14", "train", ""), ("2", 1, "b", "14 Aug 1964", "dev", ""), ("3", 1, "c", "", "train", ""), ("4", 1, "c", None, "train", ""), ("5", 2, "a", "bad", "test", ""),
